@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formatpulse.functions import curves as C
@@ -139,10 +139,13 @@ SCALAR_FACETS = {
 
 def facet_values(trends: DataFrame) -> DataFrame:
     """(facet, value, n) for every list and scalar facet in one pass over trends."""
-    entries = [
-        F.transform(F.col(c), lambda v, c=c: F.struct(F.lit(c).alias("facet"), v.alias("value")))
-        for c in LIST_FACETS
-    ]
+
+    def tagged(name: str) -> Column:
+        return F.transform(
+            F.col(name), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value"))
+        )
+
+    entries = [tagged(c) for c in LIST_FACETS]
     entries.append(
         F.array(*[F.struct(F.lit(n).alias("facet"), F.col(c).alias("value"))
                   for n, c in SCALAR_FACETS.items()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder on the shared checkpoint storage for streams and side tables."""
+    return f"{checkpoint_dir(spark)}/work/{name}-{uuid.uuid4().hex}"
