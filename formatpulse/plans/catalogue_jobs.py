@@ -40,7 +40,7 @@ def rebuild_trends(spark, sf):
 
 def events_stream(spark, sf):
     static = B.table(spark, sf, "events")
-    return J.stream_files(spark, f"{sf}/events.parquet", static.schema)
+    return J.stream_files(spark, sf, static.schema, names="events.parquet")
 
 
 def stream_daily_rollup(spark, sf):
@@ -80,7 +80,7 @@ def stream_assign(spark, sf):
     base = work_dir(spark, "assign")
     vecs = B.embeddings(spark, sf)
     J.drain(
-        J.stream_files(spark, f"{sf}/embeddings.parquet", vecs.schema).drop("label"),
+        J.stream_files(spark, sf, vecs.schema, names="embeddings.parquet").drop("label"),
         J.assign_sink(f"{base}/out", label_centers(spark, sf), ASSIGN_CUT, key="label"), f"{base}/ck")
     return spark.read.parquet(f"{base}/out").select(
         "vec_id", "label", F.round("similarity", 6).alias("similarity"))

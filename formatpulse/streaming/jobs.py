@@ -22,10 +22,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_files(
-    spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema, fmt: str = "parquet",
+    files_per_batch: int | None = None, names: str | None = None,
 ) -> DataFrame:
-    """New files of a landing folder as an unbounded frame."""
+    """New files of a landing folder (matching ``names``) as an unbounded frame."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)
