@@ -11,9 +11,11 @@ HOT_ROWS = 2_000_000
 
 
 def group_medians(
-    df: DataFrame, keys: list[str], columns: list[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], columns: list[str], hot_rows: int = HOT_ROWS,
+    others: list[Column] | None = None,
 ) -> DataFrame:
-    """``keys`` plus one exact mid-point median per column, named as the column.
+    """``keys`` plus one exact mid-point median per column, named as the column, and any
+    ``others`` (sums, counts…) computed in the same pass.
 
     ``percentile`` keeps every distinct value of a group in one buffer, which is right
     for ordinary groups only. The group sizes are counted first (a map-side combined
@@ -22,10 +24,14 @@ def group_medians(
     """
     hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
     plain = [F.expr(f"percentile(`{c}`, 0.5D)").alias(c) for c in columns]
+    others = others or []
     if hot.isEmpty():
-        return df.groupBy(*keys).agg(*plain)
-    cold_part = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain)
-    hot_part = _bracketed(df.join(hot, keys, "left_semi"), keys, columns)
+        return df.groupBy(*keys).agg(*others, *plain)
+    cold_part = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*others, *plain)
+    hot_rows_ = df.join(hot, keys, "left_semi")
+    hot_part = _bracketed(hot_rows_, keys, columns)
+    if others:
+        hot_part = hot_rows_.groupBy(*keys).agg(*others).join(hot_part, keys)
     return cold_part.unionByName(hot_part)
 
 

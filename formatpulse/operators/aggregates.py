@@ -166,9 +166,9 @@ def consensus_difficulty(rows: DataFrame, key: str = "trend_id") -> DataFrame:
     )
 
 
-def medians(signals: DataFrame, hot_rows: int = HOT_ROWS, key: str = "trend_id") -> DataFrame:
-    wide = group_medians(signals, [key], list(MEDIAN_COLUMNS), hot_rows)
-    named = wide.select(key, *[F.col(c).alias(n) for c, n in MEDIAN_COLUMNS.items()])
+def name_medians(wide: DataFrame) -> DataFrame:
+    """Median columns under their trend names, with their defaults and truncation."""
+    named = wide.withColumnsRenamed(MEDIAN_COLUMNS)
     return (
         named.fillna(1.0, ["median_creator_lift"])
         .fillna(0.0, [n for n in MEDIAN_COLUMNS.values() if n != "median_creator_lift"])
@@ -177,15 +177,71 @@ def medians(signals: DataFrame, hot_rows: int = HOT_ROWS, key: str = "trend_id")
     )
 
 
+def medians(signals: DataFrame, hot_rows: int = HOT_ROWS, key: str = "trend_id") -> DataFrame:
+    return name_medians(group_medians(signals, [key], list(MEDIAN_COLUMNS), hot_rows))
+
+
+def attribute_summary(signals: DataFrame) -> DataFrame:
+    """One counted pass over every categorical attribute of a trend.
+
+    Gives the five ranked lists, the number of distinct creators and the consensus
+    difficulty label. Rows collapse to (trend, attribute, value) in the map tasks.
+    """
+    attrs = {**LIST_COLUMNS, "production_difficulty": "difficulty"}
+    pairs = [
+        F.struct(F.lit(name).alias("attr"), F.col(col).alias("value"))
+        for col, name in attrs.items()
+    ]
+    pairs.append(
+        F.struct(F.lit("creator").alias("attr"), F.col("creator_id").cast("string").alias("value"))
+    )
+    counted = (
+        signals.select("trend_id", "similarity", "item_id", F.explode(F.array(*pairs)).alias("p"))
+        .filter((F.coalesce(F.col("p.value"), F.lit("")) != "") | (F.col("p.attr") == "creator"))
+        .groupBy("trend_id", F.col("p.attr").alias("attr"), F.col("p.value").alias("value"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(
+                F.when(
+                    F.col("p.attr") != "creator",
+                    F.struct((-F.col("similarity")).alias("s"), F.col("item_id").alias("i")),
+                )
+            ).alias("first"),
+        )
+    )
+    lists = []
+    for name in LIST_COLUMNS.values():
+        entry = F.when(
+            F.col("attr") == name, F.struct((-F.col("n")).alias("n"), "first", "value")
+        )
+        lists.append(
+            F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["value"]).alias(name)
+        )
+    level = F.col("value")
+    easier = F.when(level == "low", 0).when(level == "medium", 1).when(level == "high", 2).otherwise(3)
+    return counted.groupBy("trend_id").agg(
+        *lists,
+        F.count_if((F.col("attr") == "creator") & F.col("value").isNotNull()).alias("creator_count"),
+        F.min_by(
+            "value",
+            F.when(F.col("attr") == "difficulty",
+                   F.struct((-F.col("n")).alias("n"), easier.alias("e"), "value")),
+        ).alias("production_difficulty"),
+    )
+
+
 def build_aggregates(
     signals: DataFrame, now, hot_rows: int = HOT_ROWS, with_curve: bool = True
 ) -> DataFrame:
-    """The descriptive row of every trend: one pass of sums and counts, exact medians,
-    ranked lists, day curve and consensus difficulty, joined on the trend key."""
+    """The descriptive row of every trend.
+
+    Sums, counts and exact medians take one pass, the categorical attributes another, the
+    day curve a third; the parts are joined on the trend key. Store ``signals`` first
+    (:func:`formatpulse.session.cut`) where computing them is dear.
+    """
     recent, prior = window_counts(F.col("published_at"), now, 7)
-    base = signals.groupBy("trend_id").agg(
+    sums = [
         F.count(F.lit(1)).alias("video_count"),
-        F.count_distinct("creator_id").alias("creator_count"),
         F.sum("views").alias("total_views"),
         F.avg("engagement").alias("avg_engagement_rate"),
         recent.alias("recent"),
@@ -195,12 +251,10 @@ def build_aggregates(
         F.avg("lift").alias("mean_lift"),
         F.stddev_pop("lift").alias("lift_spread"),
         F.min("published_at").alias("first_published_at"),
-    )
-    out = (
-        base.join(medians(signals, hot_rows), "trend_id")
-        .join(ranked_distinct(signals, LIST_COLUMNS), "trend_id", "left")
-        .join(difficulty_mode(signals), "trend_id", "left")
-    )
+    ]
+    out = name_medians(
+        group_medians(signals, ["trend_id"], list(MEDIAN_COLUMNS), hot_rows, sums)
+    ).join(attribute_summary(signals), "trend_id", "left")
     if with_curve:
         out = out.join(adoption_curve(signals), "trend_id", "left")
     nothing = F.array().cast("array<string>")

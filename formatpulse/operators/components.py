@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from formatpulse.session import cut
@@ -14,15 +14,12 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     Each round hooks larger neighbours, then smaller ones, onto the smallest neighbour.
     Minima are map-side combined, so a hub with many edges is reduced before it is
     shuffled, and joining a minimum back is an equi-join that AQE may split. The edge
-    table is checkpointed once per round; rounds grow with the logarithm of the size.
+    table is stored once per round; rounds grow with the logarithm of the size.
     """
     x, y = F.col(src), F.col(dst)
-    current = cut(
-        edges.filter(x != y)
-        .select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-        .distinct()
+    current, mark = _store(
+        edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     )
-    mark = _fingerprint(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(
@@ -38,8 +35,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
             .filter(F.col("u") != F.col("v"))
             .unionByName(low2.withColumnRenamed("m", "v"))
         )
-        current = cut(small.distinct())
-        now = _fingerprint(current)
+        current, now = _store(small)
         if now == mark:
             break
         mark = now
@@ -49,8 +45,13 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     )
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
-    ).first()
-    return tuple(row)
+def _store(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges as a stored table, with a fingerprint observed while writing."""
+    seen = Observation()
+    stored = cut(
+        edges.distinct().observe(
+            seen, F.count(F.lit(1)).alias("n"),
+            F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h"),
+        )
+    )
+    return stored, (seen.get["n"], seen.get["h"])

@@ -1,16 +1,18 @@
 """Relevance of trends to profiles and per-profile ranked feeds.
 
 The feed's pool of candidate trends is a top-k by definition (120, or 40 for a single
-pick), so it travels as one array of at most that many structs. Each profile scores the
-array in place: no join, no shuffle, and work that grows with the number of profiles.
+pick), so it travels to the profiles as one array of at most that many structs. Profiles
+whose scored traits are equal are scored once, and each keeps its top rows in the map
+tasks already.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formatpulse.functions.arrays import empty_strings, lowered
+from formatpulse.operators.ranking import top_k
 from formatpulse.session import cut
 
 # Niches that share formats, effort ranks, goal boosts.
@@ -97,7 +99,7 @@ def _prepared(profiles: DataFrame) -> DataFrame:
 
 
 def _matched(t: Column) -> Column:
-    """Overlaps of one trend with the profile columns, computed once."""
+    """Overlaps of one trend with the profile columns, as fields for the steps after it."""
     return F.struct(
         t["trend_id"].alias("trend_id"),
         t["opportunity_score"].alias("opportunity_score"),
@@ -157,57 +159,45 @@ def _reasons(m: Column) -> Column:
     return F.slice(found, 1, 3)
 
 
-def _ranked(pool: Column, use_breakdown: bool) -> list[tuple[str, Column]]:
-    """The three in-place steps from a raw pool to score-ordered structs.
-
-    Ties go to the better opportunity, then to the smaller id. The steps are separate
-    projections so that what one computes is a field for the next.
-    """
-    scored = F.transform(
-        "pool",
-        lambda m: F.struct(
-            m["trend_id"].alias("trend_id"), m["opportunity_score"].alias("opportunity_score"),
-            m["exact"].alias("exact"),
-            _relevance(m, use_breakdown).alias("relevance_score"),
-            _reasons(m).alias("relevance_reasons"),
-        ),
+def _scored(kinds: DataFrame, candidates: DataFrame, use_breakdown: bool) -> DataFrame:
+    """Every kind of profile with every candidate of a bounded pool, scored in codegen."""
+    rows = kinds.withColumn("pool", _as_pool(candidates)).withColumn("t", F.explode("pool"))
+    m = F.col("m")
+    scored = rows.withColumn("m", _matched(F.col("t"))).select(
+        "kind", m["trend_id"].alias("trend_id"),
+        m["opportunity_score"].alias("opportunity_score"), m["exact"].alias("exact"),
+        _relevance(m, use_breakdown).alias("relevance_score"),
+        _reasons(m).alias("relevance_reasons"),
     )
-    ordered = F.sort_array(
-        F.transform(
-            "pool",
-            lambda s: F.struct(
-                (-F.round(
-                    (0.6 * s["relevance_score"] + 0.4 * (s["opportunity_score"] / 100.0)) * 100, 1
-                )).alias("down"),
-                (-s["opportunity_score"]).alias("chance_down"),
-                s["trend_id"].alias("trend_id"),
-                s["opportunity_score"].alias("opportunity_score"),
-                s["relevance_score"].alias("relevance_score"),
-                s["relevance_reasons"].alias("relevance_reasons"),
-                s["exact"].alias("exact"),
-            ),
-        )
-    )
-    return [("pool", pool), ("pool", F.transform("pool", _matched)), ("pool", scored),
-            ("pool", ordered)]
+    blend = 0.6 * F.col("relevance_score") + 0.4 * (F.col("opportunity_score") / 100.0)
+    return scored.withColumn("feed_score", F.round(blend * 100, 1))
 
 
-def _scored(profiles: DataFrame, candidates: DataFrame, use_breakdown: bool) -> DataFrame:
-    for name, step in _ranked(_as_pool(candidates), use_breakdown):
-        profiles = profiles.withColumn(name, step)
-    return profiles
+FEED_ORDER = ("feed_score", "opportunity_score")
 
 
-def _listed(df: DataFrame, arr: Column) -> DataFrame:
-    return df.select("user_id", F.posexplode(arr).alias("i", "s")).select(
-        "user_id",
-        (F.col("i") + 1).cast("bigint").alias("rank"),
-        F.col("s.trend_id").alias("trend_id"),
-        (-F.col("s.down")).alias("feed_score"),
-        F.col("s.relevance_score").alias("relevance_score"),
-        F.col("s.opportunity_score").alias("opportunity_score"),
-        F.col("s.relevance_reasons").alias("relevance_reasons"),
-    )
+def _top(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Ties go to the better opportunity, then to the smaller id."""
+    order = [F.col(c).desc() for c in FEED_ORDER] + [F.col("trend_id")]
+    return top_k(scored, keys, order, k)
+
+
+def _kinds(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((user_id, kind), one row per kind): profiles that score alike are scored once."""
+    prepared = _prepared(profiles)
+    traits = [c for c in prepared.columns if c != "user_id"]
+    keyed = prepared.withColumn("kind", F.sha2(F.to_json(F.struct(*traits)), 256))
+    return keyed.select("user_id", "kind"), keyed.select("kind", *traits).dropDuplicates(["kind"])
+
+
+def _listed(users: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Ranked rows of every user. The ranked lists travel as one row per kind, so a kind
+    that many users share is a small build side."""
+    entry = F.struct("rank", "trend_id", "feed_score", "relevance_score", "opportunity_score",
+                     "relevance_reasons")
+    lists = ranked.groupBy("kind").agg(F.sort_array(F.collect_list(entry)).alias("picks"))
+    return users.join(lists, "kind").select("user_id", F.explode("picks").alias("s")).select(
+        "user_id", "s.*")
 
 
 def feed(
@@ -219,8 +209,8 @@ def feed(
     ``goal_from_breakdown=False`` gives the goal term its neutral 0.5 throughout.
     """
     best = _candidates(trends).orderBy(F.col("opportunity_score").desc(), "trend_id").limit(pool)
-    scored = _scored(_prepared(profiles), best, goal_from_breakdown)
-    return _listed(scored, F.slice("pool", 1, limit))
+    users, kinds = _kinds(profiles)
+    return _listed(users, _top(_scored(kinds, best, goal_from_breakdown), ["kind"], limit))
 
 
 def best_trend_for(profiles: DataFrame, trends: DataFrame) -> DataFrame:
@@ -233,40 +223,25 @@ def in_niche(
     """A profile's own-niche trends in feed order over *all* trends; the general ranking
     where its niche has none.
 
-    Profiles that would be scored alike are scored once. The trends pass by in chunks of
-    a fixed size; each profile keeps only its best ``k`` of either kind between chunks.
+    The trends pass by in chunks of a fixed size; of each chunk a kind keeps its best
+    ``k`` own-niche and its best ``k`` other trends, which is all the result can need.
     """
-    prepared = _prepared(profiles)
-    traits = [c for c in prepared.columns if c != "user_id"]
-    kinds = prepared.select(*traits).distinct().withColumn(
-        "user_id", F.sha2(F.to_json(F.struct(*traits)), 256)
-    )
+    users, kinds = _kinds(profiles)
     candidates = _candidates(trends)
     chunks = max(1, -(-candidates.count() // chunk_rows))
     if chunks > 1:
-        candidates = cut(candidates)
-        kinds = cut(kinds)
-    state = kinds
+        candidates, kinds = cut(candidates), cut(kinds)
+    kept = None
     for chunk in range(chunks):
         part = candidates if chunks == 1 else candidates.filter(
             F.pmod(F.xxhash64("trend_id"), F.lit(chunks)) == chunk
         )
-        state = _scored(state, part, True)
-        own = F.filter("pool", lambda s: s["exact"])
-        if chunk:
-            own, general = F.concat("own", own), F.concat("general", "pool")
-        else:
-            general = F.col("pool")
-        state = state.select(
-            *traits, "user_id",
-            F.slice(F.sort_array(own), 1, k).alias("own"),
-            F.slice(F.sort_array(general), 1, k).alias("general"),
-        )
-        if chunk % 8 == 7:
-            state = cut(state)
-    ranked = state.select(
-        F.col("user_id").alias("kind"),
-        F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("general")).alias("picks"),
-    )
-    users = prepared.select("user_id", F.sha2(F.to_json(F.struct(*traits)), 256).alias("kind"))
-    return _listed(users.join(ranked, "kind"), F.col("picks"))
+        best = _top(_scored(kinds, part, True), ["kind", "exact"], k).drop("rank")
+        kept = best if kept is None else kept.unionByName(best)
+        if chunk % 8 == 7 and chunk + 1 < chunks:
+            kept = cut(_top(kept, ["kind", "exact"], k).drop("rank"))
+    has_own = Window.partitionBy("kind")
+    ranked = _top(kept, ["kind", "exact"], k).withColumn(
+        "__own", F.max("exact").over(has_own)
+    ).filter(F.col("exact") == F.col("__own"))
+    return _listed(users, ranked)

@@ -10,7 +10,7 @@ from formatpulse.operators.aggregates import build_aggregates
 from formatpulse.operators.scoring import score_trends
 from formatpulse.operators.signals import signals
 from formatpulse.functions.text import slugify
-from formatpulse.session import pin_utc
+from formatpulse.session import pin_utc, spread, store
 
 EVENTS_NOW = "2024-01-31 00:00:00"
 ORDERS_NOW = "2001-08-02 00:00:00"
@@ -36,7 +36,7 @@ def nth(values: tuple[str, ...], index: Column) -> Column:
 
 def event_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as items: 50 formats (type and a digit of the payload), users as creators."""
-    ev = table(spark, sf_dir, "events").withColumn(
+    ev = spread(table(spark, sf_dir, "events")).withColumn(
         "k", F.get_json_object("props", "$.k").cast("bigint")
     )
     item, user, k = F.col("event_id"), F.col("user_id"), F.col("k")
@@ -70,7 +70,6 @@ def event_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to three snapshots of each event item; some fall, which velocity clamps."""
-    now = F.lit(EVENTS_NOW).cast("timestamp")
     shots = F.expr(
         f"""
         filter(array(
@@ -82,7 +81,6 @@ def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         ), s -> s.keep)
         """
     )
-    del now
     return event_members(spark, sf_dir).select("item_id", F.explode(shots).alias("s")).select(
         "item_id", "s.captured_at", "s.views"
     )
@@ -93,7 +91,7 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_aggregates(spark: SparkSession, sf_dir: str, with_curve: bool = False) -> DataFrame:
-    return build_aggregates(event_signals(spark, sf_dir), EVENTS_NOW, with_curve=with_curve)
+    return build_aggregates(store(event_signals(spark, sf_dir)), EVENTS_NOW, with_curve=with_curve)
 
 
 def event_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +221,7 @@ def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as captioned items; the source is the niche, the length the duration."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("item_id"), F.col("text").alias("caption"),
         F.array(nth(PHRASES, F.substring("source", 4, 10).cast("int") % 8)).alias("hashtags"),
         F.col("source").alias("niche"), F.col("lang").alias("language"),

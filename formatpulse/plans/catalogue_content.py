@@ -18,6 +18,7 @@ from formatpulse.operators.components import connected_components
 from formatpulse.operators.slugs import slug_dedupe
 from formatpulse.plans import bindings as B
 from formatpulse.plans.oracle import VEC, sql, useful
+from formatpulse.session import spread
 
 # The test vectors have almost no label structure, so cuts sit in their own range.
 PAIR_CUT = 0.35
@@ -27,7 +28,7 @@ ASSIGN_CUT = 0.25
 
 
 def tokens(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = spread(B.table(spark, sf, "documents"))
     return docs.select("doc_id", "lang", X.tokenize(F.col("text")).alias("tokens"))
 
 
@@ -87,7 +88,7 @@ def format_signature(spark, sf):
 
 
 def hash_embed(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = spread(B.table(spark, sf, "documents"))
     vecs = docs.select("doc_id", X.hash_embed(X.tokenize(F.col("text"))).alias("embedding"))
     return vecs.select(
         "doc_id", F.size("embedding").cast("bigint").alias("dim"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from formatpulse.functions import curves as C
 from formatpulse.functions.arrays import ordered_distinct
 from formatpulse.operators import aggregates as A
 from formatpulse.operators import filters as P
@@ -109,7 +110,8 @@ def sparkline_14(spark, sf):
 
 
 def snapshot_backfill_14d(spark, sf):
-    members = B.event_signals(spark, sf)
+    members = B.event_members(spark, sf).withColumn("engagement", C.engagement_rate(
+        *[F.col(c) for c in ("views", "likes", "comments", "shares", "saves")]))
     return A.snapshot_backfill(members, NOW, 14).select(
         "trend_id", "days_ago", day("captured_at").alias("captured_at"), "video_count",
         "creator_count", "total_views", r6("avg_engagement_rate"), "trend_score")

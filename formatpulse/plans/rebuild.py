@@ -19,7 +19,7 @@ from formatpulse.operators.similarity import assign_to_existing
 from formatpulse.operators.slugs import slug_dedupe
 from formatpulse.operators.upserts import stale_trends
 from formatpulse.schemas import natural_id
-from formatpulse.session import cut
+from formatpulse.session import cut, store
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def nightly_rebuild(
     if clusters.isEmpty():
         return "no cluster met the minimum size"
     rows = corpus.drop("embedding").join(members, "item_id")
-    signals = cut(G.signals(rows, G.history_for(members, metrics), now))
+    signals = store(G.signals(rows, G.history_for(members, metrics), now))
     scored = score_trends(build_aggregates(signals, now))
     story = describe_clusters(rows, scored)
     named = story.join(clusters.select("trend_id", "size", "centroid"), "trend_id").withColumn(

@@ -44,13 +44,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    Iterative operators call this once per round, so a lost executor replays one
-    round and the plan never grows with the number of rounds.
+    Iterative operators call this once per round, so a lost executor replays one round
+    and the plan never grows with the number of rounds.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The same for wide rows that several passes read: a columnar table on the shared
+    storage, so each pass reads only its columns and the planner knows the real size."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Scan output over all cores when the input has fewer splits than the cluster has
+    cores; an input with enough splits is returned as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder on the shared checkpoint storage for streams and side tables."""
     return f"{checkpoint_dir(spark)}/work/{name}-{uuid.uuid4().hex}"
