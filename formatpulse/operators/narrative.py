@@ -36,14 +36,17 @@ def member_order(sim: str = "similarity", ident: str = "item_id") -> Column:
 
 
 def modal_sequence(
-    rows: DataFrame, beats: str, first: Column, key: str = "trend_id"
+    rows: DataFrame, beats: str, first: Column, key: str = "trend_id",
+    length: Column | None = None,
 ) -> DataFrame:
     """The usual beat sequence, position by position.
 
     Its length is the median length of the non-empty sequences, held to 3..6. Only
-    (key, position, beat) counts are shuffled, never the sequences.
+    (key, position, beat) counts are shuffled, never the sequences. Where ``beats`` holds
+    just the opening of longer sequences (six are enough), ``length`` gives the full size.
     """
-    slim = rows.select(key, first.alias("f"), F.col(beats).alias("b"), F.size(beats).alias("n"))
+    size = F.size(beats) if length is None else length
+    slim = rows.select(key, first.alias("f"), F.col(beats).alias("b"), size.alias("n"))
     lengths = group_medians(slim.filter("n > 0"), [key], ["n"]).select(
         key, F.least(F.lit(6), F.greatest(F.lit(3), F.floor("n"))).alias("length")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formatpulse.operators.aggregates import build_aggregates
+from formatpulse.operators.ranking import top_k
 from formatpulse.operators.scoring import score_trends
 from formatpulse.operators.signals import signals
 from formatpulse.functions.text import slugify
@@ -235,25 +236,29 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per conversation: its role sequence and first user turn; the opening role
-    and turn count form the trend."""
+    """One row per conversation: its first six roles as beats, last role, first user turn.
+
+    Six beats are all the sequence rules look at. They are cut by a group limit ahead of
+    the shuffle and the rest are map-side combined, so a very long conversation is safe.
+    """
     turns = table(spark, sf_dir, "conversations")
-    return (
-        turns.groupBy("conv_id")
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda e: e["role"]
-            ).alias("beats"),
-            F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("hook"),
-            F.count(F.lit(1)).alias("turns"),
-        )
-        .select(
-            F.concat(F.element_at("beats", 1), F.lit("-"), (F.col("turns") % 3).cast("string")).alias(
-                "trend_id"
-            ),
-            F.col("conv_id").alias("item_id"), "beats", "hook", "turns",
-            (F.col("turns") * 7.0).alias("duration_sec"),
-        )
+    opening = top_k(turns.select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn")], 6)
+    beats = opening.groupBy("conv_id").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("rank", "role"))), lambda e: e["role"]
+        ).alias("beats")
+    )
+    whole = turns.groupBy("conv_id").agg(
+        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("hook"),
+        F.max_by("role", "turn").alias("last"),
+        F.count(F.lit(1)).alias("turns"),
+    )
+    return beats.join(whole, "conv_id").select(
+        F.concat(F.element_at("beats", 1), F.lit("-"), (F.col("turns") % 3).cast("string")).alias(
+            "trend_id"
+        ),
+        F.col("conv_id").alias("item_id"), "beats", "last", "hook", "turns",
+        (F.col("turns") * 7.0).alias("duration_sec"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from formatpulse.functions import text as X
 from formatpulse.functions import vectors as V
+from formatpulse.functions.quantiles import group_medians
 from formatpulse.operators import aggregates as A
 from formatpulse.operators import clustering as K
 from formatpulse.operators import filters as P
@@ -118,7 +119,8 @@ def item():
 
 
 def modal_sequence(spark, sf):
-    return N.modal_sequence(B.conversation_rows(spark, sf), "beats", item()).select(
+    rows = B.conversation_rows(spark, sf)
+    return N.modal_sequence(rows, "beats", item(), length=F.col("turns")).select(
         "trend_id", F.array_join("beats", ">").alias("beats"))
 
 
@@ -131,26 +133,33 @@ def common_opening(spark, sf):
 
 
 def mode_label(spark, sf):
-    rows = B.conversation_rows(spark, sf).withColumn("last", F.element_at("beats", -1))
-    return A.mode_of(rows, "trend_id", "last", item(), "none")
+    return A.mode_of(B.conversation_rows(spark, sf), "trend_id", "last", item(), "none")
 
 
 def top_elements(spark, sf):
-    return N.top_elements(B.conversation_rows(spark, sf), "beats", item(), 2).select(
-        "trend_id", "element", "n", "rank")
+    """The most frequent roles per turn parity, straight from the turns."""
+    turns = B.table(spark, sf, "conversations").select(
+        (F.col("turn") % 3).cast("string").alias("trend_id"), F.array("role").alias("roles"),
+        F.struct("conv_id", "turn").alias("at"))
+    return N.top_elements(turns, "roles", F.col("at"), 2).select("trend_id", "element", "n", "rank")
 
 
 def timed_structure(spark, sf):
-    return B.conversation_rows(spark, sf).select(
-        "item_id", F.posexplode(N.timed_structure(F.col("beats"), F.col("duration_sec"))).alias("pos", "s")
-    ).select("item_id", F.col("pos").cast("bigint").alias("pos"), "s.start", "s.end", "s.label", "s.detail")
+    """The usual beats of each format laid over its median duration."""
+    rows = B.conversation_rows(spark, sf)
+    beats = N.modal_sequence(rows, "beats", item(), length=F.col("turns"))
+    length = group_medians(rows, ["trend_id"], ["duration_sec"])
+    timeline = N.timed_structure(F.col("beats"), F.col("duration_sec"))
+    return beats.join(length, "trend_id").select(
+        "trend_id", F.posexplode(timeline).alias("pos", "s")).select(
+        "trend_id", F.col("pos").cast("bigint").alias("pos"), "s.start", "s.end", "s.label", "s.detail")
 
 
 def conversation_members(spark, sf):
     return B.conversation_rows(spark, sf).select(
         "trend_id", "item_id", (F.col("turns") / 10.0).alias("similarity"), "hook",
         F.col("beats").alias("narrative_structure"), F.col("beats").alias("editing_patterns"),
-        F.element_at("beats", -1).alias("content_format"),
+        F.col("last").alias("content_format"),
         F.when(F.col("turns") > 7, "Shock").alias("emotional_tone"), "duration_sec", "turns")
 
 
@@ -165,11 +174,11 @@ def example_hooks(spark, sf):
 
 def describe_trend(spark, sf):
     members = conversation_members(spark, sf)
-    stats = members.groupBy("trend_id").agg(
-        F.expr("percentile(duration_sec, 0.5D)").alias("median_duration_sec"),
+    stats = group_medians(members, ["trend_id"], ["duration_sec"], others=[
         F.sort_array(F.collect_set(F.col("turns").cast("string"))).alias("niches"),
         F.lit("low").alias("production_difficulty"),
-        ((F.count(F.lit(1)) - 10) / 10.0).alias("growth_7d"))
+        ((F.count(F.lit(1)) - 10) / 10.0).alias("growth_7d"),
+    ]).withColumnRenamed("duration_sec", "median_duration_sec")
     return N.describe_clusters(members, stats).select(
         "trend_id", "name", "format_pattern", "summary",
         F.array_join("common_elements", " | ").alias("common_elements"),
@@ -269,15 +278,16 @@ _SIG = f"""SELECT item_id, array_to_string(list_filter(CASE WHEN n_chars % 2 = 0
   ELSE [{useful('hook')}, {useful('hook240')}, substr(caption, 1, 400), lang, lang, niche || ' content', content_format] END,
   lambda x: x <> ''), ' ') AS signature FROM (SELECT *, COALESCE(NULLIF(hook180, ''), '(hook not recoverable from metadata)') AS hook FROM docs)"""
 _TITLE = "upper(role[1]) || role[2:]"
-_TIMED = f"""SELECT item_id, i - 1 AS pos, CASE WHEN i = 1 THEN 0.0 ELSE round(h + (d - h) * (before / total), 1) END AS start,
+_TIMED = f"""SELECT trend_id, i - 1 AS pos, CASE WHEN i = 1 THEN 0.0 ELSE round(h + (d - h) * (before / total), 1) END AS start,
   CASE WHEN i = 1 THEN round(h, 1) ELSE round(least(d, h + (d - h) * ((before + w) / total)), 1) END AS "end",
   {_TITLE} AS label, CASE WHEN i = 1 THEN 'The promise is made before anything is explained.' ELSE '' END AS detail
   FROM (SELECT *, least(3.0::DOUBLE, d * 0.12::DOUBLE) AS h,
-    COALESCE(sum(w) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
-    sum(w) OVER (PARTITION BY item_id) AS total
-  FROM (SELECT item_id, role, i, greatest(12.0::DOUBLE, duration_sec) AS d,
+    COALESCE(sum(w) OVER (PARTITION BY trend_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
+    sum(w) OVER (PARTITION BY trend_id) AS total
+  FROM (SELECT trend_id, role, i, greatest(12.0::DOUBLE, duration_sec) AS d,
     CASE WHEN i = 1 THEN 0.0 WHEN i = n THEN 0.7 WHEN n - 1 >= 2 AND i - 2 = (n - 1) // 2 THEN 1.8 ELSE 1.0 END::DOUBLE AS w
-  FROM (SELECT item_id, duration_sec, len(beats) AS n, unnest(beats) AS role, generate_subscripts(beats, 1) AS i FROM convs)))"""
+  FROM (SELECT trend_id, duration_sec, len(beat_list) AS n, unnest(beat_list) AS role, generate_subscripts(beat_list, 1) AS i
+    FROM modal JOIN (SELECT trend_id AS q, median(duration_sec) AS duration_sec FROM convs GROUP BY 1) ON q = trend_id)))"""
 _MODAL = """modal AS (SELECT trend_id, string_agg(role, '>' ORDER BY i) AS beats, list(role ORDER BY i) AS beat_list FROM (
   SELECT trend_id, i, role, row_number() OVER (PARTITION BY trend_id, i ORDER BY count(*) DESC, min(item_id), role) AS r
   FROM (SELECT trend_id, item_id, unnest(beats) AS role, generate_subscripts(beats, 1) AS i FROM convs) GROUP BY trend_id, i, role) x
@@ -301,7 +311,7 @@ _DESCRIBE = f""", {_MODAL_SIM},
     WHERE r = 1 AND n >= 3 AND c >= greatest(2, floor(n / 3))),
   edits AS (SELECT trend_id, string_agg(role || ' (' || CAST(c AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ' videos)', ' | ' ORDER BY r) AS e FROM (
     SELECT trend_id, role, count(*) AS c, row_number() OVER (PARTITION BY trend_id ORDER BY count(*) DESC, min((-turns, item_id, i)), role) AS r
-    FROM (SELECT trend_id, turns, item_id, unnest(beats) AS role, generate_subscripts(beats, 1) AS i FROM m) GROUP BY 1, 2)
+    FROM (SELECT trend_id, turns, item_id, unnest(beats[1:6]) AS role, generate_subscripts(beats[1:6], 1) AS i FROM m) GROUP BY 1, 2)
     JOIN (SELECT trend_id AS t, count(*) AS n FROM m GROUP BY 1) ON t = trend_id WHERE r <= 4 GROUP BY trend_id),
   st AS (SELECT trend_id, median(duration_sec) AS d, count(DISTINCT turns) AS niches, (count(*) - 10) / 10.0::DOUBLE AS g,
     bool_or(turns > 7) AS payoff FROM m GROUP BY 1)
@@ -357,12 +367,11 @@ QUERIES = {
     "mode_label": (mode_label, sql(
         """SELECT trend_id, last FROM (SELECT trend_id, beats[-1] AS last, row_number() OVER (
         PARTITION BY trend_id ORDER BY count(*) DESC, min(item_id)) AS r FROM convs GROUP BY 1, 2) WHERE r = 1""", "convs")),
-    "top_elements": (top_elements, sql(
-        """SELECT trend_id, element, n, rank FROM (SELECT trend_id, element, count(*) AS n, row_number() OVER (
-        PARTITION BY trend_id ORDER BY count(*) DESC, min((item_id, i)), element) AS rank FROM (
-        SELECT trend_id, item_id, unnest(beats) AS element, generate_subscripts(beats, 1) AS i FROM convs) GROUP BY 1, 2)
-        WHERE rank <= 2""", "convs")),
-    "timed_structure": (timed_structure, sql(_TIMED, "convs")),
+    "top_elements": (top_elements, """SELECT trend_id, element, n, rank FROM (
+        SELECT CAST(turn % 3 AS VARCHAR) AS trend_id, role AS element, count(*) AS n, row_number() OVER (
+        PARTITION BY turn % 3 ORDER BY count(*) DESC, min((conv_id, turn)), role) AS rank
+        FROM conversations GROUP BY turn % 3, role) WHERE rank <= 2"""),
+    "timed_structure": (timed_structure, sql("", "convs").rstrip() + f", {_MODAL} {_TIMED}"),
     "example_hooks": (example_hooks, sql(
         """SELECT trend_id, q - 1 AS pos, hook FROM (SELECT trend_id, hook, row_number() OVER (PARTITION BY trend_id ORDER BY r) AS q FROM (
         SELECT trend_id, substr(hook, 1, 40) AS hook, row_number() OVER (PARTITION BY trend_id ORDER BY turns DESC, item_id) AS r FROM convs)

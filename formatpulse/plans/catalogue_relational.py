@@ -223,14 +223,16 @@ def quality_gate(spark, sf):
 
 
 def append_metrics(spark, sf):
-    """One snapshot per order plus its line items as provider history."""
-    history = B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item_id")).agg(
-        F.collect_list(F.struct(F.col("l_shipdate").cast("timestamp").alias("captured_at"),
-                                F.floor("l_extendedprice").alias("views"))).alias("view_history"))
-    zero = F.lit(1).cast("bigint")
-    batch = B.order_items(spark, sf).select(
-        "item_id", "views", zero.alias("likes"), zero.alias("comments"), zero.alias("shares"),
-    ).join(history, "item_id", "left")
+    """Line items as collected rows, each with two points of provider history."""
+    price, seen = F.floor("l_extendedprice"), F.col("l_shipdate").cast("timestamp")
+    one = F.lit(1).cast("bigint")
+    batch = B.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("item_id"), F.floor("l_quantity").alias("views"),
+        one.alias("likes"), one.alias("comments"), one.alias("shares"),
+        F.array(
+            F.struct(seen.alias("captured_at"), price.alias("views")),
+            F.struct((seen + F.expr("interval 1 day")).alias("captured_at"), (price + 1).alias("views")),
+        ).alias("view_history"))
     rows = U.append_metrics(batch, C.as_instant(NOW))
     return rows.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("snapshots"), F.sum("views").alias("views"),
@@ -456,11 +458,11 @@ QUERIES = {
     "quality_gate": (quality_gate, sql(
         f"""SELECT item_id, views, duration_sec FROM items WHERE duration_sec BETWEEN 8 AND 90
         AND published_at >= TIMESTAMP '1997-01-01' AND (views >= 250000 OR views / {_GATE_AGE} >= 6.0)""", "items")),
-    "append_metrics": (append_metrics, sql(
-        f"""SELECT item_id, count(*) AS snapshots, CAST(sum(views) AS BIGINT) AS views, CAST(sum(likes) AS BIGINT) AS likes,
-        strftime(min(seen), '%Y-%m-%d %H:%M:%S') AS oldest FROM (
-        SELECT item_id, views, 1 AS likes, {T_NOW} AS seen FROM items
-        UNION ALL SELECT l_orderkey, {_LINES}, 0, l_shipdate FROM lineitem) GROUP BY item_id""", "items")),
+    "append_metrics": (append_metrics, f"""SELECT item_id, count(*) AS snapshots, CAST(sum(views) AS BIGINT) AS views,
+        CAST(sum(likes) AS BIGINT) AS likes, strftime(min(seen), '%Y-%m-%d %H:%M:%S') AS oldest FROM (
+        SELECT l_orderkey AS item_id, CAST(floor(l_quantity) AS BIGINT) AS views, 1 AS likes, {T_NOW} AS seen FROM lineitem
+        UNION ALL SELECT l_orderkey, {_LINES}, 0, l_shipdate FROM lineitem
+        UNION ALL SELECT l_orderkey, {_LINES} + 1, 0, l_shipdate + INTERVAL 1 DAY FROM lineitem) GROUP BY item_id"""),
     "union_history": (union_history, sql(
         f"""SELECT strftime(seen, '%Y') AS year, count(*) AS snapshots, CAST(sum(views) AS BIGINT) AS views,
         CAST(sum(likes) AS BIGINT) AS likes FROM (SELECT views, 2 AS likes, {T_NOW} AS seen FROM items
