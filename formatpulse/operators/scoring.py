@@ -47,6 +47,18 @@ OPPORTUNITY_LABELS = {k: k.replace("_", " ").capitalize() for k in OPPORTUNITY_W
 EASE = {"low": 1.0, "medium": 0.6, "high": 0.25}
 ADAPTABILITY_SCORE = {"high": 1.0, "medium": 0.6, "low": 0.25}
 HALF_LIFE_HOURS = 96.0
+# Sentences of the explanation, with the number each one takes.
+REASONS = {
+    "up": ("Adoption is up ", "% week over week — creators are still entering the format, not leaving it."),
+    "down": ("Adoption moved ", "% this week, so the window is closing rather than opening."),
+    "open": ("Only ", " creators have adopted it, so the format is not yet crowded."),
+    "crowded": "Competition is high — large accounts already own this format, "
+               "so differentiation matters more than speed.",
+    "lift": ("Videos in this format do ", "x their creator's normal views, which means the format "
+             "is carrying the performance, not the audience size."),
+    "travels": "It already works across several unrelated niches, so it should travel well.",
+    "easy": "Production difficulty is low — a phone and a screen recorder are enough.",
+}
 
 
 def pick(value: Column, table: dict[str, float], default: float) -> Column:
@@ -235,29 +247,18 @@ def explain_opportunity(trends: DataFrame) -> DataFrame:
     inputs = F.col("score_breakdown.inputs")
     growth, lift = inputs["growth_7d_pct"], inputs["median_creator_lift"]
     level = F.col("competition_level")
-    percent = F.format_string("%d", F.round(growth, 0).cast("bigint"))
-    reasons = F.array_compact(
-        F.array(
-            F.when(growth >= 50, F.concat(
-                F.lit("Adoption is up "), percent, F.lit(
-                    "% week over week — creators are still entering the format, not leaving it."
-                ))).when(growth <= 0, F.concat(
-                    F.lit("Adoption moved "), percent, F.lit(
-                        "% this week, so the window is closing rather than opening."))),
-            F.when(level == "low", F.concat(
-                F.lit("Only "), inputs["creator_count"].cast("string"), F.lit(
-                    " creators have adopted it, so the format is not yet crowded."))).when(
-                level == "high", F.lit(
-                    "Competition is high — large accounts already own this format, "
-                    "so differentiation matters more than speed.")),
-            F.when(lift >= 1.5, F.concat(
-                F.lit("Videos in this format do "), F.round(lift, 1).cast("string"), F.lit(
-                    "x their creator's normal views, which means the format is carrying "
-                    "the performance, not the audience size."))),
-            F.when(F.col("adaptability") == "high", F.lit(
-                "It already works across several unrelated niches, so it should travel well.")),
-            F.when(F.col("production_difficulty") == "low", F.lit(
-                "Production difficulty is low — a phone and a screen recorder are enough.")),
-        )
+
+    def around(key: str, number: Column) -> Column:
+        before, after = REASONS[key]
+        return F.concat(F.lit(before), number.cast("string"), F.lit(after))
+
+    percent = F.round(growth, 0).cast("bigint")
+    reasons = F.array(
+        F.when(growth >= 50, around("up", percent)).when(growth <= 0, around("down", percent)),
+        F.when(level == "low", around("open", inputs["creator_count"])).when(
+            level == "high", REASONS["crowded"]),
+        F.when(lift >= 1.5, around("lift", F.round(lift, 1))),
+        F.when(F.col("adaptability") == "high", REASONS["travels"]),
+        F.when(F.col("production_difficulty") == "low", REASONS["easy"]),
     )
-    return trends.withColumn("reasons", reasons)
+    return trends.withColumn("reasons", F.array_compact(reasons))
