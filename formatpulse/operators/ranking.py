@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formatpulse.functions.curves import engagement_rate
 from formatpulse.functions.quantiles import HOT_ROWS
 from formatpulse.session import cut
 
@@ -86,6 +87,35 @@ def members_detail(
     return best.join(items, "item_id")
 
 
+def with_context(items: DataFrame, creators: DataFrame, features: DataFrame) -> DataFrame:
+    """Item rows with their engagement rate and nested ``creator`` and ``analysis`` structs;
+    a side that is missing leaves a null struct."""
+    def nested(df: DataFrame, key: str, name: str) -> DataFrame:
+        fields = [c for c in df.columns if c not in (key, "embedding")]
+        return df.select(key, F.struct(*fields).alias(name))
+
+    rate = engagement_rate(*[F.col(c) for c in ("views", "likes", "comments", "shares", "saves")])
+    return (
+        items.withColumn("engagement_rate", F.round(rate, 5))
+        .join(nested(creators, "creator_id", "creator"), "creator_id", "left")
+        .join(nested(features, "item_id", "analysis"), "item_id", "left")
+    )
+
+
+def trend_details(
+    trends: DataFrame, members: DataFrame, items: DataFrame, creators: DataFrame,
+    features: DataFrame, k: int = 24, exemplars: int = 4, key: str = "trend_id",
+) -> DataFrame:
+    """Each trend with its best ``k`` members as an array of full structs, the first few of
+    them also as exemplars. Item, creator and feature rows are joined after the cut."""
+    top = members_detail(trends, members, items, k, key)
+    full = with_context(top, creators, features)
+    entry = F.struct("rank", *[c for c in full.columns if c not in ("rank", key)])
+    videos = full.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("videos"))
+    return trends.join(videos, key, "left").withColumn(
+        "exemplars", F.slice("videos", 1, exemplars))
+
+
 def narration_input(
     trends: DataFrame, members: DataFrame, features: DataFrame, min_videos: int, limit: int,
     k: int = 12,

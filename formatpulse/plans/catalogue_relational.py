@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formatpulse.functions import curves as C
+from formatpulse.functions.arrays import overlap
 from formatpulse.operators import aggregates as A
 from formatpulse.operators import filters as P
 from formatpulse.operators import personal as N
@@ -112,6 +113,21 @@ def recent_by_user(spark, sf):
         [F.col("created_at").desc(), F.col("saved_id")], 6).select("user_id", "rank", "saved_id")
 
 
+def latest_per_key(spark, sf):
+    """Newest order of every customer."""
+    return R.latest_per_key(
+        B.order_items(spark, sf).select("creator_id", "item_id", "views", "published_at"),
+        ["creator_id"], [F.col("published_at"), F.col("item_id")]).select("creator_id", "item_id", "views")
+
+
+def platform_overlap(spark, sf):
+    """Case-insensitive overlap of each profile's platforms with those its orders use."""
+    used = B.order_items(spark, sf).groupBy(F.col("creator_id").alias("user_id")).agg(
+        F.collect_set("platform").alias("used"))
+    return B.customer_profiles(spark, sf).join(used, "user_id").select(
+        "user_id", F.array_join(overlap(F.col("platforms"), F.col("used")), ",").alias("shared"))
+
+
 def upsert_batch(spark, sf):
     """Events as collected rows of the items (event type, user)."""
     return B.table(spark, sf, "events").select(
@@ -432,6 +448,13 @@ QUERIES = {
         LEFT JOIN part p ON s.entity_type = 'scenario' AND s.entity_id = CAST(p.p_partkey AS VARCHAR)"""),
     "recent_by_user": (recent_by_user, f"""SELECT user_id, rank, saved_id FROM (SELECT *, row_number() OVER (
         PARTITION BY user_id ORDER BY created_at DESC, saved_id) AS rank FROM ({_SAVED})) WHERE rank <= 6"""),
+    "latest_per_key": (latest_per_key, sql(
+        """SELECT creator_id, item_id, views FROM (SELECT *, row_number() OVER (
+        PARTITION BY creator_id ORDER BY published_at DESC, item_id DESC) AS r FROM items) WHERE r = 1""", "items")),
+    "platform_overlap": (platform_overlap, sql(
+        """SELECT user_id, array_to_string(list_sort(list_intersect(platforms, used)), ',') AS shared FROM profiles
+        JOIN (SELECT creator_id, list(DISTINCT platform) AS used FROM items GROUP BY 1) ON creator_id = user_id""",
+        "profiles", "items")),
     "upsert_items": (upsert_items, f"WITH {_UPSERT} SELECT * FROM merged"),
     "upsert_counts": (upsert_counts, f"""WITH {_UPSERT} SELECT count(*) FILTER (change = 'inserted') AS ingested,
         CAST(sum(batch_rows) AS BIGINT) - count(*) FILTER (change = 'inserted') AS updated FROM merged"""),

@@ -233,6 +233,18 @@ def narration_input(spark, sf):
         "trend_id", "opportunity_score", "item_id", "rank", "duration_sec", "niche")
 
 
+def trend_details(spark, sf):
+    members = B.event_members(spark, sf)
+    creators = members.groupBy("creator_id").agg(F.max("followers").alias("followers"))
+    detail = R.trend_details(
+        members.select("trend_id").distinct(), members.select("trend_id", "item_id", "similarity"),
+        members.select("item_id", "creator_id", "views", "likes", "comments", "shares", "saves"),
+        creators, members.select("item_id", "production_difficulty"))
+    return detail.select("trend_id", F.explode("videos").alias("v")).select(
+        "trend_id", "v.rank", "v.item_id", "v.similarity", "v.engagement_rate", "v.creator.followers",
+        F.col("v.analysis.production_difficulty").alias("difficulty"))
+
+
 _ORDER = "ORDER BY opportunity_score DESC, trend_id"
 _LISTS = ", ".join(f"array_to_string({c}, ',') AS {c}" for c in A.LIST_COLUMNS.values())
 _REALS = ", ".join(f"round({c}, 6) AS {c}" for c in AGG_REALS)
@@ -390,6 +402,11 @@ QUERIES = {
         SELECT trend_id, niche, min(item_id) AS first FROM members GROUP BY 1, 2) GROUP BY trend_id""", "members")),
     "member_rank": (members_ranked, sql(
         f"SELECT *, rank <= 4 AS is_exemplar FROM ({_MEMBERS})", "members")),
+    "trend_details": (trend_details, sql(
+        f"""SELECT trend_id, m.rank, item_id, similarity, round(CASE WHEN views = 0 THEN 0.0
+        ELSE (likes + comments + shares + saves) / views::DOUBLE END, 5) AS engagement_rate, followers,
+        production_difficulty AS difficulty FROM ({_MEMBERS}) m JOIN members USING (trend_id, item_id)
+        WHERE m.rank <= 24""", "members")),
     "narration_input": (narration_input, sql(
         f"""SELECT t.trend_id, opportunity_score, m.item_id, m.rank, x.duration_sec, x.niche
         FROM (SELECT trend_id, opportunity_score FROM trends WHERE video_count >= 10 {_ORDER} LIMIT 8) t
