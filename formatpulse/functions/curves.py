@@ -77,8 +77,9 @@ def creator_lift(views: Column, baseline: Column, followers: Column) -> Column:
 
 
 def round_to(x: Column, digits: int) -> Column:
-    """Half-up on the shortest decimal form, as Spark rounds doubles."""
-    return F.round(x, digits)
+    """Nearest multiple of 10^-digits, exact halves to even; never a negative zero."""
+    scale = F.lit(float(10**digits))
+    return F.rint(x * scale) / scale + F.lit(0.0)
 
 
 def truthy(incoming: Column, existing: Column) -> Column:

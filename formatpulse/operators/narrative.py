@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formatpulse.functions.arrays import ordered_distinct
+from formatpulse.functions.curves import round_to
 from formatpulse.functions.quantiles import group_medians
 from formatpulse.operators.aggregates import mode_of
 from formatpulse.operators.ranking import top_k
@@ -145,13 +146,13 @@ def timed_structure(beats: Column, duration: Column) -> Column:
         1,
     )
     opening = F.struct(
-        F.lit(0.0).alias("start"), F.round(hook_end, 1).alias("end"),
+        F.lit(0.0).alias("start"), round_to(hook_end, 1).alias("end"),
         title_case(F.element_at(beats, 1)).alias("label"), F.lit(HOOK_DETAIL).alias("detail"),
     )
     later = F.transform(
         parts,
         lambda p: F.struct(
-            F.round(p["start"], 1).alias("start"), F.round(p["end"], 1).alias("end"),
+            round_to(p["start"], 1).alias("start"), round_to(p["end"], 1).alias("end"),
             title_case(F.element_at(beats, p["i"] + 2)).alias("label"), F.lit("").alias("detail"),
         ),
     )
@@ -223,7 +224,7 @@ def describe_clusters(members: DataFrame, stats: DataFrame) -> DataFrame:
     seconds = F.coalesce(F.nullif(F.col("median_duration_sec"), F.lit(0.0)), F.lit(30.0))
     whole = F.floor(seconds).cast("string")
     arrows = F.array_join("beats", " → ")
-    pct = F.round(F.round(F.col("growth_7d") * 100, 1), 0).cast("bigint")
+    pct = round_to(round_to(F.col("growth_7d") * 100, 1), 0).cast("bigint")
     signed = F.concat(F.when(pct >= 0, "+").otherwise(""), pct.cast("string"))
     nothing = F.array().cast("array<string>")
     return joined.select(
@@ -233,7 +234,7 @@ def describe_clusters(members: DataFrame, stats: DataFrame) -> DataFrame:
         F.concat(
             capitalize(label), F.lit(" running about "), whole,
             F.lit(" seconds, structured as "), arrows, F.lit(". Adoption is "),
-            F.when(F.round(F.col("growth_7d") * 100, 1) > 0, "growing").otherwise("cooling"),
+            F.when(round_to(F.col("growth_7d") * 100, 1) > 0, "growing").otherwise("cooling"),
             F.lit(" ("), signed, F.lit("% week over week) across "),
             F.size("niches").cast("string"), F.lit(" niche(s)."),
         ).alias("summary"),

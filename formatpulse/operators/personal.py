@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formatpulse.functions.curves import round_to
 from formatpulse.functions.arrays import empty_strings, lowered
 from formatpulse.operators.ranking import top_k
 from formatpulse.session import cut
@@ -134,7 +135,7 @@ def _relevance(m: Column, use_breakdown: bool) -> Column:
         + F.when(m["effort"] <= F.col("p_capacity"), 0.14).otherwise(0.04)
         + goal
     )
-    return F.round(F.least(F.lit(1.0), score), 3)
+    return round_to(F.least(F.lit(1.0), score), 3)
 
 
 def _reasons(m: Column) -> Column:
@@ -170,7 +171,7 @@ def _scored(kinds: DataFrame, candidates: DataFrame, use_breakdown: bool) -> Dat
         _reasons(m).alias("relevance_reasons"),
     )
     blend = 0.6 * F.col("relevance_score") + 0.4 * (F.col("opportunity_score") / 100.0)
-    return scored.withColumn("feed_score", F.round(blend * 100, 1))
+    return scored.withColumn("feed_score", round_to(blend * 100, 1))
 
 
 FEED_ORDER = ("feed_score", "opportunity_score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formatpulse.functions.curves import engagement_rate
+from formatpulse.functions.curves import engagement_rate, round_to
 from formatpulse.functions.quantiles import HOT_ROWS
 from formatpulse.session import cut
 
@@ -96,7 +96,7 @@ def with_context(items: DataFrame, creators: DataFrame, features: DataFrame) ->
 
     rate = engagement_rate(*[F.col(c) for c in ("views", "likes", "comments", "shares", "saves")])
     return (
-        items.withColumn("engagement_rate", F.round(rate, 5))
+        items.withColumn("engagement_rate", round_to(rate, 5))
         .join(nested(creators, "creator_id", "creator"), "creator_id", "left")
         .join(nested(features, "item_id", "analysis"), "item_id", "left")
     )
@@ -157,7 +157,7 @@ def sparkline(
     )
     top = F.when(F.col("hi") == 0, F.lit(1.0)).otherwise(F.col("hi").cast("double"))
     return series.withColumn("hi", top).select(
-        key, F.transform("vs", lambda v: F.round(v / F.col("hi"), 3)).alias("sparkline")
+        key, F.transform("vs", lambda v: round_to(v / F.col("hi"), 3)).alias("sparkline")
     )
 
 

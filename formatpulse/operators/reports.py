@@ -39,8 +39,8 @@ def totals(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
           for c in ("trends", "videos", "analyzed_videos", "creators")],
         F.coalesce(F.sum("reach"), F.lit(0)).alias("total_reach"),
-        F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 1).alias("avg_trend_score"),
-        F.round(F.coalesce(F.avg("chance"), F.lit(0.0)), 1).alias("avg_opportunity"),
+        C.round_to(F.coalesce(F.avg("score"), F.lit(0.0)), 1).alias("avg_trend_score"),
+        C.round_to(F.coalesce(F.avg("chance"), F.lit(0.0)), 1).alias("avg_opportunity"),
     )
 
 
@@ -76,7 +76,7 @@ def by_niche(trends: DataFrame, k: int = 12) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("trends"),
             F.sum("video_count").alias("videos"),
-            F.round(F.avg("opportunity_score"), 1).alias("avg_opportunity"),
+            C.round_to(F.avg("opportunity_score"), 1).alias("avg_opportunity"),
         )
         .orderBy(F.col("trends").desc(), "niche")
         .limit(k)
@@ -174,7 +174,7 @@ def dashboard_stats(trends: DataFrame) -> DataFrame:
         F.coalesce(F.sum("creator_count"), F.lit(0)).alias("creators_tracked"),
         F.count_if(F.col("status").isin("emerging", "growing")).alias("rising_count"),
         F.count_if(F.col("status") == "viral").alias("viral_count"),
-        F.round(F.coalesce(F.avg("opportunity_score"), F.lit(0.0)), 1).alias("avg_opportunity"),
+        C.round_to(F.coalesce(F.avg("opportunity_score"), F.lit(0.0)), 1).alias("avg_opportunity"),
     )
 
 

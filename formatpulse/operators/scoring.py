@@ -125,9 +125,9 @@ def score_components(
             F.struct(
                 F.lit(k).alias("key"),
                 F.lit(labels[k]).alias("label"),
-                F.round(signals[k], 3).alias("value"),
+                C.round_to(signals[k], 3).alias("value"),
                 F.lit(w).alias("weight"),
-                F.round(F.lit(100.0 * w) * signals[k], 1).alias("contribution"),
+                C.round_to(F.lit(100.0 * w) * signals[k], 1).alias("contribution"),
             ).alias("c"),
         )
         for pos, (k, w) in enumerate(weights.items())
@@ -192,32 +192,32 @@ def score_trends(aggregates: DataFrame, half_life: float = HALF_LIFE_HOURS) -> D
     )
     breakdown = F.struct(
         F.struct(
-            F.round("__score", 1).alias("total"),
+            C.round_to(F.col("__score"), 1).alias("total"),
             score_components(trend_signals, TREND_WEIGHTS, TREND_LABELS).alias("components"),
         ).alias("trend_score"),
         F.struct(
-            F.round("__chance", 1).alias("total"),
+            C.round_to(F.col("__chance"), 1).alias("total"),
             score_components(chance_signals, OPPORTUNITY_WEIGHTS, OPPORTUNITY_LABELS).alias(
                 "components"
             ),
         ).alias("opportunity_score"),
         F.struct(
-            F.round(F.col("growth_7d") * 100, 1).alias("growth_7d_pct"),
-            F.round(F.col("growth_24h") * 100, 1).alias("growth_24h_pct"),
-            F.round("median_velocity", 1).alias("median_velocity_per_hour"),
-            F.round("median_creator_lift", 2).alias("median_creator_lift"),
+            C.round_to(F.col("growth_7d") * 100, 1).alias("growth_7d_pct"),
+            C.round_to(F.col("growth_24h") * 100, 1).alias("growth_24h_pct"),
+            C.round_to(F.col("median_velocity"), 1).alias("median_velocity_per_hour"),
+            C.round_to(F.col("median_creator_lift"), 2).alias("median_creator_lift"),
             "creator_count",
             "video_count",
-            F.round("avg_engagement_rate", 4).alias("avg_engagement_rate"),
+            C.round_to(F.col("avg_engagement_rate"), 4).alias("avg_engagement_rate"),
             F.col("__base").alias("engagement_baseline"),
-            F.round("__sat", 3).alias("saturation"),
-            F.round("median_age_hours", 1).alias("median_age_hours"),
+            C.round_to(F.col("__sat"), 3).alias("saturation"),
+            C.round_to(F.col("median_age_hours"), 1).alias("median_age_hours"),
         ).alias("inputs"),
     )
     return df.select(
         *aggregates.columns,
-        F.round("__score", 1).alias("trend_score"),
-        F.round(F.least(F.lit(100.0), F.col("__chance")), 1).alias("opportunity_score"),
+        C.round_to(F.col("__score"), 1).alias("trend_score"),
+        C.round_to(F.least(F.lit(100.0), F.col("__chance")), 1).alias("opportunity_score"),
         "status", "competition_level", "adaptability",
         breakdown.alias("score_breakdown"),
     )
@@ -252,12 +252,12 @@ def explain_opportunity(trends: DataFrame) -> DataFrame:
         before, after = REASONS[key]
         return F.concat(F.lit(before), number.cast("string"), F.lit(after))
 
-    percent = F.round(growth, 0).cast("bigint")
+    percent = C.round_to(growth, 0).cast("bigint")
     reasons = F.array(
         F.when(growth >= 50, around("up", percent)).when(growth <= 0, around("down", percent)),
         F.when(level == "low", around("open", inputs["creator_count"])).when(
             level == "high", REASONS["crowded"]),
-        F.when(lift >= 1.5, around("lift", F.round(lift, 1))),
+        F.when(lift >= 1.5, around("lift", C.round_to(lift, 1))),
         F.when(F.col("adaptability") == "high", REASONS["travels"]),
         F.when(F.col("production_difficulty") == "low", REASONS["easy"]),
     )

@@ -18,7 +18,7 @@ from formatpulse.operators import upserts as U
 from formatpulse.operators.components import connected_components
 from formatpulse.operators.slugs import slug_dedupe
 from formatpulse.plans import bindings as B
-from formatpulse.plans.oracle import VEC, sql, useful
+from formatpulse.plans.oracle import VEC, rnd, sql, useful
 from formatpulse.session import spread
 
 # The test vectors have almost no label structure, so cuts sit in their own range.
@@ -278,8 +278,8 @@ _SIG = f"""SELECT item_id, array_to_string(list_filter(CASE WHEN n_chars % 2 = 0
   ELSE [{useful('hook')}, {useful('hook240')}, substr(caption, 1, 400), lang, lang, niche || ' content', content_format] END,
   lambda x: x <> ''), ' ') AS signature FROM (SELECT *, COALESCE(NULLIF(hook180, ''), '(hook not recoverable from metadata)') AS hook FROM docs)"""
 _TITLE = "upper(role[1]) || role[2:]"
-_TIMED = f"""SELECT trend_id, i - 1 AS pos, CASE WHEN i = 1 THEN 0.0 ELSE round(h + (d - h) * (before / total), 1) END AS start,
-  CASE WHEN i = 1 THEN round(h, 1) ELSE round(least(d, h + (d - h) * ((before + w) / total)), 1) END AS "end",
+_TIMED = f"""SELECT trend_id, i - 1 AS pos, CASE WHEN i = 1 THEN 0.0 ELSE {rnd('h + (d - h) * (before / total)', 1)} END AS start,
+  CASE WHEN i = 1 THEN {rnd('h', 1)} ELSE {rnd('least(d, h + (d - h) * ((before + w) / total))', 1)} END AS "end",
   {_TITLE} AS label, CASE WHEN i = 1 THEN 'The promise is made before anything is explained.' ELSE '' END AS detail
   FROM (SELECT *, least(3.0::DOUBLE, d * 0.12::DOUBLE) AS h,
     COALESCE(sum(w) OVER (PARTITION BY trend_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
@@ -317,8 +317,8 @@ _DESCRIBE = f""", {_MODAL_SIM},
     bool_or(turns > 7) AS payoff FROM m GROUP BY 1)
   SELECT st.trend_id, upper(fmt[1]) || fmt[2:] AS name, COALESCE(pat, fmt) AS format_pattern,
     upper(fmt[1]) || fmt[2:] || ' running about ' || CAST(CAST(floor(d) AS BIGINT) AS VARCHAR) || ' seconds, structured as '
-    || array_to_string(beat_list, ' → ') || '. Adoption is ' || CASE WHEN round(g * 100, 1) > 0 THEN 'growing' ELSE 'cooling' END || ' ('
-    || CASE WHEN round(g * 100, 0) >= 0 THEN '+' ELSE '' END || CAST(CAST(round(g * 100, 0) AS BIGINT) AS VARCHAR) || '% week over week) across '
+    || array_to_string(beat_list, ' → ') || '. Adoption is ' || CASE WHEN {rnd('g * 100', 1)} > 0 THEN 'growing' ELSE 'cooling' END || ' ('
+    || CASE WHEN {rnd('g * 100', 0)} >= 0 THEN '+' ELSE '' END || CAST(CAST({rnd('g * 100', 0)} AS BIGINT) AS VARCHAR) || '% week over week) across '
     || CAST(niches AS VARCHAR) || ' niche(s).' AS summary,
     'Structure: ' || array_to_string(beat_list, ' → ') || ' | Median duration: ' || CAST(CAST(floor(d) AS BIGINT) AS VARCHAR) || 's | ' || e AS common_elements,
     'curiosity_gap,concrete_promise,low_production_cost' || CASE WHEN niches >= 3 THEN ',topic_portable' ELSE '' END

@@ -15,7 +15,7 @@ from formatpulse.operators import signals as G
 from formatpulse.operators import upserts as U
 from formatpulse.plans import bindings as B
 from formatpulse.plans.catalogue_scores import day, r6
-from formatpulse.plans.oracle import T_NOW, hours, sql
+from formatpulse.plans.oracle import T_NOW, hours, rnd, sql
 
 NOW = B.ORDERS_NOW
 # Corpus window and gate of the order binding: dates, prices and rates of that table.
@@ -328,7 +328,7 @@ def relevance_sql() -> str:
     adjacency = " UNION ALL ".join(
         f"SELECT '{k}' AS niche, {list(v)!r} AS near" for k, v in N.ADJACENT_NICHES.items())
     goal = " ".join(
-        f"WHEN '{g}' THEN {w!r}::DOUBLE * round(o_{s}, 3)" for g, (s, w) in N.GOALS.items())
+        f"WHEN '{g}' THEN {w!r}::DOUBLE * {rnd(f'o_{s}', 3)}" for g, (s, w) in N.GOALS.items())
     effort = lambda c: f"(CASE {c} WHEN 'low' THEN 0 WHEN 'high' THEN 2 ELSE 1 END)"
     return f"""pairs AS (
       SELECT p.user_id, p.niche, t.trend_id, t.opportunity_score, t.adaptability, t.pool_rank,
@@ -342,12 +342,13 @@ def relevance_sql() -> str:
         CASE p.goal {goal} ELSE 0.0 END AS goal_part
       FROM profiles p LEFT JOIN ({adjacency}) a ON a.niche = p.niche
       CROSS JOIN (SELECT *, row_number() OVER (ORDER BY opportunity_score DESC, trend_id) AS pool_rank FROM trends) t),
-    rel AS (SELECT *, round(least(1.0,
+    total AS (SELECT *, least(1.0,
         CASE WHEN exact THEN 0.40::DOUBLE WHEN adj IS NOT NULL THEN 0.26 WHEN adaptability = 'high' THEN 0.16 ELSE 0.0 END
         + CASE WHEN len(shared) > 1 THEN 0.22::DOUBLE WHEN len(shared) = 1 THEN 0.17 ELSE 0.0 END
         + CASE WHEN any_lang OR lang THEN 0.12::DOUBLE ELSE 0.0 END
         + CASE WHEN kind IS NOT NULL THEN 0.12::DOUBLE ELSE 0.0 END
-        + CASE WHEN effort <= cap THEN 0.14::DOUBLE ELSE 0.04 END + goal_part), 3) AS relevance_score,
+        + CASE WHEN effort <= cap THEN 0.14::DOUBLE ELSE 0.04 END + goal_part) AS total FROM pairs),
+    rel AS (SELECT *, {rnd('total', 3)} AS relevance_score,
       array_to_string(list_filter([
         CASE WHEN exact THEN 'Already working in ' || niche
           WHEN adj IS NOT NULL THEN 'Working in ' || adj || ', which shares formats with ' || niche
@@ -357,8 +358,8 @@ def relevance_sql() -> str:
         CASE WHEN kind IS NOT NULL THEN 'Matches your ' || kind || ' content' END,
         CASE WHEN effort > cap THEN 'Needs more production than you usually do'
           WHEN effort = 0 THEN 'Low production effort' END], lambda x: x IS NOT NULL)[1:3], ' | ') AS reasons
-      FROM pairs),
-    fed AS (SELECT *, round((0.6::DOUBLE * relevance_score + 0.4::DOUBLE * (opportunity_score / 100.0::DOUBLE)) * 100, 1) AS feed_score FROM rel)"""
+      FROM total),
+    fed AS (SELECT *, {rnd('(0.6::DOUBLE * relevance_score + 0.4::DOUBLE * (opportunity_score / 100.0::DOUBLE)) * 100', 1)} AS feed_score FROM rel)"""
 
 
 def _fed(select: str) -> str:

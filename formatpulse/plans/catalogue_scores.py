@@ -15,7 +15,7 @@ from formatpulse.operators import scoring as SC
 from formatpulse.operators import signals as G
 from formatpulse.operators import upserts as U
 from formatpulse.plans import bindings as B
-from formatpulse.plans.oracle import E_NOW, hours, sql
+from formatpulse.plans.oracle import E_NOW, hours, rnd, sql
 
 NOW = B.EVENTS_NOW
 
@@ -260,17 +260,17 @@ def _long() -> str:
         for key, weight in weights.items():
             rows.append(
                 f"""SELECT trend_id, '{score}' AS score, '{key}' AS key, '{labels[key]}' AS label,
-                round({prefix}_{key}, 3) AS value, {weight!r}::DOUBLE AS weight,
-                round({100.0 * weight!r}::DOUBLE * {prefix}_{key}, 1) AS contribution FROM trends""")
+                {rnd(f"{prefix}_{key}", 3)} AS value, {weight!r}::DOUBLE AS weight,
+                {rnd(f"{100.0 * weight!r}::DOUBLE * {prefix}_{key}", 1)} AS contribution FROM trends""")
     return " UNION ALL ".join(rows)
 
 
-_REASONS = """SELECT trend_id, row_number() OVER (PARTITION BY trend_id ORDER BY o) - 1 AS pos, reason FROM (
- SELECT trend_id, 1 AS o, CASE WHEN g >= 50 THEN 'Adoption is up ' || CAST(CAST(round(g, 0) AS BIGINT) AS VARCHAR) || '% week over week — creators are still entering the format, not leaving it.'
-   WHEN g <= 0 THEN 'Adoption moved ' || CAST(CAST(round(g, 0) AS BIGINT) AS VARCHAR) || '% this week, so the window is closing rather than opening.' END AS reason FROM (SELECT trend_id, round(growth_7d * 100, 1) AS g FROM trends)
+_REASONS = f"""SELECT trend_id, row_number() OVER (PARTITION BY trend_id ORDER BY o) - 1 AS pos, reason FROM (
+ SELECT trend_id, 1 AS o, CASE WHEN g >= 50 THEN 'Adoption is up ' || CAST(CAST({rnd('g', 0)} AS BIGINT) AS VARCHAR) || '% week over week — creators are still entering the format, not leaving it.'
+   WHEN g <= 0 THEN 'Adoption moved ' || CAST(CAST({rnd('g', 0)} AS BIGINT) AS VARCHAR) || '% this week, so the window is closing rather than opening.' END AS reason FROM (SELECT trend_id, {rnd('growth_7d * 100', 1)} AS g FROM trends)
  UNION ALL SELECT trend_id, 2, CASE competition_level WHEN 'low' THEN 'Only ' || CAST(creator_count AS VARCHAR) || ' creators have adopted it, so the format is not yet crowded.'
    WHEN 'high' THEN 'Competition is high — large accounts already own this format, so differentiation matters more than speed.' END FROM trends
- UNION ALL SELECT trend_id, 3, CASE WHEN l >= 1.5 THEN 'Videos in this format do ' || CAST(round(l, 1) AS VARCHAR) || 'x their creator''s normal views, which means the format is carrying the performance, not the audience size.' END FROM (SELECT trend_id, round(median_creator_lift, 2) AS l FROM trends)
+ UNION ALL SELECT trend_id, 3, CASE WHEN l >= 1.5 THEN 'Videos in this format do ' || CAST({rnd('l', 1)} AS VARCHAR) || 'x their creator''s normal views, which means the format is carrying the performance, not the audience size.' END FROM (SELECT trend_id, {rnd('median_creator_lift', 2)} AS l FROM trends)
  UNION ALL SELECT trend_id, 4, CASE WHEN adaptability = 'high' THEN 'It already works across several unrelated niches, so it should travel well.' END FROM trends
  UNION ALL SELECT trend_id, 5, CASE WHEN production_difficulty = 'low' THEN 'Production difficulty is low — a phone and a screen recorder are enough.' END FROM trends
 ) WHERE reason IS NOT NULL"""
@@ -290,10 +290,10 @@ _BACKFILL = f"""SELECT trend_id, d AS days_ago,
   FROM signals JOIN (SELECT unnest(range(1, 15)) AS d) ON published_at <= {E_NOW} - to_days(CAST(d AS INTEGER))
   GROUP BY trend_id, d"""
 
-_SPARK = """SELECT trend_id, row_number() OVER (PARTITION BY trend_id ORDER BY captured_at) - 1 AS pos,
-  round(video_count / (max(video_count) OVER (PARTITION BY trend_id))::DOUBLE, 3) AS value FROM (
+_SPARK = f"""SELECT trend_id, row_number() OVER (PARTITION BY trend_id ORDER BY captured_at) - 1 AS pos,
+  {rnd('video_count / hi::DOUBLE', 3)} AS value FROM (SELECT *, max(video_count) OVER (PARTITION BY trend_id) AS hi FROM (
   SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY captured_at DESC) AS r FROM snapshots)
-  WHERE r <= 14"""
+  WHERE r <= 14)"""
 
 _VELOCITY = f"""SELECT u.item_id, round(CASE WHEN t2 > t1 THEN greatest(0.0, (v2 - v1) / {hours('t1', 't2')})
   ELSE views / greatest(1.0, {hours('published_at', E_NOW)}) END, 6) AS velocity
@@ -316,10 +316,10 @@ QUERIES = {
     "trend_scores": (trend_scores, sql(f"SELECT trend_id, {', '.join(SCORED)} FROM trends", "trends")),
     "score_breakdown_long": (score_breakdown_long, sql(_long(), "trends")),
     "score_inputs": (score_inputs, sql(
-        """SELECT trend_id, round(growth_7d * 100, 1) AS growth_7d_pct, round(growth_24h * 100, 1) AS growth_24h_pct,
-        round(median_velocity, 1) AS median_velocity_per_hour, round(median_creator_lift, 2) AS median_creator_lift,
-        creator_count, video_count, round(avg_engagement_rate, 4) AS avg_engagement_rate, base AS engagement_baseline,
-        round(sat, 3) AS saturation, round(median_age_hours, 1) AS median_age_hours FROM trends""", "trends")),
+        f"""SELECT trend_id, {rnd('growth_7d * 100', 1)} AS growth_7d_pct, {rnd('growth_24h * 100', 1)} AS growth_24h_pct,
+        {rnd('median_velocity', 1)} AS median_velocity_per_hour, {rnd('median_creator_lift', 2)} AS median_creator_lift,
+        creator_count, video_count, {rnd('avg_engagement_rate', 4)} AS avg_engagement_rate, base AS engagement_baseline,
+        {rnd('sat', 3)} AS saturation, {rnd('median_age_hours', 1)} AS median_age_hours FROM trends""", "trends")),
     "opportunity_reasons": (opportunity_reasons, sql(_REASONS, "trends")),
     "latest_velocity": (latest_velocity, sql(_VELOCITY, "upoints")),
     "prior_velocity": (prior_velocity, sql(
@@ -359,8 +359,8 @@ QUERIES = {
         """SELECT s.status, count(t.trend_id) AS count FROM (SELECT unnest(['emerging', 'growing', 'viral', 'declining']) AS status) s
         LEFT JOIN trends t ON t.status = s.status GROUP BY s.status""", "trends")),
     "by_niche": (by_niche, sql(
-        """SELECT niche, count(*) AS trends, CAST(sum(video_count) AS BIGINT) AS videos,
-        round(avg(opportunity_score), 1) AS avg_opportunity FROM (
+        f"""SELECT niche, count(*) AS trends, CAST(sum(video_count) AS BIGINT) AS videos,
+        {rnd('avg(opportunity_score)', 1)} AS avg_opportunity FROM (
         SELECT unnest(niches) AS niche, video_count, opportunity_score FROM trends)
         GROUP BY niche ORDER BY trends DESC, niche LIMIT 12""", "trends")),
     "score_distribution": (score_distribution, sql(
@@ -372,18 +372,18 @@ QUERIES = {
         CAST(sum(creator_count) AS BIGINT) AS creators FROM snapshots
         WHERE captured_at >= {E_NOW} - INTERVAL 30 DAY GROUP BY 1""", "snapshots")),
     "totals": (totals, sql(
-        """SELECT count(*) AS trends, (SELECT count(*) FROM events) AS videos,
+        f"""SELECT count(*) AS trends, (SELECT count(*) FROM events) AS videos,
         (SELECT count(*) FROM lineitem) AS analyzed_videos, (SELECT count(*) FROM customer) AS creators,
         CAST(sum(avg_views * video_count) AS BIGINT) AS total_reach,
-        round(avg(trend_score), 1) AS avg_trend_score, round(avg(opportunity_score), 1) AS avg_opportunity
+        {rnd('avg(trend_score)', 1)} AS avg_trend_score, {rnd('avg(opportunity_score)', 1)} AS avg_opportunity
         FROM trends""", "trends")),
     "facets": (facets, sql(_FACET, "trends")),
     "dashboard_stats": (dashboard_stats, sql(
-        """SELECT count(*) AS tracked_trends, CAST(sum(video_count) AS BIGINT) AS videos_analyzed,
+        f"""SELECT count(*) AS tracked_trends, CAST(sum(video_count) AS BIGINT) AS videos_analyzed,
         CAST(sum(creator_count) AS BIGINT) AS creators_tracked,
         count(*) FILTER (status IN ('emerging', 'growing')) AS rising_count,
         count(*) FILTER (status = 'viral') AS viral_count,
-        round(avg(opportunity_score), 1) AS avg_opportunity FROM trends""", "trends")),
+        {rnd('avg(opportunity_score)', 1)} AS avg_opportunity FROM trends""", "trends")),
     "top_movers": (top_movers, sql(
         """SELECT trend_id, round(growth_7d, 6) AS growth_7d FROM trends
         ORDER BY trends.growth_7d DESC, trend_id LIMIT 8""", "trends")),
@@ -403,8 +403,7 @@ QUERIES = {
     "member_rank": (members_ranked, sql(
         f"SELECT *, rank <= 4 AS is_exemplar FROM ({_MEMBERS})", "members")),
     "trend_details": (trend_details, sql(
-        f"""SELECT trend_id, m.rank, item_id, similarity, round(CASE WHEN views = 0 THEN 0.0
-        ELSE (likes + comments + shares + saves) / views::DOUBLE END, 5) AS engagement_rate, followers,
+        f"""SELECT trend_id, m.rank, item_id, similarity, {rnd('CASE WHEN views = 0 THEN 0.0 ELSE (likes + comments + shares + saves) / views::DOUBLE END', 5)} AS engagement_rate, followers,
         production_difficulty AS difficulty FROM ({_MEMBERS}) m JOIN members USING (trend_id, item_id)
         WHERE m.rank <= 24""", "members")),
     "narration_input": (narration_input, sql(

@@ -41,6 +41,13 @@ def hours(a: str, b: str) -> str:
     return f"((epoch_us({b}) - epoch_us({a})) / 3600000000.0::DOUBLE)"
 
 
+def rnd(x: str, digits: int) -> str:
+    """Nearest multiple of 10^-digits, exact halves to even."""
+    y, scale = f"(({x}) * {float(10**digits)!r}::DOUBLE)", f"{float(10**digits)!r}::DOUBLE"
+    return (f"(CASE WHEN abs({y} - trunc({y})) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END"
+            f" / {scale} + 0.0::DOUBLE)")
+
+
 def pick(x: str, table: dict[str, float], default: float) -> str:
     cases = " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in table.items())
     return f"(CASE {x} {cases} ELSE {default!r}::DOUBLE END)"
@@ -187,8 +194,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         {log_scale('median_views', 400000)} AS reach,
         (creator_count >= 20 AND video_count >= 20) AS broad,
         {', '.join(f'{v} AS o_{k}' for k, v in _CHANCE.items())} FROM sig"""),
-    "trends": (("raw",), """SELECT * EXCLUDE (raw_chance), round(raw_score, 1) AS trend_score,
-        round(least(100.0, chance), 1) AS opportunity_score,
+    "trends": (("raw",), f"""SELECT * EXCLUDE (raw_chance), {rnd('raw_score', 1)} AS trend_score,
+        {rnd('least(100.0, chance)', 1)} AS opportunity_score,
         CASE WHEN sat < 0.38 THEN 'low' WHEN sat < 0.56 THEN 'medium' ELSE 'high' END AS competition_level,
         upper(kind[1]) || kind[2:] || ' format ' || digit AS name,
         kind || '-format-' || digit AS slug,

@@ -88,7 +88,7 @@ def nightly_rebuild(
         .drop("__seen", "first_published_at")
     )
     ids = gold.select("trend_id", "gold_id")
-    lifts = signals.select("item_id", F.round("lift", 3).alias("creator_lift"))
+    lifts = signals.select("item_id", C.round_to(F.col("lift"), 3).alias("creator_lift"))
     bridge = (
         member_rank(members).join(lifts, "item_id").join(ids, "trend_id")
         .select(F.col("gold_id").alias("trend_id"), "item_id", "similarity", "is_exemplar",

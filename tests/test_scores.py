@@ -53,8 +53,8 @@ def test_rates_and_lift(spark):
         C.creator_lift(lit(40), lit(20), lit(10_000)), C.creator_lift(lit(40), lit(0), lit(1000)),
         C.creator_lift(lit(40), lit(0), lit(5)), C.creator_lift(lit(40), lit(None).cast("int"), lit(0)),
         C.truthy(lit(0), lit(7)), C.truthy(lit(""), lit("x")), C.truthy(lit("y"), lit("x")),
-        C.round_to(lit(2.675), 2))
-    assert got == [0.0, 0.1, 0.21, 2.0, 0.5, 40.0, 40.0, 7, "x", "y", 2.68]
+        C.round_to(lit(2.675), 2), C.round_to(lit(0.125), 2), C.round_to(lit(0.5075), 3))
+    assert got == [0.0, 0.1, 0.21, 2.0, 0.5, 40.0, 40.0, 7, "x", "y", 2.67, 0.12, 0.507]
 
 
 @pytest.mark.parametrize("recent,prior,want", [(0, 0, 0.0), (1, 0, 1.0), (3, 0, 2.0), (6, 4, 0.5)])
