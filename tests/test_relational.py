@@ -133,6 +133,10 @@ def trend_rows(spark, n=57, seed=1):
         "score_breakdown struct<opportunity_score:struct<components:array<struct<key:string,value:double>>>>")
 
 
+def half_even(x, n):
+    return round(x * 10**n) / 10**n
+
+
 def plain_relevance(t, p):
     niche, score = (p[1] or "").lower(), 0.0
     tn = {x.lower() for x in t[4]}
@@ -150,7 +154,7 @@ def plain_relevance(t, p):
     if p[5] in U.GOALS:
         key, weight = U.GOALS[p[5]]
         score += weight * dict(t[8][0][0]).get(key, 0.5)
-    return round(min(1.0, score) + 1e-12, 3)
+    return half_even(min(1.0, score), 3)
 
 
 @pytest.mark.parametrize("chunk_rows", [2_000, 10])
@@ -165,7 +169,7 @@ def test_feed_and_in_niche_against_plain_python(spark, chunk_rows):
     pdf = spark.createDataFrame(profiles, PROFILE)
 
     def plain(pool, p):
-        rows = [(-round(100 * (0.6 * plain_relevance(t, p) + 0.4 * t[1] / 100) + 1e-9, 1), -t[1], t[0], t) for t in pool]
+        rows = [(-half_even((0.6 * plain_relevance(t, p) + 0.4 * (t[1] / 100)) * 100, 1), -t[1], t[0], t) for t in pool]
         return sorted(rows, key=lambda r: r[:3])
 
     pool = sorted(trends, key=lambda t: (-t[1], t[0]))[:40]
