@@ -76,10 +76,24 @@ def creator_lift(views: Column, baseline: Column, followers: Column) -> Column:
     return views / F.coalesce(F.nullif(baseline, F.lit(0)), guess)
 
 
+SPLITTER = 134_217_729.0  # 2^27 + 1 halves the bits of a double
+
+
 def round_to(x: Column, digits: int) -> Column:
-    """Nearest multiple of 10^-digits, exact halves to even; never a negative zero."""
+    """Nearest multiple of 10^-digits of the exact binary value, exact halves to even.
+
+    Scaling can round a value just beside a half onto it. The error of that product is
+    recovered without loss from the two halves of ``x`` and decides such cases; the
+    result is never a negative zero.
+    """
     scale = F.lit(float(10**digits))
-    return F.rint(x * scale) / scale + F.lit(0.0)
+    scaled = x * scale
+    high = x * SPLITTER - (x * SPLITTER - x)
+    error = (high * scale - scaled) + (x - high) * scale
+    below = F.floor(scaled).cast("double")
+    on_half = (scaled - below == 0.5) & (error != 0)
+    whole = F.when(on_half, below + (error > 0).cast("double")).otherwise(F.rint(scaled))
+    return whole / scale + F.lit(0.0)
 
 
 def truthy(incoming: Column, existing: Column) -> Column:

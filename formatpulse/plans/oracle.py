@@ -42,9 +42,14 @@ def hours(a: str, b: str) -> str:
 
 
 def rnd(x: str, digits: int) -> str:
-    """Nearest multiple of 10^-digits, exact halves to even."""
-    y, scale = f"(({x}) * {float(10**digits)!r}::DOUBLE)", f"{float(10**digits)!r}::DOUBLE"
-    return (f"(CASE WHEN abs({y} - trunc({y})) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END"
+    """Nearest multiple of 10^-digits of the exact binary value, exact halves to even."""
+    x, scale = f"(({x})::DOUBLE)", f"{float(10**digits)!r}::DOUBLE"
+    y, split = f"({x} * {scale})", f"({x} * 134217729.0::DOUBLE)"
+    high = f"({split} - ({split} - {x}))"
+    error = f"(({high} * {scale} - {y}) + ({x} - {high}) * {scale})"
+    return (f"(CASE WHEN {y} - floor({y}) = 0.5 AND {error} > 0 THEN floor({y}) + 1"
+            f" WHEN {y} - floor({y}) = 0.5 AND {error} < 0 THEN floor({y})"
+            f" WHEN {y} - floor({y}) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END"
             f" / {scale} + 0.0::DOUBLE)")
 
 

@@ -134,7 +134,7 @@ def trend_rows(spark, n=57, seed=1):
 
 
 def half_even(x, n):
-    return round(x * 10**n) / 10**n
+    return round(x, n)
 
 
 def plain_relevance(t, p):

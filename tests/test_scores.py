@@ -44,6 +44,14 @@ def test_sql_functions_equal_columns(spark):
         assert (r.a, r.c, r.e, r.g) == pytest.approx((r.b, r.d, r.f, r.h))
 
 
+def test_rounding_equals_python_on_ties_and_beside_them(spark):
+    values = [k / 10**d for d in (2, 3, 4) for k in range(-2000, 2000, 5)] + [0.125, 2.675, 72.05, 0.5075]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        for v, got in df.select("v", C.round_to(F.col("v"), digits)).collect():
+            assert got == round(v, digits), (v, digits)
+
+
 def test_rates_and_lift(spark):
     lit = F.lit
     got = one(
