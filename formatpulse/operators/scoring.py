@@ -252,12 +252,13 @@ def explain_opportunity(trends: DataFrame) -> DataFrame:
         before, after = REASONS[key]
         return F.concat(F.lit(before), number.cast("string"), F.lit(after))
 
-    percent = C.round_to(growth, 0).cast("bigint")
+    percent = F.rint(growth).cast("bigint")
     reasons = F.array(
         F.when(growth >= 50, around("up", percent)).when(growth <= 0, around("down", percent)),
         F.when(level == "low", around("open", inputs["creator_count"])).when(
             level == "high", REASONS["crowded"]),
-        F.when(lift >= 1.5, around("lift", C.round_to(lift, 1))),
+        F.when(lift >= 1.5, around("lift", F.transform(
+            F.array(lift), lambda v: C.round_to(v, 1))[0])),
         F.when(F.col("adaptability") == "high", REASONS["travels"]),
         F.when(F.col("production_difficulty") == "low", REASONS["easy"]),
     )
