@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formatpulse.llm import decontam, licenses, linededup, mixing, urls
+from formatpulse.llm import decontam, licenses, linededup, mixing, orderminhash, quality, tokens, toxicity, urls
 from formatpulse.llm.common import table
 
 
@@ -18,6 +18,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "lang", "topic", "n_tokens", "probability", "weight", "kept")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -35,6 +51,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
+    "op3_token_counts": op3_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
