@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formatpulse.llm import decontam, linededup, mixing
+from formatpulse.llm import decontam, linededup, mixing, orderminhash, toxicity
 from formatpulse.llm.common import table
 from formatpulse.session import work_dir
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.7 or more go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; a document that has no other line goes with them."""
     out = linededup.dedup_lines(docs.select("doc_id", "text", "lang", "source", "n_chars"))
@@ -21,6 +26,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(~gone).drop("n_lines", "n_removed", "n_runs")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return orderminhash.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least 0.8 of a benchmark item's five-word shingles go."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -32,7 +42,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("mixing", mixing_stage),
 ]

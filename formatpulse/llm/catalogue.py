@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formatpulse.llm import decontam, licenses, linededup, mixing, orderminhash, quality, tokens, toxicity, urls
+from formatpulse.llm import decontam, licenses, linededup, mixing, orderminhash, quality, repeats, tokens, toxicity, urls
 from formatpulse.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.classes(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
     "op3_token_counts": op3_token_counts,
+    "op4_repeated_bytes": op4_repeated_bytes,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,

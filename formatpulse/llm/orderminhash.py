@@ -88,7 +88,7 @@ def sketch(names: np.ndarray, entries: int = SKETCHES, size: int = TUPLE) -> lis
     seeds = _mix(np.arange(1, entries + 1, dtype=np.uint64))
     lowest = np.tile(np.arange(len(names)), (entries, 1))
     if len(names) > size:
-        lowest = np.stack([np.argpartition(_mix(names ^ seed), size - 1)[:size] for seed in seeds])
+        lowest = np.stack([np.argpartition((names ^ seed) * _U(0x81DADEF4BC2DD44D), size - 1)[:size] for seed in seeds])
         lowest.sort(axis=1)
     value = seeds
     for column in lowest.T:
