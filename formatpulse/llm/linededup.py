@@ -86,7 +86,7 @@ def run_names(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return let(first, lambda names: doubled([names], 0, both))
 
     def columns(kept: Column) -> Column:
-        return F.struct(*[F.transform(kept, lambda x, f=f: x[f]).alias(f) for f in ("at", "words", "a", "b")])
+        return F.struct(*[kept[f].alias(f) for f in ("at", "words", "a", "b")])
 
     kept = let(F.filter(lined, lambda x: x["words"] > 0), columns)
     found = let(kept, lambda line: F.transform(
