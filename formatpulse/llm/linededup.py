@@ -120,7 +120,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     rows = numbered(docs)
     gone = store(deleted_lines(rows, min_words), "lines")
-    both = rows.join(gone, "__row", "left")
+    # text and places meet by shuffle at every size: both grow with the corpus
+    both = rows.join(gone.hint("shuffle_hash"), "__row", "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.array_join(F.transform(F.array_except(every, F.col("__gone")), lambda i: F.get(lines, i)), "\n")

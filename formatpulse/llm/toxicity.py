@@ -79,7 +79,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 10, rate: float = 0.03, batch: int = 100,
-          decay: float = 2e-5, dim: int = DIM, min_share: float = 0.006, seed: int = 5) -> tuple[np.ndarray, float]:
+          decay: float = 2e-5, dim: int = DIM, dropout: float = 0.5, min_share: float = 0.006, seed: int = 5) -> tuple[np.ndarray, float]:
     """(bucket scores, bias): a word's score is the mean of its buckets, a document's logit the mean
     of its words plus bias. Vectors and softmax are trained together by Adam."""
     rng = np.random.default_rng(seed)
@@ -103,6 +103,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, rate: float = 0
             sizes = np.array([len(bags[i][0]) for i in ids])
             bucket = np.concatenate([bags[i][0] for i in ids])
             weight = np.concatenate([bags[i][1] for i in ids])
+            weight = weight * (rng.random(len(weight), np.float32) >= dropout) / np.float32(1 - dropout)
             doc = np.repeat(np.arange(len(ids)), sizes)
             vectors = np.zeros((len(ids), dim), np.float32)
             if len(bucket):
