@@ -14,11 +14,13 @@ are equal. So dictionary and parse are combined as classes rather than as one so
 1. phrases whose next bytes (the part all their strings share) occur once in the corpus are dropped:
    none of their strings repeats;
 2. contexts that occur twice or more repeat as a whole;
-3. the distinct contexts left, the dictionary, are cut into blocks of ``BLOCK`` suffixes; blocks
-   whose common part occurs in two contexts show their suffixes, and equal ones repeat.
+3. the distinct contexts left, the dictionary, are cut into blocks of ``BLOCK`` suffixes, which share
+   a core and differ by the few bytes on its sides; blocks with equal cores and sides repeat as a
+   whole, and where equal cores have different sides, each suffix is compared by its bytes.
 
 A full suffix array would hold one entry per byte of the corpus; here the tables hold one row per
-phrase, then far fewer. Names are two independent 64-bit hashes each.
+phrase, then far fewer. Names are two independent 64-bit hashes each. Of texts that stand in several
+rows only the first is parsed.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from formatpulse.llm.common import KEY, small, text_key
 from formatpulse.session import store
 
 LENGTH = 400
-GAP = 224
+GAP = 288
 TRIGGER = 16
 BLOCK = 16
 #: Places of a text that are hashed at a time.
@@ -78,14 +80,15 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def phrases(texts: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
-    """(key, first, last, at, ahead, context) of every phrase of ``texts`` (key, data)."""
+    """(__row, at, ahead, context) of every phrase of ``texts`` (__row, data). ``at`` packs the trigger
+    with its distances to the first and last string, of 10 bits each."""
     ahead = length - gap + 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             rows, places, names = [], [], ([], [])
-            for i, value in enumerate(batch.column(2)):
+            for i, value in enumerate(batch.column(1)):
                 data = value.as_buffer()
                 if data is None or data.size < length:
                     continue
@@ -95,83 +98,112 @@ def phrases(texts: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame
                 names[1].extend([xxhash.xxh3_64_intdigest(view[a:b + length], seed=t - a + 1)
                                  for a, b, t in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)])
                 rows.append(np.full(len(at), i))
-                places.append((first, last, at))
+                places.append(at << 20 | (at - first) << 10 | (at - last))
             if rows:
-                row = np.concatenate(rows)
-                first, last, at = (np.concatenate(c) for c in zip(*places, strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(first), pa.array(last), pa.array(at),
+                    pa.array(keys[np.concatenate(rows)]), pa.array(np.concatenate(places)),
                     pa.array(_signed(names[0])), pa.array(_signed(names[1]))],
-                    names=[*KEY, "first", "last", "at", "ahead", "context"])
-    return texts.select(*KEY, "data").mapInArrow(
-        parse, ", ".join(f"{c} bigint" for c in (*KEY, "first", "last", "at", "ahead", "context")))
+                    names=["__row", "at", "ahead", "context"])
+    return texts.select("__row", "data").mapInArrow(
+        parse, "__row bigint, at bigint, ahead bigint, context bigint")
+
+
+def _unpack(at: int) -> tuple[int, int, int]:
+    trigger = at >> 20
+    return trigger - (at >> 10 & 1023), trigger - (at & 1023), trigger
+
+
+def _first(at: Column) -> Column:
+    return F.shiftright(at, 20) - F.shiftright(at, 10).bitwiseAND(F.lit(1023))
+
+
+def _last(at: Column) -> Column:
+    return F.shiftright(at, 20) - at.bitwiseAND(F.lit(1023))
 
 
 def _suffix_blocks(found: DataFrame, length: int, block: int) -> DataFrame:
-    """(core, ahead, context, first, suffixes): for each context (data, at, first, last), its strings
-    in blocks of ``block`` offsets to the trigger, with the name of the bytes a block shares."""
+    """(core, ahead, context, from, before, after): for each context (data, contexts), its strings in
+    blocks of ``block`` offsets to the trigger. All strings of a block hold its core; ``before`` and
+    ``after`` are the further bytes of the block; ``from`` counts strings of the context before it."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [])
+            out = tuple([] for _ in range(6))
             for value, contexts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 view = memoryview(value.as_buffer())
                 for c in contexts:
-                    t, first, last = c["at"], c["first"], c["last"]
+                    first, last, t = _unpack(c["at"])
                     for k in range((t - last) // block, (t - first) // block + 1):
                         core = t - k * block
+                        end = core - block + 1 + length
                         lo, hi = max(first, core - block + 1), min(last, core)
-                        out[0].append(xxhash.xxh3_64_intdigest(view[core:core - block + 1 + length], seed=k + 1))
-                        out[1].append(c["ahead"])
-                        out[2].append(c["context"])
-                        out[3].append(lo - first)
-                        out[4].append(_signed([xxhash.xxh3_64_intdigest(view[i:i + length], seed=t - i + 7)
-                                               for i in range(lo, hi + 1)]))
+                        row = (xxhash.xxh3_64_intdigest(view[core:end], seed=k + 1), c["ahead"], c["context"],
+                               lo - first, bytes(view[lo:core]), bytes(view[end:hi + length]))
+                        for column, x in zip(out, row, strict=True):
+                            column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64()))],
-                names=["core", "ahead", "context", "from", "suffixes"])
+                [pa.array(_signed(out[0])), *[pa.array(x, kind) for x, kind in zip(out[1:], kinds, strict=True)]],
+                names=["core", "ahead", "context", "from", "before", "after"])
     return found.select("data", "contexts").mapInArrow(
-        cut, "core bigint, ahead bigint, context bigint, from bigint, suffixes array<bigint>")
+        cut, "core bigint, ahead bigint, context bigint, from int, before binary, after binary")
+
+
+def _dictionary_offsets(blocks: DataFrame, block: int) -> DataFrame:
+    """(ahead, context, lo, hi): strings of a context, counted from its first, that another has too."""
+    sides = F.xxhash64("before", "after")
+    cores = blocks.groupBy("core").agg(F.count("*").alias("n"), (F.min(sides) < F.max(sides)).alias("mixed"))
+    shared = blocks.join(cores.where("n > 1").drop("n"), "core")
+    kinds = shared.groupBy("core", "before", "after").agg(
+        F.count("*").alias("n"), F.first("mixed").alias("mixed"))
+    size = F.octet_length("before")  # a block's first string begins that far before its core
+    count = F.octet_length("before") + F.octet_length("after") - (block - 1) + 1
+    alike = kinds.where("n > 1").select("core", "before", "after")
+    whole = shared.join(alike, ["core", "before", "after"]).select(
+        "ahead", "context", F.col("from").alias("lo"), (F.col("from") + count - 1).alias("hi"))
+    # strings of the blocks that differ, named by core and the bytes on its sides
+    step = F.explode(F.sequence(F.lit(0), count - 1)).alias("k")
+    single = kinds.where("mixed").select("core", "before", "after", size.alias("size"), step)
+    string = [F.expr("substring(before, k + 1, size - k)").alias("left"),
+              F.expr(f"substring(after, 1, {block - 1} - (size - k))").alias("right")]
+    single = single.select("core", "before", "after", "k", *string)
+    twice = single.groupBy("core", "left", "right").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    hit = single.join(twice, ["core", "left", "right"]).select("core", "before", "after", "k")
+    part = shared.where("mixed").join(hit, ["core", "before", "after"]).select(
+        "ahead", "context", (F.col("from") + F.col("k")).alias("lo"), (F.col("from") + F.col("k")).alias("hi"))
+    return whole.unionByName(part)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, __row, key, data); ``docs`` should be a stored table, as row numbers follow its order."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", *text_key(F.col("text")), text.cast("binary").alias("data"))
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("__row"), *text_key(text),
+                       text.cast("binary").alias("data"))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gap: int = GAP, block: int = BLOCK) -> DataFrame:
-    """(key, spans): for texts that occur once, the [begin, end) that repeated strings cover, as they
-    are found (they may overlap). Whole copies are told by their count and left out here."""
-    parsed = store(phrases(texts, length, gap), "phrases")
-    twice = parsed.groupBy("ahead").agg(
-        F.count("*").alias("__n"), (F.min("context") < F.max("context")).alias("mixed")).where("__n > 1").drop("__n")
+    """(__row, spans): the [begin, end) of ``texts`` (__row, data) that repeated strings cover, as they
+    are found; they may overlap. No two texts are equal."""
+    parsed = phrases(texts, length, gap)
+    twice = parsed.groupBy("ahead").agg(F.count("*").alias("__n")).where("__n > 1").select("ahead")
     active = store(parsed.join(twice, "ahead"), "active")
-    place = F.struct(*KEY, "at", "first", "last")
-    contexts = store(active.groupBy("ahead", "context", "mixed").agg(
-        F.count("*").alias("n"), F.min(place).alias("place")), "contexts")
+    contexts = active.groupBy("ahead", "context").agg(
+        F.count("*").alias("n"), F.min(F.struct("__row", "at")).alias("place"))
+    contexts = store(contexts, "contexts")
+    mixed = contexts.groupBy("ahead").agg(F.count("*").alias("__n")).where("__n > 1").select("ahead")
     # the dictionary: one place of each context that shares its next bytes with another
-    wanted = contexts.where("mixed").select(
-        "place.*", "ahead", "context").groupBy(*KEY).agg(
-        F.collect_list(F.struct("at", "first", "last", "ahead", "context")).alias("contexts"))
+    wanted = contexts.join(mixed, "ahead").groupBy(F.col("place.__row").alias("__row")).agg(
+        F.collect_list(F.struct(F.col("place.at").alias("at"), "ahead", "context")).alias("contexts"))
     wanted = store(wanted, "wanted")
-    once = texts.join(small(wanted.select(*KEY)), list(KEY), "left_semi").groupBy(*KEY).agg(
-        F.first("data").alias("data"))
-    blocks = store(_suffix_blocks(once.join(wanted, list(KEY)), length, block), "blocks")
-    cores = blocks.groupBy("core").agg(F.count("*").alias("__n")).where("__n > 1").select("core")
-    suffixes = blocks.join(cores, "core").select(
-        "core", "ahead", "context", F.posexplode("suffixes").alias("k", "suffix"), F.col("from"))
-    again = suffixes.groupBy("core", "suffix").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    found = suffixes.join(again, ["core", "suffix"]).groupBy("ahead", "context").agg(
-        F.collect_list((F.col("from") + F.col("k"))).alias("offsets"))  # GAP at most
+    chosen = texts.join(small(wanted.select("__row")), "__row", "left_semi").select("__row", "data")
+    blocks = store(_suffix_blocks(chosen.join(wanted, "__row"), length, block), "blocks")
+    found = _dictionary_offsets(blocks, block)
+    first = _first(F.col("place.at"))
     single = contexts.where("n = 1").join(found, ["ahead", "context"]).select(
-        *[F.col(f"place.{k}").alias(k) for k in KEY],
-        F.explode(F.transform("offsets", lambda x: F.struct(
-            (F.col("place.first") + x).alias("begin"), (F.col("place.first") + x + length).alias("end")))).alias("span"))
+        F.col("place.__row").alias("__row"), (first + F.col("lo")).alias("begin"), (first + F.col("hi") + length).alias("end"))
     whole = active.join(contexts.where("n > 1").select("ahead", "context"), ["ahead", "context"]).select(
-        *KEY, F.struct(F.col("first").alias("begin"), (F.col("last") + length).alias("end")).alias("span"))
-    copies = texts.groupBy(*KEY).agg(F.count("*").alias("__n")).where("__n > 1").select(*KEY)
-    spans = whole.unionByName(single).join(small(store(copies, "copies")), list(KEY), "left_anti")
-    return spans.groupBy(*KEY).agg(F.collect_list("span").alias("spans"))  # bounded by the text's bytes
+        "__row", _first(F.col("at")).alias("begin"), (_last(F.col("at")) + length).alias("end"))
+    return whole.unionByName(single).groupBy("__row").agg(  # bounded by the text's bytes
+        F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def cut_spans(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
@@ -193,14 +225,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_data: bool = Fals
     """
     texts = keyed_texts(docs)
     size = F.octet_length("data").cast("long")
-    counts = store(texts.groupBy(*KEY).agg(F.count("*").alias("__n")).where("__n > 1").select(*KEY), "copies")
-    spans = store(repeated_spans(texts, length), "spans")
-    fate = store(spans.select(*KEY, F.lit(False).alias("__copy")).unionByName(
-        counts.select(*KEY, F.lit(True).alias("__copy"))), "fate")
-    known = texts.join(small(fate), list(KEY), "left")
-    gone = F.coalesce("__copy", F.lit(False)) & (size >= length)
+    copies = texts.groupBy(*KEY).agg(F.count("*").alias("__n"), F.min("__row").alias("__first")).where("__n > 1")
+    copies = small(store(copies.drop("__n"), "copies"))
+    once = texts.join(copies, list(KEY), "left").where(F.col("__first").isNull() | (F.col("__first") == F.col("__row")))
+    spans = store(repeated_spans(once, length), "spans")
+    known = texts.join(copies, list(KEY), "left").join(
+        small(spans.select("__row", F.lit(True).alias("__part"))), "__row", "left")
+    copied = F.col("__first").isNotNull()
+    gone = copied & (size >= length)
     kept = F.when(gone, F.lit(b"")).otherwise(F.col("data"))
-    plain = known.where(F.col("__copy").isNull() | F.col("__copy")).select(
+    plain = known.where(copied | F.col("__part").isNull()).select(
         "doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"),
         F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"),
         *([kept.alias("kept")] if keep_data else []))
@@ -213,7 +247,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_data: bool = Fals
                 n, runs, left = cut_spans(d, np.asarray(b), np.asarray(e))
                 rows.append((n, runs, hashlib.sha256(left).hexdigest(), left if keep_data else b""))
             yield pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
-    part = known.where(~F.col("__copy")).select("doc_id", *KEY, "data").join(spans, list(KEY))
+    part = known.where(~copied & F.col("__part")).select("doc_id", "__row", "data").join(spans, "__row")
     part = part.select("doc_id", size.alias("n_bytes"), removed("data", "spans.begin", "spans.end").alias("r"))
     names = ["n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_data else [])]
     return plain.unionByName(part.select("doc_id", "n_bytes", *[f"r.{c}" for c in names]))

@@ -78,8 +78,8 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return used.astype(np.int32), np.bincount(place, each[owner]).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 10, rate: float = 0.03, batch: int = 100,
-          decay: float = 2e-5, dim: int = DIM, dropout: float = 0.5, min_share: float = 0.006, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.035, batch: int = 100,
+          decay: float = 1e-4, dim: int = DIM, dropout: float = 0.6, min_share: float = 0.005, seed: int = 5) -> tuple[np.ndarray, float]:
     """(bucket scores, bias): a word's score is the mean of its buckets, a document's logit the mean
     of its words plus bias. Vectors and softmax are trained together by Adam."""
     rng = np.random.default_rng(seed)
