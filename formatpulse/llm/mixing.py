@@ -63,9 +63,10 @@ def target_shares(cells: DataFrame, dim: str, wanted: dict[str, float] | None, a
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tolerance: float = 1e-4) -> DataFrame:
     """Adds __weight, shares that sum to 1 and meet every margin within ``tolerance``, as far as the
-    cells allow within ``rounds``."""
+    cells allow: it ends after ``rounds``, or when a round no longer brings the margins closer."""
     total = cells.agg(F.sum("__tokens").alias("t")).first()["t"] or 1
     out = cut(cells.where("__tokens > 0").withColumn("__weight", F.col("__tokens") / total))
+    before = None
     for _ in range(rounds):
         for dim, target in targets.items():
             margin = out.groupBy(dim).agg(F.sum("__weight").alias("__m"))
@@ -79,8 +80,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
         for e in errors[1:]:
             union = union.union(e)
         worst = union.agg(F.max("e").alias("e")).first()["e"]
-        if worst is None or worst < tolerance:
+        if worst is None or worst < tolerance or (before is not None and worst > 0.9 * before):
             break
+        before = worst
     return out
 
 

@@ -10,10 +10,12 @@ run of matching places, within the band of shifts that the threshold allows. Its
 matches / (all shingles - matches), an ordered Jaccard; 0.8 or more links two texts.
 
 Groups are the connected components of links. A bucket of equal entries is not expanded into pairs:
-its members meet one pivot; where several components remain, they meet the pivots of further rounds;
-what is still apart then is compared across components, after a filter on one-permutation MinHash
-signatures that passes pairs of 0.8 with some four standard errors to spare. Exact copies count once
-throughout.
+its members meet one pivot at a time, the member whose entries stand in the largest buckets first, as
+the centre of a group shares more entries than its edge. Buckets that still hold several components
+after ``rounds`` pivots are compared exactly, in blocks of bounded size within tasks, which skip
+pairs that are connected already and return spanning links only. Pairs with a pivot pass a filter on
+one-permutation MinHash signatures that leaves 0.8 some four standard errors. Exact copies count
+once throughout.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formatpulse.llm.common import KEY, small, text_key
@@ -34,7 +36,9 @@ SHINGLE = 5
 SKETCHES = 12
 TUPLE = 3
 BINS = 64
-ROUNDS = 2
+ROUNDS = 3
+#: Texts of a block in the exact comparison.
+BLOCK = 96
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -190,44 +194,78 @@ def _labels(links: DataFrame) -> DataFrame:
     return found.select("id.*", F.col("component").alias("part"))
 
 
+def _meet(open_buckets: DataFrame, texts: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
+    """Links (keys _a, _b) that join the components of each bucket wherever any pair across them does.
+    Blocks of a bucket meet in pairs; a pair of texts is tried in the first bucket it shares."""
+    sized = open_buckets.join(open_buckets.groupBy("bucket").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("__blocks")), "bucket")
+    own = F.pmod(F.xxhash64(F.lit(5), *KEY), F.col("__blocks")).cast("int")
+    rows = sized.withColumn("__own", own).withColumn(
+        "__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    rows = rows.select("bucket", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"),
+                       "__own", *KEY, "entries", F.struct("part.*").alias("part")).join(texts, list(KEY))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = list(zip(rows[KEY[0]], rows[KEY[1]], strict=True))
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+        parts = [tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in rows["part"]]
+        names = [labelled_shingles(t, n) for t in rows["text"]]
+        entries = np.stack(rows["entries"].to_numpy())
+        owner, bucket, cross = rows["__own"].to_numpy(), rows["bucket"].iloc[0], rows["__i"].iloc[0] != rows["__j"].iloc[0]
+        out = []
+        for a in range(len(keys)):
+            equal = entries[a + 1:] == entries[a]
+            first = equal.any(1) & (entries[a][equal.argmax(1)] == bucket)
+            if cross:
+                first &= owner[a + 1:] != owner[a]
+            for b in (np.flatnonzero(first) + a + 1).tolist():
+                x, y = find(parts[a]), find(parts[b])
+                if x != y and similarity(names[a], names[b], threshold) >= threshold:
+                    parent[x] = y
+                    out.append((*keys[a], *keys[b]))
+        return pd.DataFrame(out, columns=[*_ids("a"), *_ids("b")])
+    return rows.groupBy("bucket", "__i", "__j").applyInPandas(
+        meet, ", ".join(f"{c} bigint" for c in (*_ids("a"), *_ids("b"))))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = SHINGLE, entries: int = SKETCHES,
-                    size: int = TUPLE, rounds: int = ROUNDS) -> DataFrame:
+                    size: int = TUPLE, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """(key, __class): for every distinct text that shares a group with another, the group's name."""
     marks = store(sketches(docs, n, entries, size), "sketches")
     one = marks.select(*KEY, F.explode("entries").alias("bucket"))
     member = F.struct(*KEY)
-    shared = one.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").select("bucket")
-    buckets = store(one.join(shared, "bucket"), "buckets")
-    involved = small(store(buckets.select(*KEY).distinct(), "involved"))
-    texts = docs.select(*text_key(F.col("text")), "text").join(involved, list(KEY), "left_semi")
+    shared = one.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1")
+    buckets = one.join(shared, "bucket")
+    degree = store(buckets.groupBy(*KEY).agg(F.sum("__n").alias("degree")), "degree")
+    buckets = store(buckets.drop("__n").join(degree, list(KEY)), "buckets")
+    texts = docs.select(*text_key(F.col("text")), "text").join(small(degree.select(*KEY)), list(KEY), "left_semi")
     texts = store(texts.groupBy(*KEY).agg(F.first("text").alias("text")), "texts")
-    tested, links, parts = None, None, None
-    open_buckets = buckets.withColumn("part", member)
-    for step in range(rounds + 1):
+    central = Window.partitionBy("bucket").orderBy(F.desc("degree"), *KEY)
+    pivots = store(buckets.withColumn("turn", F.row_number().over(central)).where(F.col("turn") <= rounds).select(
+        "bucket", "turn", F.struct(*KEY).alias("pivot")), "pivots")
+    links, parts = None, None
+    for turn in range(1, rounds + 2):
+        labelled = buckets.withColumn("part", member)
         if parts is not None:
             labelled = buckets.join(parts, list(KEY), "left").withColumn("part", F.coalesce("part", member))
-            apart = labelled.groupBy("bucket").agg(
-                F.min("part").alias("__lo"), F.max("part").alias("__hi")).where("__lo < __hi").select("bucket")
-            open_buckets = store(labelled.join(apart, "bucket"), "open")
-        if step < rounds:  # each member meets the bucket's pivot of this round
-            turn = F.struct(F.xxhash64(F.lit(step), *KEY).alias("h"), *KEY, "part")
-            pivot = open_buckets.groupBy("bucket").agg(F.min(turn).alias("p"))
-            pairs = open_buckets.join(pivot, "bucket").where(F.col("part") != F.col("p.part")).select(
-                *[F.col(k).alias(f"{k}_a") for k in KEY], *[F.col(f"p.{k}").alias(f"{k}_b") for k in KEY])
-        else:  # what is still apart meets across components
-            left, right = _side(open_buckets, "a", "bucket", "part"), _side(open_buckets, "b", "bucket", "part")
-            pairs = left.join(right, F.col("bucket_a") == F.col("bucket_b")).where(
-                F.col("part_a") < F.col("part_b")).select(*_ids("a"), *_ids("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, [*_ids("a"), *_ids("b")], "left_anti")
-        pairs = store(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = store(linked(pairs, marks.select(*KEY, "n", "bins"), texts, threshold, n), "links")
+        apart = labelled.groupBy("bucket").agg(F.min("part").alias("__lo"), F.max("part").alias("__hi"))
+        labelled = store(labelled.join(apart.where("__lo < __hi").select("bucket"), "bucket"), "open")
+        if turn <= rounds:
+            named = labelled.select("bucket", member.alias("pivot"), F.col("part").alias("pivot_part"))
+            here = pivots.where(F.col("turn") == turn).join(named, ["bucket", "pivot"])
+            pairs = labelled.join(here, "bucket").where(F.col("part") != F.col("pivot_part")).select(
+                *[F.col(k).alias(f"{k}_a") for k in KEY], *[F.col(f"pivot.{k}").alias(f"{k}_b") for k in KEY])
+            new = linked(store(pairs.distinct(), "pairs"), marks.select(*KEY, "n", "bins"), texts, threshold, n)
+        else:
+            new = _meet(labelled.join(marks.select(*KEY, "entries"), list(KEY)), texts, threshold, n, block)
+        new = store(new, "links")
         links = new if links is None else links.union(new)
         parts = store(_labels(links), "parts")
-        if pairs.isEmpty():
-            break
     return parts.select(*KEY, F.col("part").alias("__class"))
 
 
