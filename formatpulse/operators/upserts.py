@@ -30,13 +30,14 @@ def upsert_creators(
     keys: tuple[str, ...] = ("platform", "handle"),
 ) -> DataFrame:
     """Insert or update by key. Followers, display name, avatar and baseline change only
-    to a value the source actually gave; every other field is set on insert only."""
+    to a value the source actually gave; every other field is set on insert only. A new key
+    takes its first row's values, zeros and empty texts included, before later ones apply."""
     live = [c for c in ("followers", "display_name", "avatar_url", "baseline_median_views")
             if c in existing.columns]
     fixed = [c for c in existing.columns if c not in live and c not in keys]
     batch = incoming.groupBy(*keys).agg(
         *[_last_said(c, order).alias(f"__new_{c}") for c in live],
-        *[F.min_by(F.struct(F.col(c)), order)[c].alias(f"__new_{c}") for c in fixed],
+        *[F.min_by(F.struct(F.col(c)), order)[c].alias(f"__first_{c}") for c in (*live, *fixed)],
         F.lit(True).alias("__in"),
     )
     stored = existing.withColumn("__old", F.lit(True))
@@ -45,8 +46,10 @@ def upsert_creators(
     return joined.select(
         *[
             c if c in keys
-            else F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in live
-            else F.when(is_old, F.col(c)).otherwise(F.col(f"__new_{c}")).alias(c)
+            else F.coalesce(
+                F.col(f"__new_{c}"), F.when(is_old, F.col(c)).otherwise(F.col(f"__first_{c}"))
+            ).alias(c) if c in live
+            else F.when(is_old, F.col(c)).otherwise(F.col(f"__first_{c}")).alias(c)
             for c in existing.columns
         ]
     )
