@@ -236,10 +236,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per conversation: its first six roles as beats, last role, first user turn.
+    """One row per conversation: its first six roles as beats, all roles, last role, first user turn.
 
-    Six beats are all the sequence rules look at. They are cut by a group limit ahead of
-    the shuffle and the rest are map-side combined, so a very long conversation is safe.
+    Six beats are all the sequence rules look at; element counts use every role, which a
+    conversation's row carries as the array that item features have.
     """
     turns = table(spark, sf_dir, "conversations")
     opening = top_k(turns.select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn")], 6)
@@ -252,12 +252,13 @@ def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("hook"),
         F.max_by("role", "turn").alias("last"),
         F.count(F.lit(1)).alias("turns"),
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda e: e["role"]).alias("roles"),
     )
     return beats.join(whole, "conv_id").select(
         F.concat(F.element_at("beats", 1), F.lit("-"), (F.col("turns") % 3).cast("string")).alias(
             "trend_id"
         ),
-        F.col("conv_id").alias("item_id"), "beats", "last", "hook", "turns",
+        F.col("conv_id").alias("item_id"), "beats", "roles", "last", "hook", "turns",
         (F.col("turns") * 7.0).alias("duration_sec"),
     )
 

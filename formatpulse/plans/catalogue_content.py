@@ -158,7 +158,7 @@ def timed_structure(spark, sf):
 def conversation_members(spark, sf):
     return B.conversation_rows(spark, sf).select(
         "trend_id", "item_id", (F.col("turns") / 10.0).alias("similarity"), "hook",
-        F.col("beats").alias("narrative_structure"), F.col("beats").alias("editing_patterns"),
+        F.col("beats").alias("narrative_structure"), F.col("roles").alias("editing_patterns"),
         F.col("last").alias("content_format"),
         F.when(F.col("turns") > 7, "Shock").alias("emotional_tone"), "duration_sec", "turns")
 
@@ -167,7 +167,7 @@ def example_hooks(spark, sf):
     members = conversation_members(spark, sf)
     hooks = R.example_hooks(
         members.select("trend_id").distinct(), members.select("trend_id", "item_id", "similarity"),
-        members.select("item_id", F.substring("hook", 1, 40).alias("hook")))
+        members.select("item_id", "hook"))
     return hooks.select("trend_id", F.posexplode("example_hooks").alias("pos", "hook")).select(
         "trend_id", F.col("pos").cast("bigint").alias("pos"), "hook")
 
@@ -311,7 +311,7 @@ _DESCRIBE = f""", {_MODAL_SIM},
     WHERE r = 1 AND n >= 3 AND c >= greatest(2, floor(n / 3))),
   edits AS (SELECT trend_id, string_agg(role || ' (' || CAST(c AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ' videos)', ' | ' ORDER BY r) AS e FROM (
     SELECT trend_id, role, count(*) AS c, row_number() OVER (PARTITION BY trend_id ORDER BY count(*) DESC, min((-turns, item_id, i)), role) AS r
-    FROM (SELECT trend_id, turns, item_id, unnest(beats[1:6]) AS role, generate_subscripts(beats[1:6], 1) AS i FROM m) GROUP BY 1, 2)
+    FROM (SELECT trend_id, turns, item_id, unnest(beats) AS role, generate_subscripts(beats, 1) AS i FROM m) GROUP BY 1, 2)
     JOIN (SELECT trend_id AS t, count(*) AS n FROM m GROUP BY 1) ON t = trend_id WHERE r <= 4 GROUP BY trend_id),
   st AS (SELECT trend_id, median(duration_sec) AS d, count(DISTINCT turns) AS niches, (count(*) - 10) / 10.0::DOUBLE AS g,
     bool_or(turns > 7) AS payoff FROM m GROUP BY 1)
@@ -374,7 +374,7 @@ QUERIES = {
     "timed_structure": (timed_structure, sql("", "convs").rstrip() + f", {_MODAL} {_TIMED}"),
     "example_hooks": (example_hooks, sql(
         """SELECT trend_id, q - 1 AS pos, hook FROM (SELECT trend_id, hook, row_number() OVER (PARTITION BY trend_id ORDER BY r) AS q FROM (
-        SELECT trend_id, substr(hook, 1, 40) AS hook, row_number() OVER (PARTITION BY trend_id ORDER BY turns DESC, item_id) AS r FROM convs)
+        SELECT trend_id, hook, row_number() OVER (PARTITION BY trend_id ORDER BY turns DESC, item_id) AS r FROM convs)
         WHERE r <= 8 AND COALESCE(hook, '') <> '') WHERE q <= 5""", "convs")),
     "describe_trend": (describe_trend, sql("", "convs").rstrip() + _DESCRIBE),
     "slugs": (slugs, _SLUGS),

@@ -38,10 +38,11 @@ def pending_items(spark, sf):
 
 def upgrade_queue(spark, sf):
     """Orders whose line features are fallbacks, exemplars of their trend first."""
-    members = R.top_k(
-        B.order_members(spark, sf).select("trend_id", "item_id", "similarity"), ["trend_id"],
-        [F.col("similarity").desc(), F.col("item_id")], 100,
-    ).withColumn("is_exemplar", F.col("rank") <= 4)
+    every = B.order_members(spark, sf).select("trend_id", "item_id", "similarity")
+    best = R.top_k(every, ["trend_id"], [F.col("similarity").desc(), F.col("item_id")], 4)
+    members = every.join(
+        best.select("trend_id", "item_id", F.lit(True).alias("is_exemplar")), ["trend_id", "item_id"], "left"
+    ).withColumn("is_exemplar", F.coalesce("is_exemplar", F.lit(False)))
     return U.upgrade_queue(
         B.order_items(spark, sf), B.line_features(spark, sf), members, 100
     ).select("item_id", "is_exemplar", "is_member", day("published_at").alias("published_at"))
@@ -385,13 +386,16 @@ _UPSERT = """stored AS (SELECT 'click' AS platform, c_custkey AS external_id, CA
     COALESCE(batch_rows, 0) AS batch_rows
     FROM stored s FULL JOIN batch b ON s.platform = b.platform AND s.external_id = b.external_id)"""
 _CREATORS = """SELECT 'shop' AS platform, COALESCE(s.s_suppkey, b.o_custkey) AS handle,
-  COALESCE(b.dn, s.s_name) AS display_name, COALESCE(b.fo, CAST(floor(abs(s.s_acctbal)) AS BIGINT)) AS followers,
-  COALESCE(b.bm, CASE WHEN s.s_suppkey IS NOT NULL THEN 0 END) AS baseline_median_views,
+  COALESCE(b.dn, s.s_name, b.dn1) AS display_name, COALESCE(b.fo, CAST(floor(abs(s.s_acctbal)) AS BIGINT), b.fo1) AS followers,
+  COALESCE(b.bm, CASE WHEN s.s_suppkey IS NOT NULL THEN 0 END, b.bm1) AS baseline_median_views,
   CASE WHEN s.s_suppkey IS NOT NULL THEN 'stored' ELSE b.niche END AS niche
   FROM supplier s FULL JOIN (SELECT o_custkey,
     arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus <> 'O') AS dn,
     arg_max(p, o_orderkey) FILTER (p % 2 <> 0) AS fo,
     arg_max(p, o_orderkey) FILTER (p % 5 = 0 AND p <> 0) AS bm,
+    arg_min(CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderpriority END, o_orderkey) AS dn1,
+    arg_min(CASE WHEN p % 2 = 0 THEN 0 ELSE p END, o_orderkey) AS fo1,
+    arg_min(CASE WHEN p % 5 = 0 THEN p ELSE 0 END, o_orderkey) AS bm1,
     arg_min(o_orderpriority, o_orderkey) AS niche
     FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) GROUP BY o_custkey) b
   ON s.s_suppkey = b.o_custkey"""
@@ -419,7 +423,7 @@ QUERIES = {
         strftime(i.published_at, '%Y-%m-%d %H:%M:%S') AS published_at
         FROM items i JOIN feats f USING (item_id) LEFT JOIN (SELECT item_id, r FROM (
           SELECT item_id, row_number() OVER (PARTITION BY trend_id ORDER BY similarity DESC, item_id) AS r
-          FROM omembers) WHERE r <= 100) m USING (item_id)
+          FROM omembers) ) m USING (item_id)
         WHERE is_fallback ORDER BY is_exemplar DESC, is_member DESC, i.published_at DESC, item_id LIMIT 100""",
         "items", "feats", "omembers")),
     "history_semi_join": (history_semi_join, sql(
