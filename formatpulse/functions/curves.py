@@ -87,13 +87,18 @@ def round_to(x: Column, digits: int) -> Column:
     result is never a negative zero.
     """
     scale = F.lit(float(10**digits))
-    scaled = x * scale
-    high = x * SPLITTER - (x * SPLITTER - x)
-    error = (high * scale - scaled) + (x - high) * scale
-    below = F.floor(scaled).cast("double")
-    on_half = (scaled - below == 0.5) & (error != 0)
-    whole = F.when(on_half, below + (error > 0).cast("double")).otherwise(F.rint(scaled))
-    return whole / scale + F.lit(0.0)
+
+    def rounded(v: Column) -> Column:
+        scaled = v * scale
+        high = v * SPLITTER - (v * SPLITTER - v)
+        error = (high * scale - scaled) + (v - high) * scale
+        below = F.floor(scaled).cast("double")
+        on_half = (scaled - below == 0.5) & (error != 0)
+        whole = F.when(on_half, below + (error > 0).cast("double")).otherwise(F.rint(scaled))
+        return whole / scale + F.lit(0.0)
+
+    # the argument is bound once: nested roundings would otherwise multiply the plan
+    return F.get(F.transform(F.array(x.cast("double")), rounded), F.lit(0))
 
 
 def truthy(incoming: Column, existing: Column) -> Column:
