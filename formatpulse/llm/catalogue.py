@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formatpulse.llm import decontam, licenses, linededup, mixing, orderminhash, quality, repeats, tokens, toxicity, urls
-from formatpulse.llm.common import table
+from formatpulse.llm.common import WORD, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,64 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "'" + WORD + "'"
+
+
+def _values(rows) -> str:
+    quoted = [", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) for r in rows]
+    return "(VALUES " + ", ".join(f"({r})" for r in quoted) + ")"
+
+
+_PHRASES = _values([(p, p.count(" ") + 1, label) for p, label in licenses.PHRASES.items()])
+_TEMPLATES = _values([
+    (label, k, len(licenses.template_words(t)), w) for label, texts in licenses.TEMPLATES.items()
+    for k, t in enumerate(texts) for w in licenses.template_words(t)])
+
+SQL = {
+    # the pruned join returns what this plain one does: containment over all blocks and templates
+    "op1_license_scan": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLD} AS t FROM documents),
+        w AS (SELECT r, doc_id, regexp_extract_all(t, {_WORDS}) AS w, string_split(t, chr(10)) AS ls FROM d),
+        places AS (SELECT r, i - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+          {_PHRASES} p(phrase, size, label) WHERE array_to_string(w[i:i + size - 1], ' ') = phrase),
+        b AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+          list_sort(list(DISTINCT label)) AS base FROM places GROUP BY r),
+        lines AS (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM w),
+        tokens AS (SELECT DISTINCT r, i, unnest(regexp_extract_all(ls[i], {_WORDS})) AS word FROM lines),
+        hits AS (SELECT r, i, label, k, count(*) / any_value(size)::DOUBLE AS share FROM tokens
+          JOIN {_TEMPLATES} t(label, k, size, word) USING (word) GROUP BY r, i, label, k
+          HAVING count(*) / any_value(size)::DOUBLE >= 0.8),
+        m AS (SELECT r, list(DISTINCT label) AS more, max(share) AS best, count(DISTINCT i) AS n_blocks FROM hits GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+          coalesce(array_to_string(base, ','), '') AS base_labels,
+          coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
+          CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0) END AS score, coalesce(n_blocks, 0) AS n_blocks
+        FROM w LEFT JOIN b USING (r) LEFT JOIN m USING (r)""",
+    # a shortest qualifying run has at most min_words lines, so runs of more lines add nothing
+    "op9_line_dedup": f"""WITH d AS (SELECT doc_id, n_chars, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\\x20\\x09-\\x0D]+')) AS n
+          FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+        q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE n > 0),
+        runs AS (SELECT a.doc_id, a.s, k, string_agg(b.line, chr(10) ORDER BY b.s) AS body
+          FROM q a CROSS JOIN (SELECT unnest(range(1, {linededup.MIN_WORDS} + 1)) AS k)
+          JOIN q b ON b.doc_id = a.doc_id AND b.s >= a.s AND b.s < a.s + k
+          GROUP BY a.doc_id, a.s, k HAVING count(*) = k AND sum(b.n) >= {linededup.MIN_WORDS}),
+        f AS (SELECT *, min((doc_id, s)) OVER (PARTITION BY body) AS original FROM runs),
+        g AS (SELECT DISTINCT q.doc_id, q.i FROM f JOIN q ON q.doc_id = f.doc_id AND q.s >= f.s AND q.s < f.s + f.k
+          WHERE (f.doc_id, f.s) > f.original),
+        c AS (SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (p.i IS NULL) AS n_runs, list(g.i) AS gone
+          FROM g LEFT JOIN g p ON p.doc_id = g.doc_id AND p.i = g.i - 1 GROUP BY g.doc_id),
+        k AS (SELECT d.doc_id, n_chars, len(ls) AS n_lines, n_removed, n_runs, CASE WHEN gone IS NULL THEN t
+          ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS kept
+          FROM d LEFT JOIN c USING (doc_id))
+        SELECT doc_id, n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+          CASE WHEN n_removed > 0 THEN length(kept) ELSE n_chars END AS n_chars, sha256(kept) AS kept_sha256 FROM k""",
+    # exact containment of all items in all documents
+    "op10_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_WORDS}) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_FOLD}, {_WORDS}) AS w FROM benchmark),
+        bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+        ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_shingles, count(*) / any_value(n)::DOUBLE AS containment
+        FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n)::DOUBLE >= 0.8""",
+}
