@@ -4,49 +4,77 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formatpulse.functions import curves as C
 
-# Shapes of the landed payloads. Loose fields are read as text and parsed here.
+# Shapes of the landed payloads. Loose fields are parsed here; those where a number
+# and its text mean different things are read as variants.
 PROVIDER = (
-    "items array<struct<id:string,url:string,caption:string,created_at:string,duration:string,"
-    "views:string,likes:string,comments:string,shares:string,saves:string,thumbnail:string,"
+    "items array<struct<id:string,url:string,caption:string,created_at:variant,duration:string,"
+    "views:variant,likes:variant,comments:variant,shares:variant,saves:variant,thumbnail:string,"
     "sound:string,hashtags:array<string>,author:struct<handle:string,name:string,avatar:string,"
-    "followers:string,median_views:string,country:string,language:string>>>"
+    "followers:variant,median_views:variant,country:string,language:string>>>"
 )
 VIDEO_DETAILS = (
-    "id string, snippet struct<channelId:string,channelTitle:string,publishedAt:string,"
+    "id string, snippet struct<channelId:string,channelTitle:string,publishedAt:variant,"
     "title:string,description:string,defaultAudioLanguage:string,"
     "thumbnails:struct<high:struct<url:string>>>, "
-    "statistics struct<viewCount:string,likeCount:string,commentCount:string>, "
+    "statistics struct<viewCount:variant,likeCount:variant,commentCount:variant>, "
     "contentDetails struct<duration:string>"
 )
 CHANNELS = (
     "id string, snippet struct<customUrl:string,country:string,"
-    "thumbnails:struct<default:struct<url:string>>>, statistics struct<subscriberCount:string>"
+    "thumbnails:struct<default:struct<url:string>>>, statistics struct<subscriberCount:variant>"
 )
 SHORT_VIDEO_ACTOR = (
-    "id string, text string, webVideoUrl string, createTimeISO string, createTime string, "
-    "playCount string, diggCount string, commentCount string, shareCount string, "
+    "id string, text string, webVideoUrl string, createTimeISO variant, createTime variant, "
+    "playCount string, diggCount variant, commentCount variant, shareCount variant, "
     "collectCount string, isSlideshow boolean, textLanguage string, "
-    "authorMeta struct<name:string,uniqueId:string,nickName:string,avatar:string,fans:string,"
+    "authorMeta struct<name:string,uniqueId:string,nickName:string,avatar:string,fans:variant,"
     "region:string>, videoMeta struct<duration:string,coverUrl:string,originalCoverUrl:string>, "
     "musicMeta struct<musicName:string>, hashtags array<struct<name:string>>"
 )
 REEL_ACTOR = (
     "type string, shortCode string, url string, caption string, ownerUsername string, "
-    "ownerFullName string, ownerFollowersCount string, timestamp string, videoDuration string, "
-    "hashtags array<string>, displayUrl string, videoPlayCount string, videoViewCount string, "
-    "likesCount string, commentsCount string, sharesCount string, "
+    "ownerFullName string, ownerFollowersCount variant, timestamp variant, videoDuration string, "
+    "hashtags array<string>, displayUrl string, videoPlayCount variant, videoViewCount variant, "
+    "likesCount string, commentsCount variant, sharesCount variant, "
     "musicInfo struct<song_name:string>"
 )
 
 
+#: Variant fields that hold times; the others hold counts.
+TIMES = ("created_at", "createTime", "createTimeISO", "publishedAt", "timestamp")
+
+
+def _plain(value: Column, kind: T.DataType, name: str) -> Column:
+    """Variants as text that tells numbers from text: counts lose their fraction, numeric times
+    become ISO text; text stays as it is, but digits are no epoch, so they gain a mark that no
+    time has."""
+    if isinstance(kind, T.VariantType):
+        is_text = F.schema_of_variant(value) == "STRING"
+        text = F.try_variant_get(value, "$", "string")
+        number = F.try_variant_get(value, "$", "double")
+        if name in TIMES:
+            told = F.date_format(F.timestamp_seconds(number), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+            digits = F.when(text.try_cast("double").isNotNull(), F.concat(F.lit("text "), text)).otherwise(text)
+            return F.when(is_text, digits).otherwise(told)
+        return F.when(is_text, text).otherwise(F.coalesce(number.try_cast("bigint").cast("string"), text))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_plain(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return F.transform(value, lambda x: _plain(x, kind.elementType, name))
+    return value
+
+
 def read_landed(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
     """Landed files under a fixed schema. Broken JSON lines stay visible in ``_corrupt_record``."""
     if fmt == "json":
-        return spark.read.schema(schema + ", _corrupt_record string").json(path, mode="PERMISSIVE")
-    return spark.read.schema(schema).format(fmt).load(path)
+        rows = spark.read.schema(schema + ", _corrupt_record string").json(path, mode="PERMISSIVE")
+        return rows.select(*[_plain(F.col(f.name), f.dataType, f.name).alias(f.name) for f in rows.schema.fields])
+    return spark.read.schema(schema.replace("variant", "string")).format(fmt).load(path)
 
 
 def well_formed(landed: DataFrame) -> DataFrame:

@@ -63,3 +63,22 @@ def test_leaders_follow_planted_groups(spark):
     for r in greedy_cluster(frame, 0.8).collect():
         found.setdefault(r["trend_id"], set()).add(r["item_id"] // 100)
     assert len(found) == 6 and all(len(v) == 1 for v in found.values())
+
+
+def test_landed_numbers_and_texts_differ(spark, tmp_path):
+    import json
+    from datetime import datetime
+
+    from formatpulse.sources import landed, normalise
+    now = datetime(2024, 3, 1)
+    rows = [("a", 1200000.0, 1709251200), ("b", 3.7, "20240101"), ("c", "3.7", "2024-02-01T00:00:00Z"),
+            ("d", "12", 1709251200.5), ("e", None, None), ("f", "x", "soon")]
+    path = tmp_path / "landed.jsonl"
+    path.write_text("\n".join(json.dumps({"items": [{"id": i, "views": v, "created_at": t}]}) for i, v, t in rows))
+    raw = normalise.normalise_provider(
+        landed.well_formed(landed.read_landed(spark, str(path), "json", landed.PROVIDER)), "p", now)
+    got = {r["external_id"]: r for r in raw.collect()}
+    assert {i: r["views"] for i, r in got.items()} == {"a": 1200000, "b": 3, "c": 0, "d": 12, "e": 0, "f": 0}
+    assert got["a"]["published_at"] == datetime(2024, 3, 1) and got["c"]["published_at"] == datetime(2024, 2, 1)
+    assert got["d"]["published_at"] == datetime(2024, 3, 1, 0, 0, 0, 500000)
+    assert all(got[i]["published_at"] == now for i in "bef")
