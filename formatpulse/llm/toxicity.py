@@ -21,7 +21,7 @@ BITS = 19
 BUCKETS = 1 << BITS
 DIM = 4
 #: Documented bound of the training sample: labelled rows of each class.
-PER_CLASS = 2000
+PER_CLASS = 1200
 #: Logits are averages of words of which few matter, so they are scaled up.
 SCALE = 40.0
 _WORD = re.compile(r"\w+")
@@ -83,12 +83,20 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
     """(bucket scores, bias): a word's score is the mean of its buckets, a document's logit the mean
     of its words plus bias. Vectors and softmax are trained together by Adam."""
     rng = np.random.default_rng(seed)
-    bags = [bag(t) for t in texts]
-    seen = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS)
-    known = np.flatnonzero(seen >= max(2, min_share * len(bags)))
-    local = np.full(BUCKETS, -1, np.int64)
+    # flat arrays: the driver holds little, and gives it back when done
+    parts = [bag(t) for t in texts]
+    ends = np.cumsum([len(b) for b, _ in parts])
+    flat, share = np.concatenate([b for b, _ in parts]), np.concatenate([w for _, w in parts])
+    del parts
+    seen = np.bincount(flat, minlength=BUCKETS)
+    known = np.flatnonzero(seen >= max(2, min_share * len(texts)))
+    local = np.full(BUCKETS, -1, np.int32)
     local[known] = np.arange(len(known))
-    bags = [(local[b][keep], w[keep]) for b, w in bags for keep in [local[b] >= 0]]
+    flat = local[flat]
+    kept = flat >= 0
+    ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+    flat, share = flat[kept], share[kept]
+    bounds = np.concatenate(([0], ends))
     y = np.array(labels)
     per_class = len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1))
     params = [rng.normal(0, 0.1, (len(known), dim)).astype(np.float32),
@@ -96,13 +104,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
     slow, fast = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(texts))
         speed = rate * (1 - epoch / epochs) + rate * 0.05
         for lo in range(0, len(order), batch):
             ids = order[lo:lo + batch]
-            sizes = np.array([len(bags[i][0]) for i in ids])
-            bucket = np.concatenate([bags[i][0] for i in ids])
-            weight = np.concatenate([bags[i][1] for i in ids])
+            sizes = bounds[ids + 1] - bounds[ids]
+            rows = [slice(bounds[i], bounds[i + 1]) for i in ids]
+            bucket, weight = (np.concatenate([x[r] for r in rows]) for x in (flat, share))
             weight = weight * (rng.random(len(weight), np.float32) >= dropout) / np.float32(1 - dropout)
             doc = np.repeat(np.arange(len(ids)), sizes)
             vectors = np.zeros((len(ids), dim), np.float32)
