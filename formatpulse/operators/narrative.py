@@ -14,6 +14,7 @@ from formatpulse.operators.ranking import top_k
 # Beats when nothing was observed, tones that show a payoff.
 DEFAULT_BEATS = ("hook", "body", "payoff", "cta")
 PAYOFF_TONES = ("surprise", "shock", "satisfaction")
+# Fixed value: what the opening of every structure says.
 HOOK_DETAIL = "The promise is made before anything is explained."
 
 

@@ -139,6 +139,7 @@ def _relevance(m: Column, use_breakdown: bool) -> Column:
 
 
 def _reasons(m: Column) -> Column:
+    # The sentences below.
     found = F.array_compact(
         F.array(
             F.when(m["exact"], F.concat(F.lit("Already working in "), F.col("p_niche")))
