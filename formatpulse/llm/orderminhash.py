@@ -203,7 +203,7 @@ def _meet(open_buckets: DataFrame, texts: DataFrame, threshold: float, n: int, b
     rows = sized.withColumn("__own", own).withColumn(
         "__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     rows = rows.select("bucket", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"),
-                       "__own", *KEY, "entries", F.struct("part.*").alias("part")).join(texts, list(KEY))
+                       "__own", *KEY, "entries", "n", F.struct("part.*").alias("part")).join(texts, list(KEY))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         keys = list(zip(rows[KEY[0]], rows[KEY[1]], strict=True))
@@ -214,7 +214,13 @@ def _meet(open_buckets: DataFrame, texts: DataFrame, threshold: float, n: int, b
                 parent[x] = x = parent[parent[x]]
             return x
         parts = [tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in rows["part"]]
-        names = [labelled_shingles(t, n) for t in rows["text"]]
+        names: dict[int, np.ndarray] = {}  # of texts that some pair tries
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in names:
+                names[i] = labelled_shingles(texts_here[i], n)
+            return names[i]
+        texts_here, sizes = rows["text"].to_numpy(), rows["n"].to_numpy()
         entries = np.stack(rows["entries"].to_numpy())
         owner, bucket, cross = rows["__own"].to_numpy(), rows["bucket"].iloc[0], rows["__i"].iloc[0] != rows["__j"].iloc[0]
         out = []
@@ -223,9 +229,11 @@ def _meet(open_buckets: DataFrame, texts: DataFrame, threshold: float, n: int, b
             first = equal.any(1) & (entries[a][equal.argmax(1)] == bucket)
             if cross:
                 first &= owner[a + 1:] != owner[a]
+            rest = sizes[a + 1:]  # the lengths alone bound the similarity
+            first &= np.minimum(rest, sizes[a]) / np.maximum(rest, sizes[a]) >= threshold
             for b in (np.flatnonzero(first) + a + 1).tolist():
                 x, y = find(parts[a]), find(parts[b])
-                if x != y and similarity(names[a], names[b], threshold) >= threshold:
+                if x != y and similarity(shingles(a), shingles(b), threshold) >= threshold:
                     parent[x] = y
                     out.append((*keys[a], *keys[b]))
         return pd.DataFrame(out, columns=[*_ids("a"), *_ids("b")])
@@ -262,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = SHINGLE, e
                 *[F.col(k).alias(f"{k}_a") for k in KEY], *[F.col(f"pivot.{k}").alias(f"{k}_b") for k in KEY])
             new = linked(store(pairs.distinct(), "pairs"), marks.select(*KEY, "n", "bins"), texts, threshold, n)
         else:
-            new = _meet(labelled.join(marks.select(*KEY, "entries"), list(KEY)), texts, threshold, n, block)
+            new = _meet(labelled.join(marks.select(*KEY, "entries", "n"), list(KEY)), texts, threshold, n, block)
         new = store(new, "links")
         links = new if links is None else links.union(new)
         parts = store(_labels(links), "parts")
