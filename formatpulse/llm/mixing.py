@@ -1,14 +1,17 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Documents fall into cells (source, language, topic). Raking scales the cells' token weights to the
-target shares of each margin in turn until all three hold. A cell's documents are then kept with one
-probability, so that the expected tokens follow the raked weights and sum to the wanted budget.
-Cells are a distributed table throughout: margins are grouped sums, and only single numbers
-(errors, totals) reach the driver.
+target shares of each margin in turn until all three hold, and no cell gets more than its tokens. A
+cell's documents are then kept with one probability, so that the expected tokens follow the raked
+weights and sum to the wanted budget.
+Up to ``LOCAL_CELLS`` cells are raked in numpy on the driver; more stay a distributed table throughout,
+whose margins are grouped sums, so that only single numbers (errors, totals) reach the driver.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,9 @@ from formatpulse.session import cut
 
 DIMS = ("__source", "__lang", "__topic")
 
+#: Cells up to which raking runs on the driver; the rule is the same on both sides.
+LOCAL_CELLS = 100_000
+
 #: Topic -> a text that marks it; the first that fits names the topic.
 TOPICS = (("legal", ("icensed under", "License", "rights reserved", "Copyright")),
           ("tabular", (" | ",)),
@@ -61,20 +67,48 @@ def target_shares(cells: DataFrame, dim: str, wanted: dict[str, float] | None, a
     return raw.select(dim, (F.col("__share") / whole).alias("__target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tolerance: float = 1e-4) -> DataFrame:
+def reachable(cells: DataFrame, dim: str, target: DataFrame, budget: float) -> DataFrame:
+    """``target`` as ``budget`` tokens can hold it: no value gets more tokens than it has, and what
+    such values cannot take goes to the others in proportion to their targets."""
+    if not budget:
+        return target
+    margin = cells.groupBy(dim).agg(F.sum("__tokens").alias("__tokens"))
+    side = probabilities(cut(margin.join(target.withColumnRenamed("__target", "__weight"), dim)), budget)
+    return side.select(dim, (F.col("__p") * F.col("__tokens") / float(budget)).alias("__target"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tolerance: float = 1e-4,
+         budget: float | None = None) -> DataFrame:
     """Adds __weight, shares that sum to 1 and meet every margin within ``tolerance``, as far as the
-    cells allow: it ends after ``rounds``, or when a round no longer brings the margins closer."""
+    cells allow: it ends after ``rounds``, or when a round no longer brings the margins closer.
+
+    With a ``budget`` of tokens no weight exceeds the cell's tokens / budget. A full cell stays at
+    that bound while its value's open cells are raked to what is left of the margin, and opens again
+    when a factor pulls it below: one Newton step of each value's factor a round.
+    """
+    cells = cells.where("__tokens > 0")
+    few = cells.limit(LOCAL_CELLS + 1).collect()
+    if few and len(few) <= LOCAL_CELLS:
+        return rake_local(cells, few, targets, rounds, tolerance, budget)
     total = cells.agg(F.sum("__tokens").alias("t")).first()["t"] or 1
-    out = cut(cells.where("__tokens > 0").withColumn("__weight", F.col("__tokens") / total))
+    bound = F.col("__tokens") / float(budget) if budget else F.lit(float("inf"))
+    held = F.least("__weight", bound)
+    out = cut(cells.withColumn("__weight", F.col("__tokens") / total))
     before = None
     for _ in range(rounds):
         for dim, target in targets.items():
-            margin = out.groupBy(dim).agg(F.sum("__weight").alias("__m"))
+            is_open = F.col("__weight") < bound
+            margin = out.groupBy(dim).agg(
+                F.sum(F.when(is_open, F.col("__weight")).otherwise(0.0)).alias("__open"),
+                F.sum(F.when(is_open, 0.0).otherwise(bound)).alias("__full"), F.sum("__weight").alias("__m"))
+            left, over = F.col("__target") - F.col("__full"), F.col("__open") + F.col("__full") - F.col("__target")
             factor = margin.join(target, dim).select(
-                dim, F.when(F.col("__m") > 0, F.col("__target") / F.col("__m")).otherwise(0.0).alias("__f"))
+                dim, F.when(F.abs(over) <= 1e-12, 1.0)
+                .when((F.col("__open") > 0) & (left > 0), left / F.col("__open"))
+                .when(over > 0, F.col("__target") / F.col("__m")).otherwise(1.0).alias("__f"))
             out = out.join(factor, dim).withColumn("__weight", F.col("__weight") * F.col("__f")).drop("__f")
         out = cut(out)
-        errors = [out.groupBy(dim).agg(F.sum("__weight").alias("__m")).join(target, dim)
+        errors = [out.groupBy(dim).agg(F.sum(held).alias("__m")).join(target, dim)
                   .agg(F.max(F.abs(F.col("__m") - F.col("__target"))).alias("e")) for dim, target in targets.items()]
         union = errors[0]
         for e in errors[1:]:
@@ -83,7 +117,45 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
         if worst is None or worst < tolerance or (before is not None and worst > 0.9 * before):
             break
         before = worst
-    return out
+    return out.withColumn("__weight", held)
+
+
+def rake_local(cells: DataFrame, rows: list, targets: dict[str, DataFrame], rounds: int, tolerance: float,
+               budget: float | None) -> DataFrame:
+    """``rake`` of the collected ``rows`` of ``cells``."""
+    wanted = {d: {r[d]: r["__target"] for r in t.collect()} for d, t in targets.items()}
+    rows = sorted(r for r in rows if all(r[d] in wanted[d] for d in targets))
+    frame = pd.DataFrame(rows, columns=cells.columns)
+    places, shares = {}, {}
+    for d in targets:
+        places[d], values = pd.factorize(frame[d])
+        shares[d] = np.array([wanted[d][v] for v in values], float)
+    tokens = frame["__tokens"].to_numpy(float)
+    weight = tokens / tokens.sum()
+    bound = tokens / budget if budget else np.full(len(tokens), np.inf)
+
+    def margin(d: str, x: np.ndarray) -> np.ndarray:
+        return np.bincount(places[d], x, len(shares[d]))
+
+    before = None
+    for _ in range(rounds):
+        for d, target in shares.items():
+            is_open = weight < bound
+            opened, full = margin(d, np.where(is_open, weight, 0)), margin(d, np.where(is_open, 0, bound))
+            left, over = target - full, opened + full - target
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = np.select(
+                    [np.abs(over) <= 1e-12, (opened > 0) & (left > 0), over > 0],
+                    [1.0, left / opened, target / margin(d, weight)], 1.0)
+            weight = weight * factor[places[d]]
+        held = np.minimum(weight, bound)
+        worst = max(np.abs(margin(d, held) - target).max(initial=0) for d, target in shares.items())
+        if worst < tolerance or (before is not None and worst > 0.9 * before):
+            break
+        before = worst
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
+    out = [(*r, float(w)) for r, w in zip(rows, np.minimum(weight, bound), strict=True)]
+    return cells.sparkSession.createDataFrame(out, f"{names}, __weight double")
 
 
 def probabilities(raked: DataFrame, budget: float, max_steps: int = 60) -> DataFrame:
@@ -107,7 +179,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alp
     """``docs`` with topic, n_tokens, probability, weight (1/probability) and kept.
 
     ``targets`` maps source, lang, topic to wanted shares of tokens; ``alpha`` flattens the margins
-    that are not given; ``keep`` is the budget as a share of all tokens. The draw is a hash of
+    that are not given; ``keep`` is the budget as a share of all tokens. Where the budget asks for
+    more tokens of a value than there are, all of them are kept and the other values share the rest in
+    proportion to their targets; a smaller ``keep`` meets the targets as given. The draw is a hash of
     seed, doc_id and text, so it repeats, and repeated rows share their fate. Documents without a
     word (null and empty texts among them) carry no token mass: probability 0, kept false. An empty
     table gives no rows. Further columns pass through, save those named above.
@@ -116,9 +190,13 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alp
     rows = celled(docs, topics)
     cells = cut(rows.groupBy(*DIMS).agg(F.sum("__tokens").alias("__tokens"), F.count("*").alias("__docs")))
     wanted = {d: cut(target_shares(cells, d, targets.get(d.strip("_")), alpha)) for d in DIMS}
-    raked = rake(cells, wanted)
     total = cells.agg(F.sum("__tokens").alias("t")).first()["t"] or 0
-    chance = cut(probabilities(raked, keep * total).select(*DIMS, "__p"))
+    for d in DIMS:  # cells of a value with target 0 are left out of all margins
+        cells = cells.join(wanted[d].where("__target > 0").select(d), d, "left_semi")
+    cells = cut(cells.where("__tokens > 0"))
+    budget = float(min(keep * total, cells.agg(F.sum("__tokens").alias("t")).first()["t"] or 0))
+    wanted = {d: cut(reachable(cells, d, wanted[d], budget)) for d in DIMS}
+    chance = cut(probabilities(rake(cells, wanted, budget=budget), budget).select(*DIMS, "__p"))
     both = rows.join(small(chance, 100_000), list(DIMS), "left")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     chance_of = F.when(F.col("__tokens") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(0.0)
