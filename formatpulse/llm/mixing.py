@@ -10,6 +10,8 @@ whose margins are grouped sums, so that only single numbers (errors, totals) rea
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,9 @@ DIMS = ("__source", "__lang", "__topic")
 
 #: Cells up to which raking runs on the driver; the rule is the same on both sides.
 LOCAL_CELLS = 100_000
+#: A round that moves no weight by this share of all tokens has changed nothing.
+UNCHANGED = 1e-12
+LOG = logging.getLogger(__name__)
 
 #: Topic -> a text that marks it; the first that fits names the topic.
 TOPICS = (("legal", ("icensed under", "License", "rights reserved", "Copyright")),
@@ -77,10 +82,11 @@ def reachable(cells: DataFrame, dim: str, target: DataFrame, budget: float) -> D
     return side.select(dim, (F.col("__p") * F.col("__tokens") / float(budget)).alias("__target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tolerance: float = 1e-4,
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 500, tolerance: float = 1e-4,
          budget: float | None = None) -> DataFrame:
     """Adds __weight, shares that sum to 1 and meet every margin within ``tolerance``, as far as the
-    cells allow: it ends after ``rounds``, or when a round no longer brings the margins closer.
+    cells allow: it ends early only when a round no longer changes the weights. A result that misses
+    the tolerance, for that reason or because ``rounds``, a safety bound, ran out, is logged.
 
     With a ``budget`` of tokens no weight exceeds the cell's tokens / budget. A full cell stays at
     that bound while its value's open cells are raked to what is left of the margin, and opens again
@@ -94,8 +100,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
     bound = F.col("__tokens") / float(budget) if budget else F.lit(float("inf"))
     held = F.least("__weight", bound)
     out = cut(cells.withColumn("__weight", F.col("__tokens") / total))
-    before = None
+    worst = None
     for _ in range(rounds):
+        out = out.withColumn("__before", held)
         for dim, target in targets.items():
             is_open = F.col("__weight") < bound
             margin = out.groupBy(dim).agg(
@@ -114,12 +121,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 25, tole
         for e in errors[1:]:
             union = union.union(e)
         worst = union.agg(F.max("e").alias("e")).first()["e"]
-        if worst is None or worst < tolerance or (before is not None and worst > 0.9 * before):
+        change = out.agg(F.max(F.abs(held - F.col("__before"))).alias("c")).first()["c"]
+        out = out.drop("__before")
+        if worst is None or worst < tolerance or change < UNCHANGED:
             break
-        before = worst
+    _report(worst, tolerance)
     return out.withColumn("__weight", held)
 
 
+def _report(worst: float | None, tolerance: float) -> None:
+    if worst is not None and worst >= tolerance:
+        LOG.warning("raking misses a margin by %.6f of all tokens (tolerance %.6f)", worst, tolerance)
+
+
 def rake_local(cells: DataFrame, rows: list, targets: dict[str, DataFrame], rounds: int, tolerance: float,
                budget: float | None) -> DataFrame:
     """``rake`` of the collected ``rows`` of ``cells``."""
@@ -137,8 +151,9 @@ def rake_local(cells: DataFrame, rows: list, targets: dict[str, DataFrame], roun
     def margin(d: str, x: np.ndarray) -> np.ndarray:
         return np.bincount(places[d], x, len(shares[d]))
 
-    before = None
+    worst = None
     for _ in range(rounds):
+        start = np.minimum(weight, bound)
         for d, target in shares.items():
             is_open = weight < bound
             opened, full = margin(d, np.where(is_open, weight, 0)), margin(d, np.where(is_open, 0, bound))
@@ -150,9 +165,9 @@ def rake_local(cells: DataFrame, rows: list, targets: dict[str, DataFrame], roun
             weight = weight * factor[places[d]]
         held = np.minimum(weight, bound)
         worst = max(np.abs(margin(d, held) - target).max(initial=0) for d, target in shares.items())
-        if worst < tolerance or (before is not None and worst > 0.9 * before):
+        if worst < tolerance or np.abs(held - start).max() < UNCHANGED:
             break
-        before = worst
+    _report(worst, tolerance)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
     out = [(*r, float(w)) for r, w in zip(rows, np.minimum(weight, bound), strict=True)]
     return cells.sparkSession.createDataFrame(out, f"{names}, __weight double")

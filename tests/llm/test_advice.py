@@ -39,3 +39,26 @@ def test_mix_leaves_out_values_of_target_zero(spark):
     out = mixing.mix(docs, {"lang": {"en": 0.5, "de": 0.5, "fr": 0.0, "es": 0.0}}, keep=0.2).toPandas()
     got = expected_shares(out, "lang")
     assert abs(got["en"] - 0.5) < 1e-3 and abs(got["de"] - 0.5) < 1e-3 and got["fr"] == got["es"] == 0
+
+
+def test_raking_goes_on_through_flat_rounds(spark, monkeypatch):
+    """Sources of nearly one language each: the first rounds barely cut the error."""
+    mass = {"a": 7000, "b": 6000, "c": 5000, "d": 9000}
+    rows = [(s, lang, "t", int(n * (970 if i == j else 10)))
+            for i, (s, n) in enumerate(mass.items()) for j, lang in enumerate(("en", "de", "fr", "es"))]
+    cells = spark.createDataFrame(rows, "__source string, __lang string, __topic string, __tokens long")
+    targets = {"__source": [("a", 0.4), ("b", 0.2), ("c", 0.2), ("d", 0.2)],
+               "__lang": [(v, 0.25) for v in ("en", "de", "fr", "es")], "__topic": [("t", 1.0)]}
+    frames = {d: spark.createDataFrame(t, f"{d} string, __target double") for d, t in targets.items()}
+    raked = mixing.rake(cells, frames).toPandas()
+    for d, target in targets.items():
+        got = raked.groupby(d)["__weight"].sum()
+        assert max(abs(got[v] - x) for v, x in target) < 1e-4
+    # the distributed form follows the same rule
+    for budget in (None, 9000 * 900):
+        first = mixing.rake(cells, frames, rounds=2, budget=budget).toPandas()
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "LOCAL_CELLS", 0)
+            other = mixing.rake(cells, frames, rounds=2, budget=budget).toPandas()
+        both = first.merge(other, on=list(mixing.DIMS))
+        assert len(both) == 16 and np.allclose(both["__weight_x"], both["__weight_y"], atol=1e-9)
