@@ -21,7 +21,7 @@ BITS = 19
 BUCKETS = 1 << BITS
 DIM = 4
 #: Documented bound of the training sample: labelled rows of each class.
-PER_CLASS = 1200
+PER_CLASS = 2000
 #: Logits are averages of words of which few matter, so they are scaled up.
 SCALE = 40.0
 _WORD = re.compile(r"\w+")
@@ -78,18 +78,22 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return used.astype(np.int32), np.bincount(place, each[owner]).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.035, batch: int = 100,
+def train(texts: list[str], labels: list[int], **how) -> tuple[np.ndarray, float]:
+    return train_bags([bag(t) for t in texts], labels, **how)
+
+
+def train_bags(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 12, rate: float = 0.035, batch: int = 100,
           decay: float = 1e-4, dim: int = DIM, dropout: float = 0.6, min_share: float = 0.005, seed: int = 5) -> tuple[np.ndarray, float]:
     """(bucket scores, bias): a word's score is the mean of its buckets, a document's logit the mean
     of its words plus bias. Vectors and softmax are trained together by Adam."""
     rng = np.random.default_rng(seed)
     # flat arrays: the driver holds little, and gives it back when done
-    parts = [bag(t) for t in texts]
+    n_texts = len(parts)
     ends = np.cumsum([len(b) for b, _ in parts])
     flat, share = np.concatenate([b for b, _ in parts]), np.concatenate([w for _, w in parts])
     del parts
     seen = np.bincount(flat, minlength=BUCKETS)
-    known = np.flatnonzero(seen >= max(2, min_share * len(texts)))
+    known = np.flatnonzero(seen >= max(2, min_share * n_texts))
     local = np.full(BUCKETS, -1, np.int32)
     local[known] = np.arange(len(known))
     flat = local[flat]
@@ -104,7 +108,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
     slow, fast = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(n_texts)
         speed = rate * (1 - epoch / epochs) + rate * 0.05
         for lo in range(0, len(order), batch):
             ids = order[lo:lo + batch]
@@ -151,24 +155,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list, list[int]]:
     """At most ``per_class`` labelled ids of each class outside the held-out fold, by a hash of the
-    id, with their whole texts."""
+    id, with the bags of their whole texts. The executors make the bags; no text reaches the driver."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", "toxic").distinct().withColumn("__h", F.xxhash64(F.lit(3), "doc_id"))
     picked = [r for y in (0, 1) for r in
               known.where(F.col("toxic") == y).orderBy("__h", "doc_id").limit(per_class).collect()]
     chosen = docs.sparkSession.createDataFrame(picked, known.schema)  # two per_class rows at most
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(x.tobytes() for x in bag(t)) for t in texts], dtype=object)
+
     rows = docs.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(
-        F.max("text").alias("text")).collect()
+        F.max("text").alias("text")).select("doc_id", "toxic", packed("text").alias("bag")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    halves = [(r["bag"], len(r["bag"]) // 8) for r in rows]
+    return [(np.frombuffer(b, np.int32, n), np.frombuffer(b, np.float32, n, 4 * n)) for b, n in halves], [
+        r["toxic"] for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Without both classes there is nothing to learn: every score is then 0.5."""
-    texts, ys = sample(docs, labels, per_class)
-    return train(texts, ys) if len(set(ys)) == 2 else (np.zeros(BUCKETS, np.float32), 0.0)
+    bags, ys = sample(docs, labels, per_class)
+    return train_bags(bags, ys) if len(set(ys)) == 2 else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from formatpulse.llm import mixing
+from formatpulse.llm import mixing, toxicity
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -62,3 +62,16 @@ def test_raking_goes_on_through_flat_rounds(spark, monkeypatch):
             other = mixing.rake(cells, frames, rounds=2, budget=budget).toPandas()
         both = first.merge(other, on=list(mixing.DIMS))
         assert len(both) == 16 and np.allclose(both["__weight_x"], both["__weight_y"], atol=1e-9)
+
+
+def test_toxicity_sample_holds_bags_not_texts(spark):
+    """The driver gets (bucket, weight) arrays, the same as it would compute, of 2000 rows a class."""
+    texts = {1: "one two three", 2: "einmal zwei", 3: "", 4: "漢字 word", 6: "four five " * 300}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
+    ids = sorted(r["doc_id"] for r in docs.where(~toxicity.held_out(F.col("doc_id"))).collect())
+    bags, ys = toxicity.sample(docs, labels)
+    assert ys == [i % 2 for i in ids] and len(ids) > 1 and toxicity.PER_CLASS >= 2000
+    for i, (bucket, weight) in zip(ids, bags, strict=True):
+        want = toxicity.bag(texts[i])
+        assert (bucket == want[0]).all() and (weight == want[1]).all()
