@@ -1,11 +1,13 @@
-"""The ten registered queries and their SQL, where SQL can express them."""
+"""The registered queries and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formatpulse.llm import decontam, licenses, linededup, mixing, orderminhash, quality, repeats, tokens, toxicity, urls
+from formatpulse.llm import (
+    decontam, fim, licenses, linededup, merkle, mixing, orderminhash, quality, repeats, tokens, toxicity, urls, vectordedup,
+)
 from formatpulse.llm.common import WORD, table
 
 
@@ -52,6 +54,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mix_sources": op2_mix_sources,
@@ -63,6 +77,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -79,7 +96,75 @@ _TEMPLATES = _values([
     (label, k, len(licenses.template_words(t)), w) for label, texts in licenses.TEMPLATES.items()
     for k, t in enumerate(texts) for w in licenses.template_words(t)])
 
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+             for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: Steps of the cyclic redundancy check of an id, one for each bit, lowest first.
+_CRC_STEP = "xor(x >> 1, 3988292384 * (x & 1))"
+_CRC_EVEN = f"""(xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(
+    range(8 * length(CAST(doc_id AS VARCHAR))), lambda i: i::UBIGINT)), lambda acc, i: list_transform([CASE WHEN i % 8 = 0
+    THEN xor(acc, ascii(substr(CAST(doc_id AS VARCHAR), (i // 8)::BIGINT + 1, 1))::UBIGINT) ELSE acc END],
+    lambda x: {_CRC_STEP})[1]), 4294967295) % 2 = 0)"""
+
 SQL = {
+    # trees level by level, then every leaf's siblings, then the fold of every leaf along them
+    "op11_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_leaf('text')} AS leaf,
+          {_leaf("(CASE WHEN " + _CRC_EVEN + " THEN replace(text, chr(10), '') ELSE text END)")} AS other,
+          dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM documents),
+        e AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+          count(*) OVER (PARTITION BY s) AS n FROM d),
+        low(l, s, i, h, n) AS (SELECT 0, s, i, leaf, n FROM e UNION ALL
+          SELECT l + 1, s, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3)
+          FROM low WHERE n > 1 GROUP BY l, s, i // 3),
+        sub AS (SELECT s, h, l FROM low WHERE n = 1),
+        high(l, i, h, n) AS (SELECT 0, s, h, (SELECT count(*) FROM sub) FROM sub UNION ALL
+          SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3)
+          FROM high WHERE n > 1 GROUP BY l, i // 3),
+        steps AS (SELECT e.r, k.l, (e.i // pow(3, k.l)::BIGINT) AS i, e.s, e.s AS of FROM e JOIN sub USING (s), LATERAL (SELECT unnest(range(sub.l)) AS l) k),
+        below AS (SELECT p.r, p.l, coalesce(string_agg(q.h, '' ORDER BY q.i) FILTER (q.i < p.i), '') AS a,
+          coalesce(string_agg(q.h, '' ORDER BY q.i) FILTER (q.i > p.i), '') AS b FROM steps p
+          JOIN low q ON q.s = p.s AND q.l = p.l AND q.i // 3 = p.i // 3 GROUP BY p.r, p.l),
+        tops AS (SELECT sub.s, k.l, sub.s // pow(3, k.l)::BIGINT AS i FROM sub, LATERAL (SELECT unnest(range((SELECT max(l) FROM high))) AS l) k),
+        above AS (SELECT p.s, p.l, coalesce(string_agg(q.h, '' ORDER BY q.i) FILTER (q.i < p.i), '') AS a,
+          coalesce(string_agg(q.h, '' ORDER BY q.i) FILTER (q.i > p.i), '') AS b FROM tops p
+          JOIN high q ON q.l = p.l AND q.i // 3 = p.i // 3 GROUP BY p.s, p.l),
+        paths AS (SELECT r, l, a, b FROM below UNION ALL SELECT e.r, 1000 + above.l, a, b FROM e JOIN above USING (s)),
+        ordered AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY l) AS k, a, b FROM paths),
+        proofs AS (SELECT r, sha256(string_agg(a || b, '' ORDER BY k)) AS proof, count(*) AS size FROM ordered GROUP BY r),
+        folds(r, k, h) AS (SELECT r, 0::BIGINT, other FROM e UNION ALL
+          SELECT f.r, f.k + 1, sha256(o.a || f.h || o.b) FROM folds f JOIN ordered o ON o.r = f.r AND o.k = f.k + 1),
+        root AS (SELECT h FROM high WHERE n = 1)
+        SELECT e.doc_id, e.leaf, sub.h AS subroot, root.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+          f.h AS folded_root, f.h = root.h AS verified
+        FROM e JOIN sub USING (s) CROSS JOIN root LEFT JOIN proofs p USING (r)
+        JOIN folds f ON f.r = e.r AND f.k = coalesce(p.size, 0)""",
+    "op12_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+        g AS (SELECT *, len(w)::BIGINT AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+          CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+        f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+          CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+            WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+        c AS (SELECT *, array_to_string(w[1:lo], '') AS p, array_to_string(w[lo + 1:hi], '') AS m, array_to_string(w[hi + 1:], '') AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+          CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
+    # all pairs, then the least id that a walk along links reaches
+    "op13_near_vectors": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (SELECT r, vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+        parts AS (SELECT reach.x AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY reach.x),
+        n AS (SELECT x AS r, count(*) AS n_links FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN parts USING (r) LEFT JOIN n USING (r)""",
     # the pruned join returns what this plain one does: containment over all blocks and templates
     "op1_license_scan": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLD} AS t FROM documents),
         w AS (SELECT r, doc_id, regexp_extract_all(t, {_WORDS}) AS w, string_split(t, chr(10)) AS ls FROM d),
