@@ -11,11 +11,10 @@ matches / (all shingles - matches), an ordered Jaccard; 0.8 or more links two te
 
 Groups are the connected components of links. A bucket of equal entries is not expanded into pairs:
 its members meet one pivot at a time, the member whose entries stand in the largest buckets first, as
-the centre of a group shares more entries than its edge. Buckets that still hold several components
-after ``rounds`` pivots are compared exactly, in blocks of bounded size within tasks, which skip
-pairs that are connected already and return spanning links only. Pairs with a pivot pass a filter on
-one-permutation MinHash signatures that leaves 0.8 some four standard errors. Exact copies count
-once throughout.
+the centre of a group shares more entries than its edge. In buckets that still hold several components
+after ``rounds`` pivots, the pairs across components are tried, in blocks of bounded size within tasks.
+All pairs first pass a filter on lengths and on one-permutation MinHash signatures that leaves 0.8 some
+four standard errors; those left are aligned. Exact copies count once throughout.
 """
 
 from __future__ import annotations
@@ -37,8 +36,8 @@ SKETCHES = 12
 TUPLE = 3
 BINS = 64
 ROUNDS = 3
-#: Texts of a block in the exact comparison.
-BLOCK = 96
+#: Texts of a block in the exact rest.
+BLOCK = 2048
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -133,16 +132,121 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = 0.8) -> float:
     return best(len(tails))
 
 
+def many_shingles(texts: list[str | None], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(names, sizes): :func:`labelled_shingles` of every text, one after the other, and how many each has."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = _LOWER[np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)]  # a byte of no word between texts
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    inside = _IS_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(data) and inside[0]:
+        edges = np.concatenate(([0], edges))
+    begin, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    owner = np.searchsorted(ends, begin, "right")
+    counts = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(counts) - counts
+    powers = np.cumprod(np.full(int(lengths.max()), 0xD6E8FEB86659FD93, np.uint64))
+    spot = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    words = _mix(np.add.reduceat((data[inside].astype(np.uint64) + _U(1)) * powers[spot], np.cumsum(lengths) - lengths))
+    names, short = words.copy(), {}
+    for k in range(1, n):
+        few = np.flatnonzero(counts == k)  # texts of fewer words are one shingle
+        short[k] = (few, names[first[few]])
+        names[: len(words) - k] = _mix(names[: len(words) - k] * _U(0x9E3779B97F4A7C15) + words[k:])
+    place = np.arange(len(words)) - np.repeat(first, counts)
+    whole = place + n <= np.repeat(counts, counts)
+    for few, values in short.values():
+        whole[first[few]] = True
+        names[first[few]] = values
+    names, owner = names[whole], owner[whole]
+    sizes = np.bincount(owner, minlength=len(texts))
+    # the same name again in a text gets its number mixed in
+    own = _mix(names ^ (owner.astype(np.uint64) * _U(0xA24BAED4963EE407)))
+    ranked = np.sort(own)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if len(twice):
+        at = np.flatnonzero(np.isin(own, twice))
+        order = at[np.argsort(own[at], kind="stable")]
+        fresh = np.concatenate(([True], own[order][1:] != own[order][:-1]))
+        run = np.arange(len(order))
+        number = run - np.maximum.accumulate(np.where(fresh, run, 0))
+        again = order[number > 0]
+        names[again] = _mix(names[again] + number[number > 0].astype(np.uint64) * _U(0xA24BAED4963EE407))
+    return names, sizes
+
+
+def many_sketches(names: np.ndarray, sizes: np.ndarray, entries: int = SKETCHES, size: int = TUPLE) -> np.ndarray:
+    """:func:`sketch` of every text, as a row each; rows of texts without a shingle are zero.
+
+    The least values of a text are sought among those below a bound that some sixteen of them pass; texts in
+    which too few do so for a seed take the plain way."""
+    out = np.zeros((len(sizes), entries), np.int64)
+    first = np.cumsum(sizes) - sizes
+    plain = (sizes > 0) & (sizes < 32)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bound = np.full(len(sizes), np.iinfo(np.uint64).max, np.uint64)
+    large = ~plain & (sizes > 0)
+    bound[large] = (2.0**64 / sizes[large] * max(16, 6 * size)).astype(np.uint64) if large.any() else 0
+    bound = np.repeat(bound, sizes)
+    if large.any():
+        for e, seed in enumerate(_mix(np.arange(1, entries + 1, dtype=np.uint64))):
+            value = (names ^ seed) * _U(0x81DADEF4BC2DD44D)
+            at = np.flatnonzero(value < bound)
+            at = at[np.lexsort((value[at], owner[at]))]
+            group = owner[at]
+            rank = np.arange(len(at)) - np.searchsorted(group, group)
+            found = np.bincount(group, minlength=len(sizes))
+            plain |= large & (found < size)
+            keep = (rank < size) & ((found >= size) & large)[group]
+            lowest = np.sort(at[keep].reshape(-1, size), axis=1)
+            name = np.full(len(lowest), seed)
+            for column in lowest.T:
+                name = _mix(name * _U(0x9E3779B97F4A7C15) + names[column])
+            out[owner[lowest[:, 0]], e] = name.view(np.int64)
+    for t in np.flatnonzero(plain):
+        out[t] = sketch(names[first[t]: first[t] + sizes[t]], entries, size)
+    return out
+
+
+def many_signatures(names: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """:func:`signature` of every text, as a row each."""
+    h = _mix(names + _U(77))
+    least = np.full(len(sizes) * bins, np.iinfo(np.uint64).max, np.uint64)
+    at = np.repeat(np.arange(len(sizes)), sizes) * bins + (h % _U(bins)).astype(np.int64)
+    np.minimum.at(least, at, h)
+    out = (least >> _U(6) & _U(0x7FFF)).astype(np.int16)
+    seen = np.zeros(len(least), bool)
+    seen[at] = True
+    return np.where(seen, out, -1).astype(np.int16).reshape(-1, bins)
+
+
+def portions(texts: list[str | None], characters: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """[from, to) of runs of texts with about so many characters, or of one longer text."""
+    lo = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= characters:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def sketches(docs: DataFrame, n: int = SHINGLE, entries: int = SKETCHES, size: int = TUPLE) -> DataFrame:
     """One row per distinct text with a word: key, n (shingles), entries, bins."""
     @F.pandas_udf("n int, entries array<bigint>, bins array<smallint>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                names = labelled_shingles(text, n)
-                rows.append((len(names), sketch(names, entries, size), signature(names)))
-            yield pd.DataFrame(rows, columns=["n", "entries", "bins"])
+        for batch in batches:
+            texts, parts = batch.tolist(), []
+            for lo, hi in portions(texts):
+                names, sizes = many_shingles(texts[lo:hi], n)
+                parts.append((sizes, many_sketches(names, sizes, entries, size), many_signatures(names, sizes)))
+            if not parts:
+                parts = [(np.zeros(0, np.int64), np.zeros((0, entries), np.int64), np.zeros((0, BINS), np.int16))]
+            counts, found, bins = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pd.DataFrame({"n": counts.astype(np.int32), "entries": list(found), "bins": list(bins)})
     rows = docs.select(*text_key(F.col("text")), sketched("text").alias("s")).where("s.n > 0")
     return rows.groupBy(*KEY).agg(F.first("s").alias("s")).select(*KEY, "s.*")
 
@@ -194,49 +298,42 @@ def _labels(links: DataFrame) -> DataFrame:
     return found.select("id.*", F.col("component").alias("part"))
 
 
-def _meet(open_buckets: DataFrame, texts: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
-    """Links (keys _a, _b) that join the components of each bucket wherever any pair across them does.
-    Blocks of a bucket meet in pairs; a pair of texts is tried in the first bucket it shares."""
+def _meet(open_buckets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs (keys _a, _b) of texts in one bucket whose components differ and whose lengths and signatures leave
+    the threshold possible; a pair is named in the first bucket it shares. Rows are narrow, so a bucket of
+    ``block`` texts is one task; larger ones meet in pairs of blocks."""
     sized = open_buckets.join(open_buckets.groupBy("bucket").agg(
         F.ceil(F.count("*") / block).cast("int").alias("__blocks")), "bucket")
     own = F.pmod(F.xxhash64(F.lit(5), *KEY), F.col("__blocks")).cast("int")
     rows = sized.withColumn("__own", own).withColumn(
         "__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     rows = rows.select("bucket", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"),
-                       "__own", *KEY, "entries", "n", F.struct("part.*").alias("part")).join(texts, list(KEY))
+                       "__own", *KEY, "entries", "bins", "n", F.xxhash64("part").alias("part"))
+    slack = 4 * (threshold * (1 - threshold) / BINS) ** 0.5
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = list(zip(rows[KEY[0]], rows[KEY[1]], strict=True))
-        parent = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-        parts = [tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in rows["part"]]
-        names: dict[int, np.ndarray] = {}  # of texts that some pair tries
-
-        def shingles(i: int) -> np.ndarray:
-            if i not in names:
-                names[i] = labelled_shingles(texts_here[i], n)
-            return names[i]
-        texts_here, sizes = rows["text"].to_numpy(), rows["n"].to_numpy()
-        entries = np.stack(rows["entries"].to_numpy())
+        keys = rows[list(KEY)].to_numpy()
+        parts, sizes = rows["part"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+        entries, bins = np.stack(rows["entries"].to_numpy()), np.stack(rows["bins"].to_numpy())
         owner, bucket, cross = rows["__own"].to_numpy(), rows["bucket"].iloc[0], rows["__i"].iloc[0] != rows["__j"].iloc[0]
-        out = []
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(len(keys)):
-            equal = entries[a + 1:] == entries[a]
-            first = equal.any(1) & (entries[a][equal.argmax(1)] == bucket)
+            longer, shorter = np.maximum(sizes[a + 1:], sizes[a]), np.minimum(sizes[a + 1:], sizes[a])
+            able = (shorter >= threshold * longer) & (parts[a + 1:] != parts[a])
             if cross:
-                first &= owner[a + 1:] != owner[a]
-            rest = sizes[a + 1:]  # the lengths alone bound the similarity
-            first &= np.minimum(rest, sizes[a]) / np.maximum(rest, sizes[a]) >= threshold
-            for b in (np.flatnonzero(first) + a + 1).tolist():
-                x, y = find(parts[a]), find(parts[b])
-                if x != y and similarity(shingles(a), shingles(b), threshold) >= threshold:
-                    parent[x] = y
-                    out.append((*keys[a], *keys[b]))
-        return pd.DataFrame(out, columns=[*_ids("a"), *_ids("b")])
+                able &= owner[a + 1:] != owner[a]
+            at = np.flatnonzero(able) + a + 1
+            if not len(at):
+                continue
+            equal = entries[at] == entries[a]
+            at = at[entries[a][equal.argmax(1)] == bucket]
+            same = ((bins[at] == bins[a]) & (bins[a] >= 0)).sum(1)
+            used = ((bins[at] >= 0) | (bins[a] >= 0)).sum(1)
+            at = at[(np.minimum(sizes[at], sizes[a]) < 200) | (same >= (threshold - slack) * used)]
+            left.append(np.full(len(at), a))
+            right.append(at)
+        a, b = keys[np.concatenate(left)], keys[np.concatenate(right)]
+        return pd.DataFrame(np.hstack([a, b]), columns=[*_ids("a"), *_ids("b")])
     return rows.groupBy("bucket", "__i", "__j").applyInPandas(
         meet, ", ".join(f"{c} bigint" for c in (*_ids("a"), *_ids("b"))))
 
@@ -270,7 +367,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = SHINGLE, e
                 *[F.col(k).alias(f"{k}_a") for k in KEY], *[F.col(f"pivot.{k}").alias(f"{k}_b") for k in KEY])
             new = linked(store(pairs.distinct(), "pairs"), marks.select(*KEY, "n", "bins"), texts, threshold, n)
         else:
-            new = _meet(labelled.join(marks.select(*KEY, "entries", "n"), list(KEY)), texts, threshold, n, block)
+            rest = _meet(labelled.join(marks, list(KEY)), threshold, block)
+            new = linked(store(rest, "rest"), marks.select(*KEY, "n", "bins"), texts, threshold, n)
         new = store(new, "links")
         links = new if links is None else links.union(new)
         parts = store(_labels(links), "parts")
