@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formatpulse.session import store
+
 #: Upper and lower case A-Z, for case folding that touches nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +30,36 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def identity(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits that stand for (id, text), nulls told from values. They follow from the row alone, so
+    a second reading of a table gives every row the same name, however its files are split."""
+    return [F.xxhash64(F.lit(i), doc_id.isNull(), doc_id, text.isNull(), text) for i in range(2)]
+
+
+def with_identity(docs: DataFrame) -> tuple[DataFrame, tuple[str, str], str]:
+    """``docs`` with two columns of :func:`identity` and a flag on rows that repeat another's (id, text); one row of
+    each keeps it unset. Returns their names too. Repeated rows are stored once with a number, others pass."""
+    a, b, copy, n = free(docs, "__id_a", "__id_b", "__copy", "__n")
+    rows = docs.withColumns(dict(zip((a, b), identity(F.col("doc_id"), F.col("text")), strict=True)))
+    twice = small(store(rows.groupBy(a, b).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n), "repeated"))
+    many = store(rows.join(twice, [a, b], "left_semi").withColumn(n, F.monotonically_increasing_id()), "repeats")
+    first = many.groupBy(a, b).agg(F.min(n).alias(copy))
+    marked = many.join(first, [a, b]).withColumn(copy, F.col(n) > F.col(copy)).select(*rows.columns, copy)
+    single = rows.join(twice, [a, b], "left_anti").select(*rows.columns, F.lit(False).alias(copy))
+    return single.unionByName(marked), (a, b), copy
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: equal texts get equal results, so operators whose
     decision depends on the text alone key their work by it and join back; repeated rows and

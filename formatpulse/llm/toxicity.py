@@ -2,9 +2,10 @@
 
 A word is the mean of the vectors of its character n-grams and of the word itself, hashed into
 buckets; a document is the mean of its distinct words; a linear softmax reads the class. Vectors and
-softmax are trained together, by Adam on a bounded sample of labelled rows. Unseen spellings share
-most n-grams with the words that were seen. As the model is linear, a trained bucket is one number,
-so scoring looks up and averages numbers, and only those (two megabytes) travel.
+softmax are trained together, by Adam on a bounded sample of labelled rows, in one task: the executors make
+the sample's bags, the task reads them, and neither texts nor bags reach the driver. Unseen spellings
+share most n-grams with the words that were seen. As the model is linear, a trained bucket is one
+number, so scoring looks up and averages numbers, and only those (two megabytes) travel.
 """
 
 from __future__ import annotations
@@ -14,14 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formatpulse.llm.common import free
+from formatpulse.session import store
+
 BITS = 19
 BUCKETS = 1 << BITS
 DIM = 4
-#: Documented bound of the training sample: labelled rows of each class.
+#: Documented bounds of the training sample: labelled rows of each class, and buckets in all bags together.
 PER_CLASS = 2000
+SAMPLE_BUCKETS = 24_000_000
 #: Logits are averages of words of which few matter, so they are scaled up.
 SCALE = 40.0
 _WORD = re.compile(r"\w+")
@@ -87,19 +93,18 @@ def train_bags(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ep
     """(bucket scores, bias): a word's score is the mean of its buckets, a document's logit the mean
     of its words plus bias. Vectors and softmax are trained together by Adam."""
     rng = np.random.default_rng(seed)
-    # flat arrays: the driver holds little, and gives it back when done
     n_texts = len(parts)
-    ends = np.cumsum([len(b) for b, _ in parts])
-    flat, share = np.concatenate([b for b, _ in parts]), np.concatenate([w for _, w in parts])
-    del parts
-    seen = np.bincount(flat, minlength=BUCKETS)
+    seen = np.zeros(BUCKETS, np.int64)
+    for bucket, _ in parts:  # no bucket stands twice in a bag
+        seen[bucket] += 1
     known = np.flatnonzero(seen >= max(2, min_share * n_texts))
     local = np.full(BUCKETS, -1, np.int32)
     local[known] = np.arange(len(known))
-    flat = local[flat]
-    kept = flat >= 0
-    ends = np.concatenate(([0], np.cumsum(kept)))[ends]
-    flat, share = flat[kept], share[kept]
+    held = [local[b] for b, _ in parts]
+    flat = np.concatenate([x[x >= 0] for x in held])
+    share = np.concatenate([w[x >= 0] for x, (_, w) in zip(held, parts, strict=True)])
+    ends = np.cumsum([np.count_nonzero(x >= 0) for x in held])
+    del parts, held
     bounds = np.concatenate(([0], ends))
     y = np.array(labels)
     per_class = len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1))
@@ -155,9 +160,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list, list[int]]:
-    """At most ``per_class`` labelled ids of each class outside the held-out fold, by a hash of the
-    id, with the bags of their whole texts. The executors make the bags; no text reaches the driver."""
+def sampled_bags(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = SAMPLE_BUCKETS) -> DataFrame:
+    """(doc_id, toxic, bag) of at most ``per_class`` labelled ids of each class outside the held-out fold, by a hash of the
+    id, with the bags of their whole texts, stored. Where these hold more than ``most`` buckets, ids behind
+    that sum in the hash's order are left out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", "toxic").distinct().withColumn("__h", F.xxhash64(F.lit(3), "doc_id"))
     picked = [r for y in (0, 1) for r in
@@ -169,17 +175,45 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
         return pd.Series([b"".join(x.tobytes() for x in bag(t)) for t in texts], dtype=object)
 
     rows = docs.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(
-        F.max("text").alias("text")).select("doc_id", "toxic", packed("text").alias("bag")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
-    halves = [(r["bag"], len(r["bag"]) // 8) for r in rows]
-    return [(np.frombuffer(b, np.int32, n), np.frombuffer(b, np.float32, n, 4 * n)) for b, n in halves], [
-        r["toxic"] for r in rows]
+        F.max("text").alias("text"), F.first("__h").alias("__h"))
+    bags = store(rows.select("doc_id", "toxic", "__h", packed("text").alias("bag")), "bags")
+    total, last = 0, None
+    for r in bags.groupBy("__h").agg(F.sum(F.octet_length("bag")).alias("bytes")).orderBy("__h").collect():  # two per_class rows
+        total += r["bytes"] // 8
+        if total > most:
+            break
+        last = r["__h"]
+    return bags.where(F.lit(False) if last is None else F.col("__h") <= last).select("doc_id", "toxic", "bag")
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 8
+    return np.frombuffer(data, np.int32, n), np.frombuffer(data, np.float32, n, 4 * n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Without both classes there is nothing to learn: every score is then 0.5."""
-    bags, ys = sample(docs, labels, per_class)
-    return train_bags(bags, ys) if len(set(ys)) == 2 else (np.zeros(BUCKETS, np.float32), 0.0)
+    bags = sampled_bags(docs, labels, per_class)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            rows += [(d, y, unpacked(b.as_buffer())) for d, y, b in
+                     zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
+        rows.sort(key=lambda r: r[:2])
+        ys, parts = [r[1] for r in rows], [r[2] for r in rows]
+        del rows
+        if len(set(ys)) == 2:
+            scores, bias = train_bags(parts, ys)
+            at = np.flatnonzero(scores).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "score": [scores[at].tobytes()], "bias": [bias]})
+    # a bounded sample in one task; a lost executor only means that it runs again
+    found = bags.coalesce(1).mapInArrow(learn, "at binary, score binary, bias double").collect()
+    scores = np.zeros(BUCKETS, np.float32)
+    if not found:
+        return scores, 0.0
+    scores[np.frombuffer(found[0]["at"], np.int32)] = np.frombuffer(found[0]["score"], np.float32)
+    return scores, found[0]["bias"]
 
 
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
@@ -207,6 +241,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut_at: float = 0.7,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut_at: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
-    """``docs`` without those that score ``cut_at`` or more; columns as they were."""
-    return with_scores(docs, fit(docs, labels, per_class), "__toxic").where(
-        F.col("__toxic") < cut_at).drop("__toxic")
+    """``docs`` without those that score ``cut_at`` or more; columns, whatever their names, as they were.
+
+    Null and empty texts get the bias alone, repeated rows fare alike, a table without rows gives none; without labels of
+    both classes all scores are 0.5.
+    """
+    name, = free(docs, "__toxic")
+    return with_scores(docs, fit(docs, labels, per_class), name).where(F.col(name) < cut_at).drop(name)

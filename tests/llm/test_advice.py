@@ -65,13 +65,17 @@ def test_raking_goes_on_through_flat_rounds(spark, monkeypatch):
 
 
 def test_toxicity_sample_holds_bags_not_texts(spark):
-    """The driver gets (bucket, weight) arrays, the same as it would compute, of 2000 rows a class."""
+    """The sample is (bucket, weight) arrays of whole texts, of 2000 rows a class; a bound on their sum holds."""
     texts = {1: "one two three", 2: "einmal zwei", 7: "漢字 word", 8: "four five " * 300}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
     ids = sorted(r["doc_id"] for r in docs.where(~toxicity.held_out(F.col("doc_id"))).collect())
-    bags, ys = toxicity.sample(docs, labels)
+    rows = sorted(toxicity.sampled_bags(docs, labels).collect())
+    ys, bags = [r["toxic"] for r in rows], [toxicity.unpacked(bytes(r["bag"])) for r in rows]
     assert ys == [i % 2 for i in ids] and len(ids) > 1 and toxicity.PER_CLASS >= 2000
+    sizes = [len(b) for b, _ in bags]
+    assert toxicity.sampled_bags(docs, labels, most=sum(sizes)).count() == len(ids)
+    assert toxicity.sampled_bags(docs, labels, most=sum(sizes) - 1).count() < len(ids)
     for i, (bucket, weight) in zip(ids, bags, strict=True):
         want = toxicity.bag(texts[i])
         assert (bucket == want[0]).all() and (weight == want[1]).all()

@@ -1,8 +1,13 @@
 """Batch forms against their plain forms, and further cases of the third round."""
 
 import random
+import re
+
+import numpy as np
+import pytest
 
 from formatpulse.llm import orderminhash as O
+from formatpulse.llm import toxicity as T
 
 
 def test_batch_sketches_equal_single_ones():
@@ -22,3 +27,35 @@ def test_batch_sketches_equal_single_ones():
                 if len(want):
                     assert entries[i].tolist() == O.sketch(want) and bins[i].tolist() == O.signature(want)
         assert [t for lo, hi in O.portions(part, 9_000) for t in part[lo:hi]] == part
+
+
+def plain_score(text, scores, bias):
+    """By nested loops: each word the mean of its buckets, the text the mean of its distinct words."""
+    words, total = set(re.findall(r"\w+", (text or "").lower())), 0.0
+    for word in words:
+        names = {}
+        padded = f"<{word}>"
+        grams = [padded[i:i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)]
+        mask = 2**64 - 1
+        for gram in grams:
+            h = 0
+            for c in gram:
+                h = (h * 1_000_003 + ord(c)) & mask
+            names.setdefault(len(names), (h + len(gram)) & mask)
+        whole, power = 0, 1
+        for c in padded:
+            power = power * 0x5851F42D4C957F2D & mask
+            whole = (whole + ord(c) * power) & mask
+        buckets = []
+        for h in [*names.values(), whole]:
+            h = ((h ^ h >> 29) * 0x9E3779B97F4A7C15) & mask
+            buckets.append((((h ^ h >> 32) * 0x9E3779B97F4A7C15) & mask) >> (64 - T.BITS))
+        total += sum(float(scores[b]) for b in buckets) / len(buckets)
+    return 1 / (1 + np.exp(-(total / max(1, len(words)) + bias)))
+
+
+def test_scores_equal_nested_loops():
+    rng = np.random.default_rng(1)
+    scores = rng.normal(0, 3, T.BUCKETS).astype(np.float32)
+    for text in (None, "", "a", "ab", "The the THE cat's naïve 漢字 x_1", "... !!!", "w" * 300, "é\u0301 \U0001F600z", "one two three " * 20):
+        assert T.score_text(text, scores, 0.3) == pytest.approx(plain_score(text, scores, 0.3), abs=1e-6)
