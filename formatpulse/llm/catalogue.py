@@ -174,10 +174,13 @@ SQL = {
           list_sort(list(DISTINCT label)) AS base FROM places GROUP BY r),
         lines AS (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM w),
         tokens AS (SELECT DISTINCT r, i, unnest(regexp_extract_all(ls[i], {_WORDS})) AS word FROM lines),
-        hits AS (SELECT r, i, label, k, count(*) / any_value(size)::DOUBLE AS share FROM tokens
-          JOIN {_TEMPLATES} t(label, k, size, word) USING (word) GROUP BY r, i, label, k
+        wanted AS (SELECT DISTINCT r, i, word FROM tokens JOIN (SELECT DISTINCT word FROM {_TEMPLATES} t(label, k, size, word)) USING (word)),
+        runs AS (SELECT DISTINCT r, b, word FROM (SELECT r, word, unnest(range(greatest(1, i - {licenses.RUN_LINES} + 1), i + 1)) AS b FROM wanted)),
+        hits AS (SELECT r, b, label, k, count(*) / any_value(size)::DOUBLE AS share FROM runs
+          JOIN {_TEMPLATES} t(label, k, size, word) USING (word) GROUP BY r, b, label, k
           HAVING count(*) / any_value(size)::DOUBLE >= 0.8),
-        m AS (SELECT r, list(DISTINCT label) AS more, max(share) AS best, count(DISTINCT i) AS n_blocks FROM hits GROUP BY r)
+        m AS (SELECT h.r, list(DISTINCT h.label) AS more, max(h.share) AS best, count(DISTINCT h.b) FILTER (o.b IS NULL) AS n_blocks
+          FROM hits h LEFT JOIN hits o ON o.r = h.r AND o.label = h.label AND o.k = h.k AND o.b = h.b + 1 GROUP BY h.r)
         SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
           coalesce(array_to_string(base, ','), '') AS base_labels,
           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
@@ -205,9 +208,11 @@ SQL = {
     # exact containment of all items in all documents
     "op10_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_WORDS}) AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_FOLD}, {_WORDS}) AS w FROM benchmark),
-        bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
-        ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        bs AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+          FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM b)),
+        ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+          FROM d, (SELECT DISTINCT k FROM bs))),
         n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
         SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_shingles, count(*) / any_value(n)::DOUBLE AS containment
-        FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n)::DOUBLE >= 0.8""",
+        FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n)::DOUBLE >= 0.8""",
 }
