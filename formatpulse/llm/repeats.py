@@ -80,15 +80,15 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def phrases(texts: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame:
-    """(__row, at, ahead, context) of every phrase of ``texts`` (__row, data). ``at`` packs the trigger
+    """(key, at, ahead, context) of every phrase of ``texts`` (key, data). ``at`` packs the trigger
     with its distances to the first and last string, of 10 bits each."""
     ahead = length - gap + 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
             rows, places, names = [], [], ([], [])
-            for i, value in enumerate(batch.column(1)):
+            for i, value in enumerate(batch.column(2)):
                 data = value.as_buffer()
                 if data is None or data.size < length:
                     continue
@@ -100,12 +100,13 @@ def phrases(texts: DataFrame, length: int = LENGTH, gap: int = GAP) -> DataFrame
                 rows.append(np.full(len(at), i))
                 places.append(at << 20 | (at - first) << 10 | (at - last))
             if rows:
+                which = np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[np.concatenate(rows)]), pa.array(np.concatenate(places)),
+                    *[pa.array(k[which]) for k in keys], pa.array(np.concatenate(places)),
                     pa.array(_signed(names[0])), pa.array(_signed(names[1]))],
-                    names=["__row", "at", "ahead", "context"])
-    return texts.select("__row", "data").mapInArrow(
-        parse, "__row bigint, at bigint, ahead bigint, context bigint")
+                    names=[*KEY, "at", "ahead", "context"])
+    return texts.select(*KEY, "data").mapInArrow(
+        parse, ", ".join(f"{c} bigint" for c in (*KEY, "at", "ahead", "context")))
 
 
 def _unpack(at: int) -> tuple[int, int, int]:
@@ -174,35 +175,35 @@ def _dictionary_offsets(blocks: DataFrame, block: int) -> DataFrame:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, __row, key, data); ``docs`` should be a stored table, as row numbers follow its order."""
+    """(doc_id, key, data). Texts are named by what they hold, not by their place in the table."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("__row"), *text_key(text),
-                       text.cast("binary").alias("data"))
+    return docs.select("doc_id", *text_key(text), text.cast("binary").alias("data"))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gap: int = GAP, block: int = BLOCK) -> DataFrame:
-    """(__row, spans): the [begin, end) of ``texts`` (__row, data) that repeated strings cover, as they
+    """(key, spans): the [begin, end) of ``texts`` (key, data) that repeated strings cover, as they
     are found; they may overlap. No two texts are equal."""
     parsed = phrases(texts, length, gap)
-    twice = parsed.groupBy("ahead").agg(F.count("*").alias("__n")).where("__n > 1").select("ahead")
-    active = store(parsed.join(twice, "ahead"), "active")
+    # stored apart from the join: the planner then sees its size, and may split the rows of a frequent key
+    twice = store(parsed.groupBy("ahead").agg(F.count("*").alias("__n")).where("__n > 1").select("ahead"), "twice")
+    active = store(parsed.join(small(twice), "ahead"), "active")
     contexts = active.groupBy("ahead", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("__row", "at")).alias("place"))
+        F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("place"))
     contexts = store(contexts, "contexts")
     mixed = contexts.groupBy("ahead").agg(F.count("*").alias("__n")).where("__n > 1").select("ahead")
     # the dictionary: one place of each context that shares its next bytes with another
-    wanted = contexts.join(mixed, "ahead").groupBy(F.col("place.__row").alias("__row")).agg(
+    wanted = contexts.join(mixed, "ahead").groupBy(*[F.col(f"place.{k}").alias(k) for k in KEY]).agg(
         F.collect_list(F.struct(F.col("place.at").alias("at"), "ahead", "context")).alias("contexts"))
     wanted = store(wanted, "wanted")
-    chosen = texts.join(small(wanted.select("__row")), "__row", "left_semi").select("__row", "data")
-    blocks = store(_suffix_blocks(chosen.join(wanted, "__row"), length, block), "blocks")
+    chosen = texts.join(small(wanted.select(*KEY)), list(KEY), "left_semi").select(*KEY, "data")
+    blocks = store(_suffix_blocks(chosen.join(wanted, list(KEY)), length, block), "blocks")
     found = _dictionary_offsets(blocks, block)
     first = _first(F.col("place.at"))
     single = contexts.where("n = 1").join(found, ["ahead", "context"]).select(
-        F.col("place.__row").alias("__row"), (first + F.col("lo")).alias("begin"), (first + F.col("hi") + length).alias("end"))
+        *[F.col(f"place.{k}").alias(k) for k in KEY], (first + F.col("lo")).alias("begin"), (first + F.col("hi") + length).alias("end"))
     whole = active.join(contexts.where("n > 1").select("ahead", "context"), ["ahead", "context"]).select(
-        "__row", _first(F.col("at")).alias("begin"), (_last(F.col("at")) + length).alias("end"))
-    return whole.unionByName(single).groupBy("__row").agg(  # bounded by the text's bytes
+        *KEY, _first(F.col("at")).alias("begin"), (_last(F.col("at")) + length).alias("end"))
+    return whole.unionByName(single).groupBy(*KEY).agg(  # bounded by the text's bytes
         F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
@@ -225,13 +226,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_data: bool = Fals
     """
     texts = keyed_texts(docs)
     size = F.octet_length("data").cast("long")
-    copies = texts.groupBy(*KEY).agg(F.count("*").alias("__n"), F.min("__row").alias("__first")).where("__n > 1")
-    copies = small(store(copies.drop("__n"), "copies"))
-    once = texts.join(copies, list(KEY), "left").where(F.col("__first").isNull() | (F.col("__first") == F.col("__row")))
+    copies = small(store(texts.groupBy(*KEY).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "copies"))
+    # one text of each group of copies; map tasks keep one each before the shuffle
+    single = texts.join(copies, list(KEY), "left_anti").select(*KEY, "data")
+    once = single.unionByName(texts.join(copies, list(KEY), "left_semi").groupBy(*KEY).agg(F.first("data").alias("data")))
     spans = store(repeated_spans(once, length), "spans")
-    known = texts.join(copies, list(KEY), "left").join(
-        small(spans.select("__row", F.lit(True).alias("__part"))), "__row", "left")
-    copied = F.col("__first").isNotNull()
+    known = texts.join(copies.withColumn("__copied", F.lit(True)), list(KEY), "left").join(
+        small(spans.select(*KEY, F.lit(True).alias("__part"))), list(KEY), "left")
+    copied = F.col("__copied").isNotNull()
     gone = copied & (size >= length)
     kept = F.when(gone, F.lit(b"")).otherwise(F.col("data"))
     plain = known.where(copied | F.col("__part").isNull()).select(
@@ -247,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_data: bool = Fals
                 n, runs, left = cut_spans(d, np.asarray(b), np.asarray(e))
                 rows.append((n, runs, hashlib.sha256(left).hexdigest(), left if keep_data else b""))
             yield pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
-    part = known.where(~copied & F.col("__part")).select("doc_id", "__row", "data").join(spans, "__row")
+    part = known.where(~copied & F.col("__part")).select("doc_id", *KEY, "data").join(spans, list(KEY))
     part = part.select("doc_id", size.alias("n_bytes"), removed("data", "spans.begin", "spans.end").alias("r"))
     names = ["n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_data else [])]
     return plain.unionByName(part.select("doc_id", "n_bytes", *[f"r.{c}" for c in names]))
