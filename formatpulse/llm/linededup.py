@@ -2,7 +2,8 @@
 
 A document is a sequence of its lines with a word. A line is deleted if it lies in a run of
 consecutive lines with at least ``min_words`` words that also occurs earlier, in the order of
-(doc_id, row, line); the first copy stays. Blank lines stay.
+(doc_id, text name, copy, line); the first copy stays. Blank lines stay. Rows are named by their id and text,
+so the table may be read again in other splits; of rows that repeat both, all but one are later copies whole.
 
 Every such run is the union of its shortest qualifying runs: from a line forward, and from a line
 backward, the fewest lines that reach ``min_words`` words. So the common prefixes of suffixes matter
@@ -20,21 +21,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formatpulse.llm.common import let
+from formatpulse.llm.common import free, identity, let, with_identity
 from formatpulse.session import store
 
 MIN_WORDS = 10
+ID = ("__id_a", "__id_b")
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Adds __row, unique per row. ``docs`` should be a stored table, so that a task that runs again
-    meets the same rows."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
-
-
-def run_names(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__row, doc_id, __start, __lines, __a, __b): shortest qualifying runs and their names."""
+def run_names(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(__id_a, __id_b, doc_id, __start, __lines, __a, __b): shortest qualifying runs and their names."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     lined = F.transform(lines, lambda l, i: F.struct(
         i.alias("at"), F.regexp_count(l, F.lit(_WORDS)).alias("words"),
@@ -93,20 +89,21 @@ def run_names(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.filter(runs(line), lambda x: x.isNotNull()), lambda x: F.struct(
             x["start"].alias("start"), F.slice(line["at"], x["start"] + 1, x["len"]).alias("lines"),
             x["a"].alias("a"), x["b"].alias("b"))))
-    one = rows.select("__row", "doc_id", F.explode(found).alias("__run"))
+    named = [c.alias(k) for c, k in zip(identity(F.col("doc_id"), F.col("text")), ID, strict=True)]
+    one = docs.select(*named, "doc_id", F.explode(found).alias("__run"))
     # places count lines with a word; the deleted lines are named by their place in the text
-    return one.select("__row", "doc_id", F.col("__run.start").alias("__start"), F.col("__run.lines").alias("__lines"),
+    return one.select(*ID, "doc_id", F.col("__run.start").alias("__start"), F.col("__run.lines").alias("__lines"),
                       F.col("__run.a").alias("__a"), F.col("__run.b").alias("__b"))
 
 
-def deleted_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__row, __gone): the sorted places of the lines that go, for rows that lose any."""
-    runs = run_names(rows, min_words)
-    place = F.struct("doc_id", "__row", "__start")
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(__id_a, __id_b, __gone): the sorted places of the lines that go, for rows that lose any as first of their kind."""
+    runs = run_names(docs, min_words)
+    place = F.struct("doc_id", *ID, "__start")
     first = runs.groupBy("__a", "__b").agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
     later = runs.join(first.where("__n > 1").drop("__n"), ["__a", "__b"]).where(place > F.col("__first"))
     # a row's runs are as many as its lines at most twice; each has min_words lines at most
-    return later.groupBy("__row").agg(
+    return later.groupBy(*ID).agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("__lines")))).alias("__gone"))
 
 
@@ -118,20 +115,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of the first; a table without rows gives none; further columns pass through, but n_lines,
     n_removed and n_runs are replaced.
     """
-    rows = numbered(docs)
-    gone = store(deleted_lines(rows, min_words), "lines")
+    rows, own, copy = with_identity(docs)
+    gone_name, = free(rows, "__gone")
+    gone = store(deleted_lines(docs, min_words), "lines").select(
+        *[F.col(x).alias(y) for x, y in zip(ID, own, strict=True)], F.col("__gone").alias(gone_name))
     # text and places meet by shuffle at every size: both grow with the corpus
-    both = rows.join(gone.hint("shuffle_hash"), "__row", "left")
+    both = rows.join(gone.hint("shuffle_hash"), list(own), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.array_join(F.transform(F.array_except(every, F.col("__gone")), lambda i: F.get(lines, i)), "\n")
-    starts = F.filter("__gone", lambda x, i: (i == 0) | (F.get("__gone", F.greatest(i - 1, F.lit(0))) < x - 1))
+    # a repeated row is one run from its first line with a word to its last
+    words = F.transform(lines, lambda l: F.regexp_count(l, F.lit(_WORDS)))
+    whole = let(words, lambda w: F.when(
+        F.aggregate(w, F.lit(0), lambda x, y: x + y) >= min_words, F.filter(every, lambda i: F.get(w, i) > 0)))
+    both = both.withColumn(gone_name, F.when(F.col(copy), whole).otherwise(F.col(gone_name)))
+    kept = F.array_join(F.transform(F.array_except(every, F.col(gone_name)), lambda i: F.get(lines, i)), "\n")
+    starts = F.filter(gone_name, lambda x, i: (i == 0) | (F.get(gone_name, F.greatest(i - 1, F.lit(0))) < x - 1))
     both = both.withColumns({
-        "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept),
+        "text": F.when(F.col(gone_name).isNull(), F.col("text")).otherwise(kept),
         "n_lines": F.size(lines).cast("long"),
-        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size(gone_name), F.lit(0)).cast("long"),
         "n_runs": F.coalesce(F.size(starts), F.lit(0)).cast("long")})
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
                                .otherwise(F.col("n_chars")))
-    return both.drop("__row", "__gone")
+    added = [c for c in ("n_lines", "n_removed", "n_runs") if c not in docs.columns]
+    return both.select(*docs.columns, *added)

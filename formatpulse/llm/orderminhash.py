@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formatpulse.llm.common import KEY, small, text_key
+from formatpulse.llm.common import KEY, identity, small, text_key, with_identity
 from formatpulse.operators.components import connected_components
 from formatpulse.session import store
 
@@ -222,7 +222,7 @@ def many_signatures(names: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> n
     return np.where(seen, out, -1).astype(np.int16).reshape(-1, bins)
 
 
-def portions(texts: list[str | None], characters: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def portions(texts: list[str | None], characters: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """[from, to) of runs of texts with about so many characters, or of one longer text."""
     lo = held = 0
     for i, text in enumerate(texts):
@@ -398,13 +398,20 @@ def _wordless(text: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each class: the one of least doc_id (null first), then first in the
-    table's order. ``docs`` should be a stored table. Columns stay as they were."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    keyed = rows.where(~_wordless(F.col("text"))).select("doc_id", "__row", *text_key(F.col("text")))
+    """``docs`` with one row of each class, the one of least doc_id (null first), then of least text name. Rows
+    are named by their id and text, so the table may be read again in other splits.
+
+    Texts without a word (null and empty among them) all stay; of repeated rows one stays; an empty table gives no rows;
+    columns, whatever their names, stay as they were.
+    """
+    rows, own, copy = with_identity(docs)
+    a, b = own
+    keyed = docs.where(~_wordless(F.col("text"))).select(
+        "doc_id", *text_key(F.col("text")), *[c.alias(k) for c, k in zip(identity(F.col("doc_id"), F.col("text")), own, strict=True)])
     named = keyed.join(near_duplicates(docs.select("text"), **how), list(KEY), "left").withColumn(
         "__class", F.coalesce("__class", F.struct(*KEY)))
-    place = F.struct("doc_id", "__row")
-    first = named.groupBy("__class").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    gone = store(named.join(first, "__class").where(place > F.col("__first")).select("__row"), "copies")
-    return rows.join(small(gone), "__row", "left_anti").drop("__row")
+    place = F.struct("doc_id", a, b)
+    first = named.groupBy("__class").agg(F.min(place).alias("__first"), F.count("*").alias("__rows")).where("__rows > 1")
+    gone = store(named.join(first, "__class").where(place > F.col("__first")).select(a, b).distinct(), "copies")
+    kept = rows.where(~F.col(copy) | _wordless(F.col("text"))).join(small(gone), [a, b], "left_anti")
+    return kept.select(*docs.columns)

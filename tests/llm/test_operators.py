@@ -14,6 +14,8 @@ from formatpulse.llm import (
     decontam, licenses, linededup, mixing, orderminhash, quality, repeats, tokens, toxicity, urls,
 )
 
+from formatpulse.llm.common import identity
+
 SMALL = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -32,19 +34,20 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
 
 
-def test_license_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("run_lines", [1, 2, licenses.RUN_LINES])
+def test_license_join_equals_all_pairs(spark, run_lines):
     rng = random.Random(3)
     pool = "licensed under the apache mit license version 2 0 4 cc by nc a b c d e f".split()
     lines = [" ".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(3000)]
     frame = spark.createDataFrame([(i, "\n".join(lines[i * 3: i * 3 + 3])) for i in range(1000)],
                                   "doc_id bigint, text string")
     got = {(r["block"], r["label"], r["template"], round(r["containment"], 9), r["doc_id"])
-           for r in licenses.block_matches(frame).join(
+           for r in licenses.block_matches(frame, run_lines=run_lines).join(
                frame.select("doc_id", *licenses.text_key(F.col("text"))), list(licenses.KEY)).collect()}
     want = set()
     for i in range(1000):
         for b in range(3):
-            have = set(WORD.findall(lines[i * 3 + b]))
+            have = set(WORD.findall(" ".join(lines[i * 3 + b: min(i * 3 + 3, i * 3 + b + run_lines)])))
             for label, all_texts in licenses.TEMPLATES.items():
                 for k, t in enumerate(all_texts):
                     ws = set(licenses.template_words(t))
@@ -53,6 +56,24 @@ def test_license_join_equals_all_pairs(spark):
     assert len(want) > 20 and got == want
 
 
+def test_wrapped_licenses_are_found(spark):
+    import textwrap
+
+    texts = {label: t for label, all_texts in licenses.TEMPLATES.items() for t in all_texts}
+    rows = []
+    for width in (40, 72, 79):
+        for label in ("mit", "bsd"):
+            body = "\n".join(f" * {line}" for line in textwrap.wrap(texts[label], width))
+            rows.append((f"{label} {width}", f"a first line\n\n{body}\n\nand a last one"))
+    rows.append(("none", "\n".join(f"word {i} of the text and so on" for i in range(60))))
+    rows.append(("far", "\n".join(w + "\n" * 7 for w in licenses.template_words(texts["mit"]))))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name in got:
+        label = name.split()[0] if " " in name else ""
+        assert got[name]["labels"] == label and got[name]["score"] == (1.0 if label else 0.0), name
+        assert got[name]["n_blocks"] == (1 if label else 0)
+
+
 def test_license_places(spark):
     text = "CC-BY, all rights reserved; General  Public\nLicense cc by 4. Kcc by"
     row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
@@ -76,6 +97,15 @@ def test_contamination_equals_brute_force(spark, docs, texts):
     assert got == want and want
 
 
+def test_short_items_match_as_word_runs(spark):
+    docs = spark.createDataFrame([(1, "so Red, green! it is"), (2, "green red"), (3, "one"), (4, "one two three four five"),
+                                  (5, "two three four five six seven"), (6, None), (7, "red green blue one two")], "doc_id int, text string")
+    items = spark.createDataFrame([(0, "red green"), (1, "one"), (2, "two three four five"), (3, "four five six seven eight"),
+                                   (4, ""), (5, None), (6, "four five six seven")], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 0, 1, 1), (7, 0, 1, 1), (3, 1, 1, 1), (4, 1, 1, 1), (7, 1, 1, 1), (4, 2, 1, 1), (5, 2, 1, 1), (5, 6, 1, 1)}
+
+
 def line_dedup_brute(rows, min_words):
     """Deleted (row, line) by definition, over all runs."""
     lines = [(t or "").split("\n") for _, t in rows]
@@ -97,13 +127,44 @@ def test_line_dedup_equals_all_runs(spark):
     rng = random.Random(5)
     pool = ["a", "b c", "d e f", "g h i j", "k l m n o", "", "  ", "p q r s t u v w x y z"]
     rows = [(i % 37, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(60)] + [(None, "g h i j\nk l m n o\nb c")]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
-    marked = linededup.numbered(frame)
-    got = {(r["__row"], g) for r in linededup.deleted_lines(marked, 8).collect() for g in r["__gone"]}
-    base = {r["__row"]: (r["doc_id"], r["text"]) for r in marked.collect()}
-    assert [base[i] for i in range(len(rows))] == rows
-    want = line_dedup_brute(rows, 8)
-    assert got == want and want
+    rows += rows[:4] + rows[:2] + [(None, rows[-1][1])]  # rows that repeat id and text
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    named = frame.distinct().select("doc_id", "text", *[c.alias(n) for c, n in zip(
+        identity(F.col("doc_id"), F.col("text")), "ab", strict=True)]).collect()
+    place = {(r["doc_id"], r["text"]): (r["a"], r["b"]) for r in named}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, place[r]))
+    gone = line_dedup_brute(rows, 8)
+    want = sorted([(str(d), "\n".join(l for i, l in enumerate(t.split("\n")) if (k, i) not in gone)) for k, (d, t) in enumerate(rows)])
+    got = linededup.dedup_lines(frame, 8).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == want and gone
+    assert sum(r["n_removed"] for r in got) == len(gone)
+
+
+def in_other_splits(spark, path, build):
+    """What ``build`` returns when its table is read in one split, then in many, and stored rows meet both."""
+    def rows(parts):
+        spark.conf.set("spark.sql.files.minPartitionNum", parts)
+        return sorted(map(str, build(spark.read.parquet(path)).collect()))
+    out = [rows(1)]
+    lazy = None
+    try:
+        lazy = build(spark.read.parquet(path))  # steps stored while the table has one split
+        spark.conf.set("spark.sql.files.minPartitionNum", 24)
+        out.append(sorted(map(str, lazy.collect())))
+        out.append(rows(24))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    return out
+
+
+@pytest.mark.parametrize("operator", ["linededup", "repeats", "keep_one"])
+def test_other_file_splits_change_nothing(spark, tmp_path, operator):
+    path = str(tmp_path / "docs")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 400")
+    docs.unionByName(docs.where("doc_id < 40")).repartition(24).write.parquet(path)
+    build = {"linededup": linededup.dedup_lines, "repeats": repeats.remove_repeats, "keep_one": orderminhash.keep_one}[operator]
+    first, mixed, other = in_other_splits(spark, path, build)
+    assert first == mixed == other and first
 
 
 def test_line_dedup_text(spark):
