@@ -1,4 +1,4 @@
-"""Exact group medians that stay whole when one group holds a large share of all rows."""
+"""Exact group medians by counts: one route for groups of any size."""
 
 from __future__ import annotations
 
@@ -7,84 +7,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
+from formatpulse.session import store
 
 
-def group_medians(
-    df: DataFrame, keys: list[str], columns: list[str], hot_rows: int = HOT_ROWS,
-    others: list[Column] | None = None,
-) -> DataFrame:
-    """``keys`` plus one exact mid-point median per column, named as the column, and any
-    ``others`` (sums, counts…) computed in the same pass.
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where null meets null; the keys stand once in the result."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"__right_{k}"]) for k in keys])
+    return left.join(named, same, how).drop(*[f"__right_{k}" for k in keys])
 
-    ``percentile`` keeps every distinct value of a group in one buffer, which is right
-    for ordinary groups only. The group sizes are counted first (a map-side combined
-    count); groups above ``hot_rows`` take the bracket route below. With no such group
-    the plan is a single aggregation.
-    """
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    plain = [F.expr(f"percentile(`{c}`, 0.5D)").alias(c) for c in columns]
-    others = others or []
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*others, *plain)
-    cold_part = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*others, *plain)
-    hot_rows_ = df.join(hot, keys, "left_semi")
-    hot_part = _bracketed(hot_rows_, keys, columns)
-    if others:
-        hot_part = hot_rows_.groupBy(*keys).agg(*others).join(hot_part, keys)
-    return cold_part.unionByName(hot_part)
+
+def value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, __c, __v, __m): how often each value of each column stands in each group; combined
+    by the map tasks."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    tall = df.select(*keys, F.explode(cells).alias("x")).where("x.v IS NOT NULL")
+    return tall.groupBy(*keys, F.col("x.c").alias("__c"), F.col("x.v").alias("__v")).agg(F.count("*").alias("__m"))
 
 
-def _bracketed(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Exact medians of large groups in two passes.
+def middle_values(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __c, __median) from :func:`value_counts`.
 
-    Pass one brackets each median between two approximate quantiles, whose rank error
-    has a proven bound a tenth of the bracket's half-width. Pass two counts the rows
-    below the bracket, collapses the values inside it to (value, count) and walks only
-    those to the middle ranks. What reaches one task is the slice inside the bracket
-    (0.2 % of the group, sorted with spilling), not the group.
+    The counts are dealt by ranges of (keys, column, value), so a large group spreads over as many
+    partitions as its values fill. What each partition holds of a group is summed; running sums over
+    those few sums say which partitions hold the middle ranks, and only there the values are walked.
     """
-    stats = df.groupBy(*keys).agg(
-        *[
-            F.expr(f"percentile_approx(`{c}`, array(0.499D, 0.501D), 10000)").alias(f"{c}__b")
-            for c in columns
-        ]
-    )
-    with_bounds = df.join(stats, keys)
-    counts = with_bounds.groupBy(*keys).agg(
-        *[F.count(c).alias(f"{c}__n") for c in columns],
-        *[
-            F.sum((F.col(c) < F.col(f"{c}__b")[0]).cast("long")).alias(f"{c}__below")
-            for c in columns
-        ],
-    )
-    parts = []
-    for c in columns:
-        inside = (
-            with_bounds.filter(F.col(c).between(F.col(f"{c}__b")[0], F.col(f"{c}__b")[1]))
-            .groupBy(*keys, F.col(c).cast("double").alias("v"))
-            .agg(F.count(F.lit(1)).alias("m"))
-            .join(counts.select(*keys, F.col(f"{c}__n").alias("n"),
-                                F.col(f"{c}__below").alias("below")), keys)
-        )
-        upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        ranked = inside.withColumn("hi", F.col("below") + F.sum("m").over(upto)).withColumn(
-            "lo", F.col("hi") - F.col("m")
-        )
-        low_rank = F.expr("(n - 1) div 2")
-        high_rank = F.expr("n div 2")
+    group = [*keys, "__c"]
+    dealt = counts.repartitionByRange(*group, "__v").withColumn("__part", F.spark_partition_id())
+    dealt = store(dealt, "counts")  # a second dealing need not draw the same borders
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.expr("(__n - 1) div 2"), F.expr("__n div 2")
+    slices = dealt.groupBy(*group, "__part").agg(F.sum("__m").alias("__held")).select(
+        *group, "__part", "__held", F.sum("__held").over(whole).alias("__n"),
+        F.coalesce(F.sum("__held").over(earlier), F.lit(0)).alias("__ahead"))
+    end = F.col("__ahead") + F.col("__held")
+    slices = slices.where(((F.col("__ahead") <= low) & (low < end)) | ((F.col("__ahead") <= high) & (high < end)))
+    upto = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = join_keys(dealt, slices.drop("__held"), [*group, "__part"]).withColumn(
+        "__to", F.col("__ahead") + F.sum("__m").over(upto))
 
-        def holds(rank: Column) -> Column:
-            return (F.col("lo") <= rank) & (rank < F.col("hi"))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__to") - F.col("__m") <= rank) & (rank < F.col("__to")), F.col("__v")))
+    return walked.groupBy(*group).agg(((at(low) + at(high)) / 2.0).alias("__median"))
 
-        parts.append(
-            ranked.groupBy(*keys).agg(
-                (
-                    (F.max(F.when(holds(low_rank), F.col("v")))
-                     + F.max(F.when(holds(high_rank), F.col("v")))) / 2.0
-                ).alias(c)
-            )
-        )
-    return reduce(lambda a, b: a.join(b, keys, "left"), parts, counts.select(*keys))
+
+def group_medians(
+    df: DataFrame, keys: list[str], columns: list[str], others: list[Column] | None = None,
+) -> DataFrame:
+    """``keys`` plus one exact mid-point median per column, named as the column, and any
+    ``others`` (sums, counts…). Nulls do not count; a group without values has a null median. ``df`` is read
+    twice with ``others``: store it where computing it is dear.
+    """
+    found = middle_values(value_counts(df, keys, columns), keys).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__c") == i, F.col("__median"))).alias(c) for i, c in enumerate(columns)])
+    groups = df.groupBy(*keys).agg(*others) if others else df.select(*keys).distinct()
+    return join_keys(groups, found, keys, "left")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formatpulse.functions import curves as C
-from formatpulse.functions.quantiles import HOT_ROWS, group_medians
+from formatpulse.functions.quantiles import group_medians
+from formatpulse.session import store
 
 MEDIAN_COLUMNS = {
     "views": "median_views",
@@ -177,8 +178,8 @@ def name_medians(wide: DataFrame) -> DataFrame:
     )
 
 
-def medians(signals: DataFrame, hot_rows: int = HOT_ROWS, key: str = "trend_id") -> DataFrame:
-    return name_medians(group_medians(signals, [key], list(MEDIAN_COLUMNS), hot_rows))
+def medians(signals: DataFrame, key: str = "trend_id") -> DataFrame:
+    return name_medians(group_medians(signals, [key], list(MEDIAN_COLUMNS)))
 
 
 def attribute_summary(signals: DataFrame) -> DataFrame:
@@ -231,14 +232,14 @@ def attribute_summary(signals: DataFrame) -> DataFrame:
 
 
 def build_aggregates(
-    signals: DataFrame, now, hot_rows: int = HOT_ROWS, with_curve: bool = True
+    signals: DataFrame, now, with_curve: bool = True
 ) -> DataFrame:
     """The descriptive row of every trend.
 
-    Sums, counts and exact medians take one pass, the categorical attributes another, the
-    day curve a third; the parts are joined on the trend key. Store ``signals`` first
-    (:func:`formatpulse.session.cut`) where computing them is dear.
+    Sums and counts take one pass, the exact medians, the categorical attributes and the day
+    curve one each; the parts are joined on the trend key. The signals are stored once for all.
     """
+    signals = store(signals, "signals")
     recent, prior = window_counts(F.col("published_at"), now, 7)
     sums = [
         F.count(F.lit(1)).alias("video_count"),
@@ -253,7 +254,7 @@ def build_aggregates(
         F.min("published_at").alias("first_published_at"),
     ]
     out = name_medians(
-        group_medians(signals, ["trend_id"], list(MEDIAN_COLUMNS), hot_rows, sums)
+        group_medians(signals, ["trend_id"], list(MEDIAN_COLUMNS), sums)
     ).join(attribute_summary(signals), "trend_id", "left")
     if with_curve:
         out = out.join(adoption_curve(signals), "trend_id", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from formatpulse.functions.curves import round_to
 from formatpulse.functions.arrays import empty_strings, lowered
 from formatpulse.operators.ranking import top_k
-from formatpulse.session import cut
+from formatpulse.session import store
 
 # Niches that share formats, effort ranks, goal boosts.
 ADJACENT_NICHES = {
@@ -163,7 +163,15 @@ def _reasons(m: Column) -> Column:
 
 def _scored(kinds: DataFrame, candidates: DataFrame, use_breakdown: bool) -> DataFrame:
     """Every kind of profile with every candidate of a bounded pool, scored in codegen."""
-    rows = kinds.withColumn("pool", _as_pool(candidates)).withColumn("t", F.explode("pool"))
+    return _score(kinds.withColumn("pool", _as_pool(candidates)).withColumn("t", F.explode("pool")), use_breakdown)
+
+
+def _feed_score(relevance: Column, opportunity: Column) -> Column:
+    return round_to((0.6 * relevance + 0.4 * (opportunity / 100.0)) * 100, 1)
+
+
+def _score(rows: DataFrame, use_breakdown: bool) -> DataFrame:
+    """Scores of rows of kinds with a trend ``t`` each."""
     m = F.col("m")
     scored = rows.withColumn("m", _matched(F.col("t"))).select(
         "kind", m["trend_id"].alias("trend_id"),
@@ -171,8 +179,7 @@ def _scored(kinds: DataFrame, candidates: DataFrame, use_breakdown: bool) -> Dat
         _relevance(m, use_breakdown).alias("relevance_score"),
         _reasons(m).alias("relevance_reasons"),
     )
-    blend = 0.6 * F.col("relevance_score") + 0.4 * (F.col("opportunity_score") / 100.0)
-    return scored.withColumn("feed_score", round_to(blend * 100, 1))
+    return scored.withColumn("feed_score", _feed_score(F.col("relevance_score"), F.col("opportunity_score")))
 
 
 FEED_ORDER = ("feed_score", "opportunity_score")
@@ -219,31 +226,68 @@ def best_trend_for(profiles: DataFrame, trends: DataFrame) -> DataFrame:
     return feed(profiles, trends, limit=1, pool=PICK_POOL)
 
 
-def in_niche(
-    profiles: DataFrame, trends: DataFrame, k: int = 6, chunk_rows: int = 2_000
-) -> DataFrame:
+#: Traits that decide a trend's overlaps with a profile; trends that share them differ in scores only.
+TRAITS = ("niches", "platforms", "languages", "content_types", "production_difficulty", "adaptability")
+SIGNALS = tuple(sorted({signal for signal, _ in GOALS.values()}))
+
+
+def _signal(components: Column, name: str) -> Column:
+    return F.coalesce(F.try_element_at(components, F.lit(name)), F.lit(0.5))
+
+
+def niche_index(trends: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """(entries, buckets). An entry is a trend under one of its niches, and under none; a bucket gathers the
+    entries that share a niche, all traits and a step of opportunity, with the bounds of their scores."""
+    kept = _candidates(trends).withColumn("opportunity_score", F.coalesce("opportunity_score", F.lit(0)))
+    traits = F.sha2(F.to_json(F.struct(*TRAITS)), 256)
+    step = F.floor(F.col("opportunity_score") / width)
+    named = F.transform(F.filter(F.array_distinct("niches"), lambda n: n != ""), lambda n: F.concat(F.lit("n "), n))
+    entries = kept.withColumns({"traits": traits, "step": step}).withColumn(
+        "look", F.explode(F.array_union(F.coalesce(named, F.array().cast("array<string>")), F.array(F.lit("all")))))
+    entries = store(entries, "niches")
+    bound = lambda f, c: F.struct(
+        F.lit(None).cast("string").alias("trend_id"), f("opportunity_score").alias("opportunity_score"), F.col("adaptability"),
+        F.col("production_difficulty"), *[F.col(x) for x in ("niches", "platforms", "languages", "content_types")],
+        F.map_from_arrays(F.array(*[F.lit(x) for x in SIGNALS]), F.array(*[f(_signal(F.col("components"), x)) for x in SIGNALS])).alias("components")).alias(c)
+    held = entries.groupBy("look", "traits", "step", *TRAITS).agg(
+        F.count("*").alias("n"), bound(F.min, "low"), bound(F.max, "high"))
+    return entries, store(held.select("look", "traits", "step", "n", "low", "high"), "buckets")
+
+
+def niche_candidates(kinds: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """(kind, traits of the kind, look, traits, step): the buckets that can hold one of a kind's best ``k``.
+
+    A score grows with the opportunity and with each signal, rounding included, so a bucket's bounds give
+    bounds of its scores. The lower bounds, counted as often as a bucket has entries, say what the k-th best
+    score is at least; buckets whose upper bound stays below it are out.
+    """
+    own = buckets.select("look").distinct()
+    mine = kinds.join(own, F.col("look") == F.concat(F.lit("n "), F.col("p_niche")), "left")
+    mine = mine.withColumn("look", F.coalesce("look", F.lit("all")))
+    rows = mine.join(buckets, "look")
+    for side in ("low", "high"):
+        rows = rows.withColumn("m", _matched(F.col(side))).withColumn(
+            f"{side}_score", _feed_score(_relevance(F.col("m"), True), F.col("m.opportunity_score"))).drop("m")
+    down = Window.partitionBy("kind").orderBy(F.desc("low_score"), "traits", "step").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("reach", F.sum("n").over(down))
+    sure = F.max(F.when(F.col("reach") >= k, F.col("low_score"))).over(Window.partitionBy("kind"))
+    rows = rows.withColumn("sure", sure)
+    return rows.where(F.col("sure").isNull() | (F.col("high_score") >= F.col("sure"))).select(*kinds.columns, "look", "traits", "step")
+
+
+def in_niche(profiles: DataFrame, trends: DataFrame, k: int = 6, width: float = 1.0) -> DataFrame:
     """A profile's own-niche trends in feed order over *all* trends; the general ranking
     where its niche has none.
 
-    The trends pass by in chunks of a fixed size; of each chunk a kind keeps its best
-    ``k`` own-niche and its best ``k`` other trends, which is all the result can need.
+    A top-k join by score bounds over an index of (niche, trend): kinds of profiles meet the buckets of their niche
+    first, and only the trends of buckets that can reach their best ``k`` are scored. ``width`` is the step of opportunity
+    of a bucket.
     """
     users, kinds = _kinds(profiles)
-    candidates = _candidates(trends)
-    chunks = max(1, -(-candidates.count() // chunk_rows))
-    if chunks > 1:
-        candidates, kinds = cut(candidates), cut(kinds)
-    kept = None
-    for chunk in range(chunks):
-        part = candidates if chunks == 1 else candidates.filter(
-            F.pmod(F.xxhash64("trend_id"), F.lit(chunks)) == chunk
-        )
-        best = _top(_scored(kinds, part, True), ["kind", "exact"], k).drop("rank")
-        kept = best if kept is None else kept.unionByName(best)
-        if chunk % 8 == 7 and chunk + 1 < chunks:
-            kept = cut(_top(kept, ["kind", "exact"], k).drop("rank"))
-    has_own = Window.partitionBy("kind")
-    ranked = _top(kept, ["kind", "exact"], k).withColumn(
-        "__own", F.max("exact").over(has_own)
-    ).filter(F.col("exact") == F.col("__own"))
-    return _listed(users, ranked)
+    entries, buckets = niche_index(trends, width)
+    wanted = niche_candidates(store(kinds, "kinds"), buckets, k)
+    t = F.struct("trend_id", "opportunity_score", "adaptability", "production_difficulty", "niches", "platforms",
+                 "languages", "content_types", "components").alias("t")
+    found = wanted.join(entries.select("look", "traits", "step", t), ["look", "traits", "step"])
+    return _listed(users, _top(_score(found, True), ["kind"], k))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formatpulse.functions.curves import engagement_rate, round_to
-from formatpulse.functions.quantiles import HOT_ROWS
 from formatpulse.session import cut
 
+#: Rows of a group up to which one window numbers it.
+WINDOW_ROWS = 2_000_000
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key. The filter on the rank is pushed into each map task as a
@@ -25,7 +27,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 def number_within(
     df: DataFrame, keys: list[str], order: list[str], name: str = "rank",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """1, 2, 3… inside each group in ascending ``order`` (which must be unique in a group).
 
@@ -60,7 +62,7 @@ def number_within(
 
 
 def member_rank(
-    members: DataFrame, exemplars: int = 4, key: str = "trend_id", hot_rows: int = HOT_ROWS
+    members: DataFrame, exemplars: int = 4, key: str = "trend_id", hot_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """Similarity-descending rank inside the trend; the first four are exemplars."""
     ordered = members.withColumn("__down", -F.col("similarity"))

@@ -16,6 +16,7 @@ from formatpulse.operators import reports as Q
 from formatpulse.operators import similarity as S
 from formatpulse.operators import upserts as U
 from formatpulse.operators.components import connected_components
+from formatpulse.operators import sparse as SP
 from formatpulse.operators.slugs import slug_dedupe
 from formatpulse.plans import bindings as B
 from formatpulse.plans.oracle import VEC, rnd, sql, useful
@@ -26,6 +27,8 @@ PAIR_CUT = 0.35
 GRAPH_CUT = 0.38
 CLUSTER_CUT = 0.30
 ASSIGN_CUT = 0.25
+SPARSE_DIMS, SPARSE_CUT = 768, 0.95
+SWEEP = [0.3, 0.62, 0.99]
 
 
 def tokens(spark, sf):
@@ -243,18 +246,29 @@ def components(spark, sf):
     return connected_components(edges)
 
 
-def clusters(spark, sf):
-    return K.cluster_embeddings(B.embeddings(spark, sf), CLUSTER_CUT, 3, ident="vec_id")
+def sparse_pairs(spark, sf):
+    """Documents as hashed word counts; pairs by the inverted index."""
+    entries = SP.term_entries(B.table(spark, sf, "documents"), "doc_id", "text", SPARSE_DIMS)
+    return SP.sparse_pairs(entries, SPARSE_CUT).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+def planted(spark, sf):
+    """The vectors at half length, each with a one in the place of its label: the labels are the clusters."""
+    vec = F.transform("embedding", lambda x, i: x * 0.5 + (i == F.col("label")).cast("double"))
+    return B.embeddings(spark, sf).select("vec_id", "label", vec.alias("embedding"))
 
 
 def format_clusters(spark, sf):
-    members, groups = clusters(spark, sf)
+    members, groups = K.cluster_embeddings(planted(spark, sf), K.THRESHOLD, 3, ident="vec_id")
     return members.join(groups.select("trend_id", "size"), "trend_id")
 
 
 def cluster_purity(spark, sf):
-    members, _ = clusters(spark, sf)
-    return K.purity(members, B.embeddings(spark, sf).select("vec_id", "label"), "vec_id")
+    """Every seventh vector claims the label after its own."""
+    members, _ = K.cluster_embeddings(planted(spark, sf), K.THRESHOLD, 3, ident="vec_id")
+    truth = B.embeddings(spark, sf).select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.col("label") + 1).otherwise(
+        F.col("label")).alias("label"))
+    return K.purity(members, truth, "vec_id").select("trend_id", "size", "majority", F.round("purity", 6).alias("purity"))
 
 
 def leader_clusters(spark, sf):
@@ -270,7 +284,8 @@ def similarity_quantiles(spark, sf):
 
 
 def threshold_sweep(spark, sf):
-    return K.threshold_sweep(B.embeddings(spark, sf))
+    return K.threshold_sweep(planted(spark, sf), SWEEP).select(
+        "threshold", "trends", "covered", "largest", F.round("coverage", 6).alias("coverage"), "verdict", "suggested")
 
 
 _SIG = f"""SELECT item_id, array_to_string(list_filter(CASE WHEN n_chars % 2 = 0 THEN
@@ -329,6 +344,8 @@ _SLUGS = """SELECT page_id, CASE WHEN r = 1 THEN base ELSE base || '-' || CAST(r
   SELECT page_id, COALESCE(NULLIF(substr(trim(regexp_replace(lower(regexp_extract(url, '^https?://[^/]+/(.*)$', 1)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 150), ''), 'trend') AS base
   FROM pages))"""
 _UNIT = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"
+_PLANTED = """planted AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (
+  SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x, i: x * 0.5 + CASE WHEN i - 1 = label THEN 1.0 ELSE 0.0 END) AS e FROM embeddings))"""
 _CENT = "list_transform(c, lambda x: x / sqrt(list_dot_product(c, c)))"
 _EDGES = f"""edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.v, b.v) >= {GRAPH_CUT})"""
@@ -410,9 +427,40 @@ QUERIES = {
         CASE WHEN count(*) = 0 THEN 'no analysed items in window'
         WHEN count(*) FILTER (COALESCE(len(embedding), 0) = 0) > 0 THEN 'some analyses are missing embeddings'
         WHEN count(*) < 4 THEN 'no cluster met the minimum size' END AS reason FROM embeddings"""),
-    "format_clusters": (format_clusters, None),
-    "cluster_purity": (cluster_purity, None),
-    "leader_clusters": (leader_clusters, None),
+    "sparse_pairs": (sparse_pairs, f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS word FROM documents),
+        e AS (SELECT doc_id, CAST('0x' || md5(word)[1:8] AS BIGINT) % {SPARSE_DIMS} AS d, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2),
+        u AS (SELECT doc_id, d, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM e)
+        SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(sum(a.x * b.x), 6) AS similarity FROM u a JOIN u b ON a.d = b.d AND a.doc_id < b.doc_id
+        GROUP BY 1, 2 HAVING sum(a.x * b.x) >= {SPARSE_CUT}"""),
+    "format_clusters": (format_clusters, f"""WITH {_PLANTED}, sized AS (SELECT label, min(vec_id) AS trend_id, count(*) AS size FROM planted GROUP BY label),
+        mean AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM (
+          SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM planted) GROUP BY label, pos) GROUP BY label)
+        SELECT trend_id, vec_id, {rnd("list_cosine_similarity(u, c)", 4)} AS similarity, size FROM planted JOIN sized USING (label) JOIN mean USING (label)
+        WHERE size >= 3"""),
+    "cluster_purity": (cluster_purity, f"""WITH {_PLANTED}, sized AS (SELECT label, min(vec_id) AS trend_id, count(*) AS size FROM planted GROUP BY label),
+        said AS (SELECT label, CASE WHEN vec_id % 7 = 0 THEN label + 1 ELSE label END AS truth, count(*) AS n FROM planted GROUP BY 1, 2)
+        SELECT trend_id, any_value(size) AS size, arg_min(truth, (-n, truth)) AS majority, round(max(n) / any_value(size)::DOUBLE, 6) AS purity
+        FROM said JOIN sized USING (label) WHERE size >= 3 GROUP BY trend_id"""),
+    "leader_clusters": (leader_clusters, sql(f"""SELECT vec_id, coalesce((SELECT arg_min(l.vec_id, (-list_cosine_similarity(l.v, o.v), l.vec_id))
+          FROM ordered l WHERE list_contains(n.leaders, l.vec_id) AND list_cosine_similarity(l.v, o.v) >= {CLUSTER_CUT}
+          AND NOT list_contains(n.leaders, o.vec_id)), vec_id) AS trend_id
+        FROM ordered o, (SELECT leaders FROM elected ORDER BY k DESC LIMIT 1) n""", "vecs").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+        "SELECT vec_id, coalesce", f""", ordered AS (SELECT vec_id, v, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS k FROM vecs),
+        near AS (SELECT b.k, list(a.vec_id) AS ids FROM ordered a JOIN ordered b ON a.k < b.k AND list_cosine_similarity(a.v, b.v) >= {CLUSTER_CUT} GROUP BY b.k),
+        elected(k, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+          SELECT o.k, CASE WHEN list_has_any(e.leaders, coalesce(near.ids, [])) THEN e.leaders ELSE list_append(e.leaders, o.vec_id) END
+          FROM elected e JOIN ordered o ON o.k = e.k + 1 LEFT JOIN near ON near.k = o.k)
+        SELECT vec_id, coalesce""", 1)),
     "similarity_quantiles": (similarity_quantiles, None),
-    "threshold_sweep": (threshold_sweep, None),
+    # at the two lower cuts the clusters are the labels, at the highest one nothing meets
+    "threshold_sweep": (threshold_sweep, f"""WITH sized AS (SELECT count(*) AS n FROM embeddings GROUP BY label), whole AS (
+          SELECT count(*) FILTER (n >= {K.MIN_SIZE}) AS trends, coalesce(sum(n) FILTER (n >= {K.MIN_SIZE}), 0)::BIGINT AS covered,
+          coalesce(max(n) FILTER (n >= {K.MIN_SIZE}), 0) AS largest, sum(n) AS total FROM sized),
+        cuts AS (SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in SWEEP)}]) AS threshold),
+        judged AS (SELECT threshold, CASE WHEN threshold < 0.99 THEN trends ELSE 0 END AS trends, CASE WHEN threshold < 0.99 THEN covered ELSE 0 END AS covered,
+          CASE WHEN threshold < 0.99 THEN largest ELSE 0 END AS largest, total FROM cuts, whole),
+        said AS (SELECT *, CASE WHEN trends = 0 THEN 'nothing clusters' WHEN trends = 1 OR largest / greatest(1, covered)::DOUBLE > 0.6 THEN 'over-merged'
+          WHEN covered / total::DOUBLE < 0.15 THEN 'too strict' WHEN trends > total / 6.0 THEN 'fragmented' ELSE 'usable' END AS verdict FROM judged)
+        SELECT threshold, trends, covered, largest, round(covered / total::DOUBLE, 6) AS coverage, verdict,
+          coalesce(threshold = (SELECT arg_min(threshold, (-covered, threshold)) FROM said WHERE verdict = 'usable'), false) AS suggested FROM said"""),
 }

@@ -29,8 +29,8 @@ CHANNELS = (
 )
 SHORT_VIDEO_ACTOR = (
     "id string, text string, webVideoUrl string, createTimeISO variant, createTime variant, "
-    "playCount string, diggCount variant, commentCount variant, shareCount variant, "
-    "collectCount string, isSlideshow boolean, textLanguage string, "
+    "playCount variant, diggCount variant, commentCount variant, shareCount variant, "
+    "collectCount variant, isSlideshow boolean, textLanguage string, "
     "authorMeta struct<name:string,uniqueId:string,nickName:string,avatar:string,fans:variant,"
     "region:string>, videoMeta struct<duration:string,coverUrl:string,originalCoverUrl:string>, "
     "musicMeta struct<musicName:string>, hashtags array<struct<name:string>>"
@@ -39,7 +39,7 @@ REEL_ACTOR = (
     "type string, shortCode string, url string, caption string, ownerUsername string, "
     "ownerFullName string, ownerFollowersCount variant, timestamp variant, videoDuration string, "
     "hashtags array<string>, displayUrl string, videoPlayCount variant, videoViewCount variant, "
-    "likesCount string, commentsCount variant, sharesCount variant, "
+    "likesCount variant, commentsCount variant, sharesCount variant, "
     "musicInfo struct<song_name:string>"
 )
 
@@ -48,33 +48,54 @@ REEL_ACTOR = (
 TIMES = ("created_at", "createTime", "createTimeISO", "publishedAt", "timestamp")
 
 
-def _plain(value: Column, kind: T.DataType, name: str) -> Column:
-    """Variants as text that tells numbers from text: counts lose their fraction, numeric times
+def _told(number: Column, is_text: Column, text: Column, name: str) -> Column:
+    """A loose value as text that tells numbers from text: counts lose their fraction, numeric times
     become ISO text; text stays as it is, but digits are no epoch, so they gain a mark that no
     time has."""
-    if isinstance(kind, T.VariantType):
-        is_text = F.schema_of_variant(value) == "STRING"
-        text = F.try_variant_get(value, "$", "string")
-        number = F.try_variant_get(value, "$", "double")
-        if name in TIMES:
-            told = F.date_format(F.timestamp_seconds(number), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-            digits = F.when(text.try_cast("double").isNotNull(), F.concat(F.lit("text "), text)).otherwise(text)
-            return F.when(is_text, digits).otherwise(told)
-        return F.when(is_text, text).otherwise(F.coalesce(number.try_cast("bigint").cast("string"), text))
-    if isinstance(kind, T.StructType):
-        inner = F.struct(*[_plain(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields])
-        return F.when(value.isNotNull(), inner)
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return F.transform(value, lambda x: _plain(x, kind.elementType, name))
-    return value
+    if name in TIMES:
+        told = F.date_format(F.timestamp_seconds(number), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        digits = F.when(text.try_cast("double").isNotNull(), F.concat(F.lit("text "), text)).otherwise(text)
+        return F.when(is_text, digits).otherwise(told)
+    return F.when(is_text, text).otherwise(F.coalesce(number.try_cast("bigint").cast("string"), text))
+
+
+def _plain(value: Column | None, have: T.DataType | None, want: T.DataType, name: str) -> Column:
+    """``value`` of type ``have`` (absent if None) as the landed shape ``want`` has it, loose values told apart."""
+    if isinstance(want, T.StructType):
+        fields = {f.name: f.dataType for f in have.fields} if isinstance(have, T.StructType) else {}
+        inner = F.struct(*[_plain(value[f.name] if f.name in fields else None, fields.get(f.name), f.dataType, f.name).alias(f.name)
+                           for f in want.fields])
+        return F.when(value.isNotNull() if fields else F.lit(False), inner)
+    if isinstance(want, T.ArrayType) and isinstance(want.elementType, T.StructType):
+        if not isinstance(have, T.ArrayType):
+            return F.transform(F.lit(None).cast("array<string>"), lambda x: _plain(None, None, want.elementType, name))
+        return F.transform(value, lambda x: _plain(x, have.elementType, want.elementType, name))
+    if value is None:
+        return F.lit(None).cast("string" if isinstance(want, T.VariantType) else want)
+    if not isinstance(want, T.VariantType):
+        return value if have == want else value.try_cast(want)
+    if isinstance(have, T.VariantType):
+        return _told(F.try_variant_get(value, "$", "double"), F.schema_of_variant(value) == "STRING",
+                     F.try_variant_get(value, "$", "string"), name)
+    if isinstance(have, T.NumericType):
+        return _told(value.cast("double"), F.lit(False), value.cast("string"), name)
+    if isinstance(have, T.TimestampType) and name in TIMES:
+        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return _told(F.lit(None).cast("double"), F.lit(True), value.cast("string"), name)
 
 
 def read_landed(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
-    """Landed files under a fixed schema. Broken JSON lines stay visible in ``_corrupt_record``."""
+    """Landed files in a fixed shape. Broken JSON lines stay visible in ``_corrupt_record``. Files of other formats bring
+    types of their own: numbers and texts are told apart by these, and fields they lack are null."""
+    want = T.StructType.fromDDL(schema)
     if fmt == "json":
         rows = spark.read.schema(schema + ", _corrupt_record string").json(path, mode="PERMISSIVE")
-        return rows.select(*[_plain(F.col(f.name), f.dataType, f.name).alias(f.name) for f in rows.schema.fields])
-    return spark.read.schema(schema.replace("variant", "string")).format(fmt).load(path)
+        want = rows.schema
+    else:
+        rows = spark.read.format(fmt).load(path)
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.select(*[_plain(F.col(f.name) if f.name in have else None, have.get(f.name), f.dataType, f.name).alias(f.name)
+                         for f in want.fields])
 
 
 def well_formed(landed: DataFrame) -> DataFrame:

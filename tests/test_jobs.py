@@ -154,10 +154,10 @@ def test_stream_upsert_equals_batch_and_survives_replay(spark, tmp_path):
     sink = J.upsert_sink(base, stored, C.as_instant(NOW))
     J.drain(J.stream_files(spark, path, df.schema, files_per_batch=1), sink, str(tmp_path / "ck"))
     want = sorted(map(tuple, U.upsert_items(stored, df, C.as_instant(NOW)).drop("change", "batch_rows").collect()))
-    assert sorted(map(tuple, J.read_state(spark, base).select(*stored.columns).collect())) == want
+    assert sorted(map(tuple, sink.state.read(spark, "items").select(*stored.columns).collect())) == want
     last = spark.read.parquet(path).orderBy(F.desc("seq")).limit(20)
     sink(last, 3)
-    assert sorted(map(tuple, J.read_state(spark, base).select(*stored.columns).collect())) == want
+    assert sorted(map(tuple, sink.state.read(spark, "items").select(*stored.columns).collect())) == want
     assert spark.read.parquet(f"{base}/metrics").count() == 80
 
 

@@ -157,8 +157,8 @@ def plain_relevance(t, p):
     return half_even(min(1.0, score), 3)
 
 
-@pytest.mark.parametrize("chunk_rows", [2_000, 10])
-def test_feed_and_in_niche_against_plain_python(spark, chunk_rows):
+@pytest.mark.parametrize("width", [1.0, 0.01, 40.0])
+def test_feed_and_in_niche_against_plain_python(spark, width):
     trends, tdf = trend_rows(spark)
     rng = random.Random(5)
     profiles = [
@@ -180,7 +180,7 @@ def test_feed_and_in_niche_against_plain_python(spark, chunk_rows):
         want = [(r[2], -r[0]) for r in plain(pool, p)[:7]]
         assert [got[p[0]][i + 1] for i in range(7)] == want
     own = {}
-    for r in U.in_niche(pdf, tdf, 6, chunk_rows).collect():
+    for r in U.in_niche(pdf, tdf, 6, width).collect():
         own.setdefault(r["user_id"], {})[r["rank"]] = r["trend_id"]
     for p in profiles:
         ranked = plain(trends, p)

@@ -138,19 +138,29 @@ def test_competition_adaptability_difficulty(spark):
     assert A.consensus_difficulty(df).first()["production_difficulty"] == "low"
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 60, 10])
-def test_medians_exact_for_ordinary_and_dominant_groups(spark, hot_rows):
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_medians_exact_for_ordinary_and_dominant_groups(spark, parts):
     rng = random.Random(4)
     rows = [("hot", rng.gauss(0, 1), rng.randrange(5)) for _ in range(401)]
     rows += [("even", rng.random(), rng.randrange(1000)) for _ in range(100)]
     rows += [("small", 1.0, 2), ("small", 4.0, 8)]
-    rows += [("same", 3.0, 3)] * 80
+    rows += [("same", 3.0, 3)] * 80 + [(None, 2.0, 7), (None, 5.0, 9)] + [("none", None, None), ("half", None, 4)]
     df = spark.createDataFrame(rows, "k string, a double, b bigint").repartition(5)
-    got = {r["k"]: (r["a"], r["b"], r["n"])
-           for r in group_medians(df, ["k"], ["a", "b"], hot_rows, [F.count(F.lit(1)).alias("n")]).collect()}
-    for k in ("hot", "even", "small", "same"):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)  # with many, every group spans several ranges
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = group_medians(df, ["k"], ["a", "b"], [F.count(F.lit(1)).alias("n")]).collect()
+        assert group_medians(df.limit(0), ["k"], ["a"]).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    got = {r["k"]: (r["a"], r["b"], r["n"]) for r in found}
+    middle = lambda values: statistics.median(values) if values else None
+    for k in ("hot", "even", "small", "same", None, "none", "half"):
         mine = [r for r in rows if r[0] == k]
-        assert got[k] == (statistics.median(r[1] for r in mine), statistics.median(r[2] for r in mine), len(mine))
+        assert got[k] == (*(middle([r[i] for r in mine if r[i] is not None]) for i in (1, 2)), len(mine))
 
 
 def make_signals(spark, trends=12, seed=2):
@@ -200,7 +210,7 @@ def test_aggregates_against_plain_python(spark):
 def test_hot_route_and_row_order_change_nothing(spark):
     df, _ = make_signals(spark)
     base = A.build_aggregates(df, NOW).orderBy("trend_id").toPandas()
-    other = A.build_aggregates(df.repartition(7).orderBy(F.rand(1)), NOW, hot_rows=20).orderBy("trend_id").toPandas()
+    other = A.build_aggregates(df.repartition(7).orderBy(F.rand(1)), NOW).orderBy("trend_id").toPandas()
     for c in base.columns:
         if base[c].dtype == float:
             assert base[c].tolist() == pytest.approx(other[c].tolist(), abs=1e-9)
