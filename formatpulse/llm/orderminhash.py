@@ -14,7 +14,7 @@ its members meet one pivot at a time, the member whose entries stand in the larg
 the centre of a group shares more entries than its edge. In buckets that still hold several components
 after ``rounds`` pivots, the pairs across components are tried, in blocks of bounded size within tasks.
 All pairs first pass a filter on lengths and on one-permutation MinHash signatures that leaves 0.8 some
-four standard errors; those left are aligned. Exact copies count once throughout.
+four standard errors (six where texts are short); those left are aligned. Exact copies count once throughout.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ TUPLE = 3
 BINS = 64
 ROUNDS = 3
 #: Texts of a block in the exact rest.
-BLOCK = 2048
+BLOCK = 512
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -251,16 +251,40 @@ def sketches(docs: DataFrame, n: int = SHINGLE, entries: int = SKETCHES, size: i
     return rows.groupBy(*KEY).agg(F.first("s").alias("s")).select(*KEY, "s.*")
 
 
+#: Standard errors that a signature's estimate may lie below the threshold: for texts of SURE shingles or more, and fewer.
+ERRORS, FEW_ERRORS, SURE = 4.0, 6.0, 200
+
+
 def _likely(threshold: float) -> Column:
-    """Whether the lengths and signatures of a pair (_a, _b) leave the threshold possible. Texts of
-    fewer than 200 shingles have too few bins to judge by and pass."""
+    """Whether the lengths and signatures of a pair (_a, _b) leave the threshold possible."""
     shorter, longer = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     def count(test) -> Column:
         return F.size(F.filter(F.zip_with("bins_a", "bins_b", test), lambda x: x))
     same = count(lambda x, y: (x == y) & (x >= 0))
     used = count(lambda x, y: (x >= 0) | (y >= 0))
-    slack = 4 * (threshold * (1 - threshold) / BINS) ** 0.5
-    return (shorter >= threshold * longer) & ((shorter < 200) | (same >= (threshold - slack) * used))
+    errors = F.when(shorter < SURE, FEW_ERRORS).otherwise(ERRORS) * (threshold * (1 - threshold)) ** 0.5
+    return (shorter >= threshold * longer) & (same >= threshold * used - errors * F.sqrt(used))
+
+
+def _rivals(entries: np.ndarray, bins: np.ndarray, sizes: np.ndarray, parts: np.ndarray, owner: np.ndarray | None,
+            bucket: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(a, bs): later rows of a bucket that row ``a`` may be linked to: of another component, with ``bucket`` as the first
+    one they share, and lengths and signatures that leave the threshold possible. With ``owner``, of the other block."""
+    for a in range(len(sizes) - 1):
+        longer, shorter = np.maximum(sizes[a + 1:], sizes[a]), np.minimum(sizes[a + 1:], sizes[a])
+        able = (shorter >= threshold * longer) & (parts[a + 1:] != parts[a])
+        if owner is not None:
+            able &= owner[a + 1:] != owner[a]
+        at = np.flatnonzero(able) + a + 1
+        if not len(at):
+            continue
+        at = at[entries[a][(entries[at] == entries[a]).argmax(1)] == bucket]
+        same = ((bins[at] == bins[a]) & (bins[a] >= 0)).sum(1)
+        used = ((bins[at] >= 0) | (bins[a] >= 0)).sum(1)
+        errors = np.where(np.minimum(sizes[at], sizes[a]) < SURE, FEW_ERRORS, ERRORS) * (threshold * (1 - threshold)) ** 0.5
+        at = at[same >= threshold * used - errors * np.sqrt(used)]
+        if len(at):
+            yield a, at
 
 
 def _ids(side: str) -> list[str]:
@@ -298,44 +322,53 @@ def _labels(links: DataFrame) -> DataFrame:
     return found.select("id.*", F.col("component").alias("part"))
 
 
-def _meet(open_buckets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs (keys _a, _b) of texts in one bucket whose components differ and whose lengths and signatures leave
-    the threshold possible; a pair is named in the first bucket it shares. Rows are narrow, so a bucket of
-    ``block`` texts is one task; larger ones meet in pairs of blocks."""
+def _meet(open_buckets: DataFrame, texts: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
+    """Links (keys _a, _b) that join the components of each bucket wherever any pair across them does.
+
+    Blocks of a bucket meet in pairs; a pair of texts is tried in the first bucket it shares. A first pass over narrow
+    rows keeps the texts that have a rival left by lengths and signatures, a row each; only these get their
+    texts, are aligned, and give spanning links, never all pairs.
+    """
     sized = open_buckets.join(open_buckets.groupBy("bucket").agg(
         F.ceil(F.count("*") / block).cast("int").alias("__blocks")), "bucket")
     own = F.pmod(F.xxhash64(F.lit(5), *KEY), F.col("__blocks")).cast("int")
     rows = sized.withColumn("__own", own).withColumn(
         "__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    fields = ("bucket", "__i", "__j", "__own", *KEY, "entries", "bins", "n", "part")
     rows = rows.select("bucket", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"),
                        "__own", *KEY, "entries", "bins", "n", F.xxhash64("part").alias("part"))
-    slack = 4 * (threshold * (1 - threshold) / BINS) ** 0.5
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows[list(KEY)].to_numpy()
-        parts, sizes = rows["part"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
-        entries, bins = np.stack(rows["entries"].to_numpy()), np.stack(rows["bins"].to_numpy())
-        owner, bucket, cross = rows["__own"].to_numpy(), rows["bucket"].iloc[0], rows["__i"].iloc[0] != rows["__j"].iloc[0]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a in range(len(keys)):
-            longer, shorter = np.maximum(sizes[a + 1:], sizes[a]), np.minimum(sizes[a + 1:], sizes[a])
-            able = (shorter >= threshold * longer) & (parts[a + 1:] != parts[a])
-            if cross:
-                able &= owner[a + 1:] != owner[a]
-            at = np.flatnonzero(able) + a + 1
-            if not len(at):
-                continue
-            equal = entries[at] == entries[a]
-            at = at[entries[a][equal.argmax(1)] == bucket]
-            same = ((bins[at] == bins[a]) & (bins[a] >= 0)).sum(1)
-            used = ((bins[at] >= 0) | (bins[a] >= 0)).sum(1)
-            at = at[(np.minimum(sizes[at], sizes[a]) < 200) | (same >= (threshold - slack) * used)]
-            left.append(np.full(len(at), a))
-            right.append(at)
-        a, b = keys[np.concatenate(left)], keys[np.concatenate(right)]
-        return pd.DataFrame(np.hstack([a, b]), columns=[*_ids("a"), *_ids("b")])
-    return rows.groupBy("bucket", "__i", "__j").applyInPandas(
-        meet, ", ".join(f"{c} bigint" for c in (*_ids("a"), *_ids("b"))))
+
+    def rivals(rows: pd.DataFrame):
+        one = rows["__i"].iloc[0] == rows["__j"].iloc[0]
+        return _rivals(np.stack(rows["entries"].to_numpy()), np.stack(rows["bins"].to_numpy()),
+                       rows["n"].to_numpy().astype(np.int64), rows["part"].to_numpy(),
+                       None if one else rows["__own"].to_numpy(), rows["bucket"].iloc[0], threshold)
+
+    def sift(rows: pd.DataFrame) -> pd.DataFrame:
+        kept = np.zeros(len(rows), bool)
+        for a, at in rivals(rows):
+            kept[a] = True
+            kept[at] = True
+        return rows[kept]
+
+    def align(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, texts_here = rows[list(KEY)].to_numpy(), rows["text"].to_numpy()
+        label, names, out = rows["part"].to_numpy().copy(), {}, []
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in names:
+                names[i] = labelled_shingles(texts_here[i], n)
+            return names[i]
+        for a, at in rivals(rows):
+            for b in at.tolist():
+                if label[a] != label[b] and similarity(shingles(a), shingles(b), threshold) >= threshold:
+                    label[label == label[b]] = label[a]
+                    out.append((*keys[a], *keys[b]))
+        return pd.DataFrame(out, columns=[*_ids("a"), *_ids("b")])
+    kinds = dict(rows.dtypes)
+    sifted = rows.groupBy("bucket", "__i", "__j").applyInPandas(sift, ", ".join(f"{c} {kinds[c]}" for c in fields))
+    return store(sifted, "rivals").join(texts, list(KEY)).groupBy("bucket", "__i", "__j").applyInPandas(
+        align, ", ".join(f"{c} bigint" for c in (*_ids("a"), *_ids("b"))))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = SHINGLE, entries: int = SKETCHES,
@@ -367,8 +400,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = SHINGLE, e
                 *[F.col(k).alias(f"{k}_a") for k in KEY], *[F.col(f"pivot.{k}").alias(f"{k}_b") for k in KEY])
             new = linked(store(pairs.distinct(), "pairs"), marks.select(*KEY, "n", "bins"), texts, threshold, n)
         else:
-            rest = _meet(labelled.join(marks, list(KEY)), threshold, block)
-            new = linked(store(rest, "rest"), marks.select(*KEY, "n", "bins"), texts, threshold, n)
+            new = _meet(labelled.join(marks, list(KEY)), texts, threshold, n, block)
         new = store(new, "links")
         links = new if links is None else links.union(new)
         parts = store(_labels(links), "parts")
