@@ -9,6 +9,7 @@ from formatpulse.functions import vectors as V
 from formatpulse.functions.quantiles import group_medians
 from formatpulse.operators import aggregates as A
 from formatpulse.operators import clustering as K
+from formatpulse.operators import enrich as E
 from formatpulse.operators import filters as P
 from formatpulse.operators import narrative as N
 from formatpulse.operators import ranking as R
@@ -20,7 +21,7 @@ from formatpulse.operators import sparse as SP
 from formatpulse.operators.slugs import slug_dedupe
 from formatpulse.plans import bindings as B
 from formatpulse.plans.oracle import VEC, rnd, sql, useful
-from formatpulse.session import spread
+from formatpulse.session import spread, work_dir
 
 # The test vectors have almost no label structure, so cuts sit in their own range.
 PAIR_CUT = 0.35
@@ -91,6 +92,27 @@ def format_signature(spark, sf):
             F.array(F.concat(F.lit("#"), F.col("language")))).alias("signature"))
 
 
+def hosted(rows):
+    """A tier that knows nothing of texts whose length ends in 0, and fails where a batch holds an empty one."""
+    if any(not r["text"] for r in rows):
+        raise ValueError("empty text")
+    return [None if r["n_chars"] % 10 == 0 else {"topic": "hosted " + r["lang"]} for r in rows]
+
+
+def enriched_tiers(spark, sf):
+    """Two runs over the documents of one language each, with a hosted quota of 300 rows for both: run, tier, reason, rows."""
+    docs = B.table(spark, sf, "documents").where("text <> ''").select("doc_id", "text", "lang", "n_chars")
+    tiers = [E.BatchTier("hosted", hosted, 300), E.BatchTier("local", lambda rows: [{"topic": "local"} for _ in rows])]
+    path, out = work_dir(spark, "ledger"), None
+    for run, lang in enumerate(("de", "fr"), 1):
+        done, waiting = E.enrich_batches(docs.where(F.col("lang") == lang), tiers, "topic string",
+                                         E.Ledger(spark, path, "day", run), [F.col("doc_id")], "doc_id")
+        part = done.select(F.lit(run).alias("run"), "tier", "fallback_reason").unionByName(
+            waiting.select(F.lit(run).alias("run"), F.lit(None).cast("string").alias("tier"), "fallback_reason"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("run", "tier", "fallback_reason").agg(F.count("*").alias("n"))
+
+
 def hash_embed(spark, sf):
     docs = spread(B.table(spark, sf, "documents"))
     vecs = docs.select("doc_id", X.hash_embed(X.tokenize(F.col("text"))).alias("embedding"))
@@ -372,6 +394,13 @@ QUERIES = {
     "first_sentence": (first_sentence, sql("SELECT item_id AS doc_id, hook180 AS hook FROM docs", "docs")),
     "format_signature": (format_signature, sql(_SIG, "docs")),
     "hash_embed": (hash_embed, None),
+    "enriched_tiers": (enriched_tiers, """WITH d AS (SELECT CASE lang WHEN 'de' THEN 1 ELSE 2 END AS run, n_chars,
+          row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lang) AS size FROM documents
+          WHERE text <> '' AND lang IN ('de', 'fr')),
+        room AS (SELECT 1 AS run, 300 AS most UNION ALL SELECT 2, greatest(0, 300 - (SELECT count(*) FROM d WHERE run = 1)))
+        SELECT run, CASE WHEN r > most THEN NULL WHEN n_chars % 10 = 0 THEN 'local' ELSE 'hosted' END AS tier,
+          CASE WHEN r > most THEN 'quota' WHEN n_chars % 10 = 0 THEN 'error' END AS fallback_reason, count(*) AS n
+        FROM d JOIN room USING (run) GROUP BY 1, 2, 3"""),
     "fallback_count": (fallback_count, """SELECT count(*) AS fallbacks FROM documents
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""),
     "upgrade_features": (upgrade_features, """SELECT d.doc_id AS item_id,

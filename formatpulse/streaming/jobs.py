@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from formatpulse.operators import upserts as U
 from formatpulse.operators.aggregates import truncated
-from formatpulse.operators.similarity import assign_to_existing
+from formatpulse.operators.similarity import index_centroids
 from formatpulse.session import store
 from formatpulse.streaming.state import SEED, KeyedState
 
@@ -271,13 +271,27 @@ def window_sink(
     return apply
 
 
-def assign_sink(path: str, centroids: DataFrame, threshold: float, **names) -> Callable:
-    """Batch function: new vectors join existing trends between rebuilds."""
+def assign_sink(
+    path: str, centroids: DataFrame | Callable[[SparkSession], DataFrame], threshold: float,
+    version: Callable[[SparkSession], int | None] | None = None, key: str = "trend_id", centroid: str = "centroid", **names,
+) -> Callable[[DataFrame, int], None]:
+    """Batch function: new vectors join existing trends between rebuilds.
+
+    Centroids are made ready once, not in every batch. With ``version`` (as
+    :func:`formatpulse.sources.gold.current_run`), they are read anew by ``centroids`` when it changes, so a
+    rebuild shows in the next batch.
+    """
+    held: dict = {}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        assign_to_existing(batch, centroids, threshold, **names).write.mode("overwrite").parquet(
+        now = version(batch.sparkSession) if version else None
+        if "index" not in held or held["version"] != now:
+            rows = centroids(batch.sparkSession) if callable(centroids) else centroids
+            held.update(version=now, index=index_centroids(rows, key, centroid))
+        held["index"].assign(batch, threshold, key=key, **names).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}")
 
+    apply.held = held
     return apply
 
 

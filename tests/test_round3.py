@@ -251,3 +251,19 @@ def test_niche_bounds_spare_candidates(spark):
     scored = wanted.join(entries, ["look", "traits", "step"]).groupBy("kind").count().collect()
     total = many.count()
     assert len(scored) == 3 and max(r["count"] for r in scored) < total / 10
+
+
+def test_centroids_are_read_once_a_version(spark, tmp_path):
+    reads, run = [], [1]
+
+    def centers(session):
+        reads.append(run[0])
+        return session.createDataFrame([(f"t{run[0]}", [1.0, 0.0])], "trend_id string, centroid array<double>")
+    sink = J.assign_sink(str(tmp_path / "out"), centers, 0.6, version=lambda session: run[0])
+    batch = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id int, embedding array<double>")
+    sink(batch, 0)
+    sink(batch, 1)
+    run[0] = 2
+    sink(batch, 2)
+    got = {(r["batch"], r["vec_id"]): r["trend_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert reads == [1, 2] and got == {(0, 1): "t1", (0, 2): None, (1, 1): "t1", (1, 2): None, (2, 1): "t2", (2, 2): None}
