@@ -39,9 +39,14 @@ def rebuild_trends(spark, sf):
         "opportunity_score", "summary")
 
 
+def table_stream(spark, sf, name):
+    """A table as a stream, be it one file or a folder of files. A name filter would see only the files' own names, and
+    a plain path must be a folder; a pattern takes either."""
+    return J.stream_files(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", B.table(spark, sf, name).schema)
+
+
 def events_stream(spark, sf):
-    static = B.table(spark, sf, "events")
-    return J.stream_files(spark, sf, static.schema, names="events.parquet")
+    return table_stream(spark, sf, "events")
 
 
 def windows_kept(spark, name, rows, **how):
@@ -136,9 +141,8 @@ def stream_velocity(spark, sf):
 
 def stream_assign(spark, sf):
     base = work_dir(spark, "assign")
-    vecs = B.embeddings(spark, sf)
     J.drain(
-        J.stream_files(spark, sf, vecs.schema, names="embeddings.parquet").drop("label"),
+        table_stream(spark, sf, "embeddings").drop("label"),
         J.assign_sink(f"{base}/out", label_centers(spark, sf), ASSIGN_CUT, key="label"), f"{base}/ck")
     return spark.read.parquet(f"{base}/out").select(
         "vec_id", "label", F.round("similarity", 6).alias("similarity"))
