@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from formatpulse.operators import clustering as K
+from formatpulse.operators import sparse
 from formatpulse.plans import catalogue_jobs as Q
 from formatpulse.streaming import jobs as J
 
@@ -54,3 +55,21 @@ def test_large_components_come_down_in_levels(spark, monkeypatch):
     for a, b, _ in reversed(want):
         root[b] = root.get(a, a)
     assert {r["b"]: r["root"] for r in got} == root
+
+
+def test_dense_lists_are_multiplied_and_short_ones_indexed(spark, monkeypatch):
+    """Vectors that share most dimensions meet in nearly every list: no candidate list of all pairs is made."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 3, (80, 20)) + 0.0
+    rows[40:] = rows[:40] + (rng.random((40, 20)) < 0.05)
+    long = spark.createDataFrame([(int(i), int(d) * 7, float(rows[i, d])) for i, d in zip(*np.nonzero(rows))], "id int, d int, w double")
+    thin = spark.createDataFrame([(i, (i * 13 + k * 97) % 700, 1.0) for i in range(200) for k in range(4)], "id int, d int, w double")
+    assert not sparse.spares(sparse.unit_entries(long)) and sparse.spares(sparse.unit_entries(thin))
+    sims = np.triu((u := rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ u.T, 1)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(sims >= 0.95))}
+    indexed = {(r["id_a"], r["id_b"]) for r in sparse.candidate_pairs(sparse.unit_entries(long), 0.95).collect()}
+    assert want and want <= indexed
+    monkeypatch.setattr(sparse, "candidate_pairs", None)
+    got = sparse.sparse_pairs(long, 0.95).collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == want
+    assert all(abs(r["similarity"] - sims[r["id_a"], r["id_b"]]) < 1e-9 for r in got)
