@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formatpulse.functions import curves as C
-from formatpulse.functions.quantiles import group_medians
+from formatpulse.functions.quantiles import group_medians, join_keys
 from formatpulse.session import store
 
 MEDIAN_COLUMNS = {
@@ -183,33 +183,30 @@ def medians(signals: DataFrame, key: str = "trend_id") -> DataFrame:
 
 
 def attribute_summary(signals: DataFrame) -> DataFrame:
-    """One counted pass over every categorical attribute of a trend.
+    """The categorical attributes of a trend, counted.
 
     Gives the five ranked lists, the number of distinct creators and the consensus
-    difficulty label. Rows collapse to (trend, attribute, value) in the map tasks.
+    difficulty label. Rows collapse to the combinations of a trend's attributes in the map tasks, and
+    only those are dealt out by attribute; creators, of which there are many, are counted beside them.
     """
     attrs = {**LIST_COLUMNS, "production_difficulty": "difficulty"}
+    combined = signals.groupBy("trend_id", *attrs).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct((-F.col("similarity")).alias("s"), F.col("item_id").alias("i"))).alias("first"),
+    )
     pairs = [
         F.struct(F.lit(name).alias("attr"), F.col(col).alias("value"))
         for col, name in attrs.items()
     ]
-    pairs.append(
-        F.struct(F.lit("creator").alias("attr"), F.col("creator_id").cast("string").alias("value"))
-    )
     counted = (
-        signals.select("trend_id", "similarity", "item_id", F.explode(F.array(*pairs)).alias("p"))
-        .filter((F.coalesce(F.col("p.value"), F.lit("")) != "") | (F.col("p.attr") == "creator"))
+        combined.select("trend_id", "n", "first", F.explode(F.array(*pairs)).alias("p"))
         .groupBy("trend_id", F.col("p.attr").alias("attr"), F.col("p.value").alias("value"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(
-                F.when(
-                    F.col("p.attr") != "creator",
-                    F.struct((-F.col("similarity")).alias("s"), F.col("item_id").alias("i")),
-                )
-            ).alias("first"),
-        )
+        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        # a trend without any value stays, with empty lists
+        .withColumn("attr", F.when(F.coalesce("value", F.lit("")) != "", F.col("attr")))
     )
+    creators = signals.select("trend_id", "creator_id").distinct().groupBy("trend_id").agg(
+        F.count("creator_id").alias("creator_count"))
     lists = []
     for name in LIST_COLUMNS.values():
         entry = F.when(
@@ -220,15 +217,15 @@ def attribute_summary(signals: DataFrame) -> DataFrame:
         )
     level = F.col("value")
     easier = F.when(level == "low", 0).when(level == "medium", 1).when(level == "high", 2).otherwise(3)
-    return counted.groupBy("trend_id").agg(
+    found = counted.groupBy("trend_id").agg(
         *lists,
-        F.count_if((F.col("attr") == "creator") & F.col("value").isNotNull()).alias("creator_count"),
         F.min_by(
             "value",
             F.when(F.col("attr") == "difficulty",
                    F.struct((-F.col("n")).alias("n"), easier.alias("e"), "value")),
         ).alias("production_difficulty"),
     )
+    return join_keys(found, creators, ["trend_id"])
 
 
 def build_aggregates(

@@ -3,8 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from formatpulse.operators import aggregates as A
 from formatpulse.operators import clustering as K
 from formatpulse.operators import sparse
+from formatpulse.plans import bindings as B
 from formatpulse.plans import catalogue_jobs as Q
 from formatpulse.streaming import jobs as J
 
@@ -73,3 +75,30 @@ def test_dense_lists_are_multiplied_and_short_ones_indexed(spark, monkeypatch):
     got = sparse.sparse_pairs(long, 0.95).collect()
     assert {(r["id_a"], r["id_b"]) for r in got} == want
     assert all(abs(r["similarity"] - sims[r["id_a"], r["id_b"]]) < 1e-9 for r in got)
+
+
+def test_signals_are_stored_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(A, "store", lambda df, name="stored": names.append(name) or df)
+    monkeypatch.setattr(B, "store", A.store, raising=False)
+    B.event_aggregates(spark, "/root/testdata/sf0.001")
+    assert names == ["signals"]
+
+
+def test_attributes_go_out_as_combinations(spark):
+    """Null, empty and equal values, and a trend of nulls only, by a plain count."""
+    rng = np.random.default_rng(2)
+    fields = ["platform", "niche", "country", "language", "content_type", "production_difficulty"]
+    rows = [("t%d" % (i % 3), i, int(rng.integers(0, 9)), float(rng.integers(0, 5)),
+             *[[None, "", "low", "high", "b"][k] for k in rng.integers(0, 5, 6)]) for i in range(200)]
+    rows.append(("none", 900, None, 1.0, *[None] * 6))
+    df = spark.createDataFrame(rows, "trend_id string, item_id long, creator_id long, similarity double, " + ", ".join(f"{f} string" for f in fields))
+    got = {r["trend_id"]: r for r in A.attribute_summary(df).collect()}
+    assert set(got) == {"t0", "t1", "t2", "none"} and got["none"]["production_difficulty"] is None
+    for t, r in got.items():
+        mine = [x for x in rows if x[0] == t]
+        assert r["creator_count"] == len({x[2] for x in mine} - {None})
+        for k, f in enumerate(fields[:5]):
+            of = lambda v: [x for x in mine if x[4 + k] == v]  # noqa: E731, B023
+            want = sorted({x[4 + k] for x in mine} - {None, ""}, key=lambda v: (-len(of(v)), min((-x[3], x[1]) for x in of(v))))
+            assert r[A.LIST_COLUMNS[f]] == want
