@@ -102,3 +102,25 @@ def test_attributes_go_out_as_combinations(spark):
             of = lambda v: [x for x in mine if x[4 + k] == v]  # noqa: E731, B023
             want = sorted({x[4 + k] for x in mine} - {None, ""}, key=lambda v: (-len(of(v)), min((-x[3], x[1]) for x in of(v))))
             assert r[A.LIST_COLUMNS[f]] == want
+
+
+def test_leaders_by_batches_equal_the_plain_election(spark, monkeypatch):
+    """Copies, a row without a direction and any number of rounds, by a plain loop; no pairs are listed."""
+    import hashlib
+
+    from formatpulse.operators import clustering as K
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(240, 6))
+    vecs[120:180] = vecs[:60]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(900, [0.0] * 6), (901, None)]
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    leaders = []
+    for i in sorted(range(240), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        if all(unit[i] @ unit[j] < 0.7 for j in leaders):
+            leaders.append(i)
+    want = {i: i if i in leaders else min(leaders, key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j)) for i in range(240)}
+    monkeypatch.setattr(K, "block_search", None)
+    frame = spark.createDataFrame(rows, "item_id bigint, embedding array<double>")
+    for size in (7, 64, None):
+        assert {r["item_id"]: r["trend_id"] for r in K.greedy_cluster(frame, 0.7, batch_rows=size).collect()} == want
+    assert K.greedy_cluster(frame.where("item_id > 899"), 0.7).count() == 0
