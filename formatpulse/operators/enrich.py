@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formatpulse.functions.text import hash_embed, tokenize
+from formatpulse.functions.text import hash_embed_text
 from formatpulse.schemas import EMBEDDING_DIM
 from formatpulse.session import cut, store
 
@@ -21,7 +21,7 @@ class Encoder(Protocol):
 
 
 def embed_local(df: DataFrame, text: str = "signature", dim: int = EMBEDDING_DIM) -> DataFrame:
-    return df.withColumn("embedding", hash_embed(tokenize(F.coalesce(F.col(text), F.lit(""))), dim))
+    return df.withColumn("embedding", hash_embed_text(F.coalesce(F.col(text), F.lit("")), dim))
 
 
 def embed_many(

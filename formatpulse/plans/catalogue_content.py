@@ -38,13 +38,11 @@ def tokens(spark, sf):
 
 
 def token_counts(spark, sf):
-    return tokens(spark, sf).select("lang", F.explode("tokens").alias("token")).groupBy(
-        "lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    return X.term_counts(spread(B.table(spark, sf, "documents")), "lang", "text", 1, "token")
 
 
 def bigram_counts(spark, sf):
-    return tokens(spark, sf).select("lang", F.explode(X.bigrams(F.col("tokens"))).alias("pair")).groupBy(
-        "lang", "pair").agg(F.count(F.lit(1)).alias("n"))
+    return X.term_counts(spread(B.table(spark, sf, "documents")), "lang", "text", 2, "pair")
 
 
 def top_terms(spark, sf):
@@ -115,7 +113,7 @@ def enriched_tiers(spark, sf):
 
 def hash_embed(spark, sf):
     docs = spread(B.table(spark, sf, "documents"))
-    vecs = docs.select("doc_id", X.hash_embed(X.tokenize(F.col("text"))).alias("embedding"))
+    vecs = docs.select("doc_id", X.hash_embed_text(F.col("text")).alias("embedding"))
     return vecs.select(
         "doc_id", F.size("embedding").cast("bigint").alias("dim"),
         F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("filled"),

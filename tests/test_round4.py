@@ -124,3 +124,28 @@ def test_leaders_by_batches_equal_the_plain_election(spark, monkeypatch):
     for size in (7, 64, None):
         assert {r["item_id"]: r["trend_id"] for r in K.greedy_cluster(frame, 0.7, batch_rows=size).collect()} == want
     assert K.greedy_cluster(frame.where("item_id > 899"), 0.7).count() == 0
+
+
+def test_texts_are_cut_and_counted_as_by_columns(spark):
+    """Nulls, empty texts, letters that lower to others, joins over text borders; tokens, pairs and vectors by the plain columns."""
+    from formatpulse.functions import text as X
+    texts = ["How to FIX don't-stop 3 cats cats", None, "", "the", "x", "cats", "cats fix", "Kelvin İstanbul naïve 中文 cats cats cats",
+             "a b c", "fix cats fix cats fix", "ends'", "'ends", "tab\tline\nbreak 42"]
+    df = spark.createDataFrame([(i, t, [None, "en", "de"][i % 3]) for i, t in enumerate(texts)], "i int, t string, lang string").repartition(2)
+    tokens = X.tokenize(F.col("t"))
+    for size, terms in ((1, tokens), (2, X.bigrams(tokens))):
+        want = df.select("lang", F.explode(terms).alias("k")).groupBy("lang", "k").agg(F.count("*").alias("n"))
+        got = X.term_counts(df, "lang", "t", size, "k")
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and want.count() > 5
+    for r in df.select(X.hash_embed(tokens, 96).alias("a"), X.hash_embed_text(F.col("t"), 96).alias("b")).collect():
+        assert r["a"] == r["b"] and len(r["b"]) == 96
+
+
+def test_terms_that_cancel_leave_no_rest(spark):
+    """A slot with terms of opposite signs is zero whatever rows its batch holds before it."""
+    from formatpulse.functions import text as X
+    values = np.array([1 << 63, 0, (1 << 63) + 8, 8], np.uint64)  # two signs, one slot of 8
+    for order in ([0, 2, 2, 3, 3, 1], [0, 1, 2, 2, 3, 3], [3, 3, 3, 0, 2, 2, 2, 1]):
+        assert not X._hashed_rows(1, np.zeros(len(order), np.int64), np.array(order), values, 8).any()
+    rows = [list(p.start for p in X.pieces(np.array(n))) for n in ([], [5], [X.PIECE_BYTES * 2, 1, 1])]
+    assert rows == [[], [0], [0, 1]]
