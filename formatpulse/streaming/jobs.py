@@ -6,11 +6,12 @@ storage). Sinks are idempotent by batch id, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
@@ -161,41 +162,38 @@ def upsert_sink(
 
 class LastThree(StatefulProcessor):
     """Keeps the newest three snapshots of an item and emits its current rates. An event-time timer, set anew
-    with each newer snapshot, drops the state of an item that stays idle."""
+    with each newer snapshot, drops the state of an item that stays idle. Times are microseconds; the state is one value, which
+    also says what timer is set, so an item costs a read, a write and its timer."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.points = handle.getListState("points", "t timestamp, v double")
+        self.points = handle.getValueState("newest", "at array<bigint>, views array<double>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [(pd.Timestamp(t), float(v)) for t, v in self.points.get()]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.points.get()
+        kept = list(zip(*held)) if held else []
         before = kept[-1][0] if kept else None
-        for pdf in rows:
-            new = newest_rows(pdf)
-            kept += list(zip(pd.to_datetime(new["captured_at"]), new["views"].astype(float)))
-            kept = sorted(kept)[-3:]
-        self.points.put([(t.to_pydatetime(), v) for t, v in kept])
-        if kept[-1][0] != before:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(kept[-1][0].timestamp() * 1000) + self.idle_ms)
+        kept = sorted([*kept, *((r["at"], math.nan if r["views"] is None else r["views"]) for r in rows if r["at"] is not None)])[-3:]
+        if not kept:
+            return
+        at, views = zip(*kept)
+        self.points.update((list(at), list(views)))
+        if at[-1] != before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.idle_ms)
+            self.handle.registerTimer(at[-1] // 1000 + self.idle_ms)
 
         def rate(older, newer):
-            span = (newer[0] - older[0]).total_seconds() / 3600.0
+            span = (newer[0] - older[0]) / 3.6e9
             return max(0.0, (newer[1] - older[1]) / span) if span > 0 else None
 
-        yield pd.DataFrame({
-            "item_id": [key[0]],
-            "as_of": [kept[-1][0]],
-            "points": [len(kept)],
-            "velocity": [rate(kept[-2], kept[-1]) if len(kept) >= 2 else None],
-            "prior_velocity": [rate(kept[-3], kept[-2]) if len(kept) >= 3 else None],
-        }).astype({"velocity": "float64", "prior_velocity": "float64"})
+        yield Row(item_id=key[0], at=at[-1], points=len(kept), velocity=rate(kept[-2], kept[-1]) if len(kept) >= 2 else None,
+                  prior_velocity=rate(kept[-3], kept[-2]) if len(kept) >= 3 else None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.points.clear()
         return iter(())
 
@@ -220,14 +218,12 @@ def stream_velocity(metrics: DataFrame, delay: str = "30 days", idle: timedelta
     rows = metrics.select("item_id", F.col("captured_at").cast("timestamp").alias("captured_at"),
                           F.col("views").cast("double").alias("views"))
     cut = rows.mapInPandas(lambda batches: map(newest_rows, batches), rows.schema)
-    return cut.withWatermark("captured_at", delay).groupBy("item_id").transformWithStateInPandas(
+    timed = cut.withWatermark("captured_at", delay).withColumn("at", F.unix_micros("captured_at"))
+    return timed.groupBy("item_id").transformWithState(
         statefulProcessor=LastThree(int(idle.total_seconds() * 1000)),
-        outputStructType=(
-            f"item_id {kind}, as_of timestamp, points bigint, velocity double, "
-            "prior_velocity double"
-        ),
+        outputStructType=f"item_id {kind}, at bigint, points bigint, velocity double, prior_velocity double",
         outputMode="Update", timeMode="EventTime",
-    )
+    ).select("item_id", F.timestamp_micros("at").alias("as_of"), "points", "velocity", "prior_velocity")
 
 
 def stream_adoption(

@@ -149,3 +149,33 @@ def test_terms_that_cancel_leave_no_rest(spark):
         assert not X._hashed_rows(1, np.zeros(len(order), np.int64), np.array(order), values, 8).any()
     rows = [list(p.start for p in X.pieces(np.array(n))) for n in ([], [5], [X.PIECE_BYTES * 2, 1, 1])]
     assert rows == [[], [0], [0, 1]]
+
+
+def test_velocity_state_costs_a_read_a_write_and_a_timer():
+    """Rows in any order, a null time and a null value; the timer moves only with a newer snapshot, and none is listed."""
+    from formatpulse.streaming.jobs import LastThree
+
+    class Handle:
+        calls, held = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append((name, *args))
+                if name == "update":
+                    self.held = args[0]
+                return self.held
+            return call
+    handle, state = Handle(), LastThree(5)
+    state.init(handle)
+    hour = 3_600_000_000
+    of = lambda *rows: list(state.handleInputRows(("a",), iter([{"at": t, "views": v} for t, v in rows]), None))
+    assert of((None, 1.0)) == [] and handle.calls == [("get",)]
+    got = of((3 * hour, 40.0), (hour, 10.0), (0, 5.0), (2 * hour, 20.0))[0]
+    assert got.asDict() == {"item_id": "a", "at": 3 * hour, "points": 3, "velocity": 20.0, "prior_velocity": 10.0}
+    assert [c[0] for c in handle.calls[1:]] == ["get", "update", "registerTimer"]
+    assert of((2 * hour, None))[0]["points"] == 3 and [c[0] for c in handle.calls[4:]] == ["get", "update"]
+    of((4 * hour, 41.0))
+    assert handle.calls[-2:] == [("deleteTimer", 3 * hour // 1000 + 5), ("registerTimer", 4 * hour // 1000 + 5)]
