@@ -43,7 +43,7 @@ def as_batch(raw: DataFrame) -> DataFrame:
 
 
 def ingest(
-    spark: SparkSession, platforms: list[str], niches: list[str | None], sink: Callable[[DataFrame, int], None],
+    spark: SparkSession, platforms: list[str], niches: list[str | None], sink: Callable[..., None],
     now, run: int, audit_path: str, **gate,
 ) -> DataFrame:
     """Collect all requests into ``sink`` (:func:`formatpulse.streaming.jobs.upsert_sink` with creators) as batch ``run``.
@@ -57,7 +57,7 @@ def ingest(
         audit.say(f"skipped {r['platform']}", niche=r["niche"] or "", reason=r["skipped"])
     raw = audit.watch(raw, "normalised", views=F.sum("views"))
     kept = audit.watch(quality_gate(raw, C.as_instant(now), **gate), "kept", views=F.sum("views"))
-    sink(store(as_batch(kept), "ingest"), run)
+    sink(store(as_batch(kept), "ingest"), run, stored=True)
     counts = sink.counts(spark, run).first()
     audit.say("upserted", ingested=counts["ingested"], updated=counts["updated"])
     people = sink.state.read(spark, "creators")

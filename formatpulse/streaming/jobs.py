@@ -112,7 +112,8 @@ def upsert_sink(
     the newest version below n, so a replay writes the same version from the same rows. Metric snapshots and the counts of
     ingested and updated rows go to one folder per batch. ``creators`` are the stored ones (platform, handle, …, baseline_median_views): rows of a batch
     then name their creator by ``handle`` and have ``published_at``. The newest items of each creator are kept
-    beside them, so that the baselines of touched creators are found without the other items.
+    beside them, so that the baselines of touched creators are found without the other items. A batch that is a table already
+    (``stored``) is not written again.
     """
     state = _state(path, initial, creators, buckets, keep)
     creator_keys = ["platform", "handle"]
@@ -123,7 +124,7 @@ def upsert_sink(
             tables["recent"] = recent_items(initial.select(*state.schemas["recent"].names))
         state.commit(spark, SEED, None, {k: (v, list(range(buckets))) for k, v in tables.items()})
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, stored: bool = False) -> None:
         spark = batch.sparkSession
         done = state.newest(spark)
         if done is not None and done > batch_id:
@@ -131,7 +132,8 @@ def upsert_sink(
         if not state.versions(spark):
             seed(spark)
         before = state.newest(spark, batch_id)
-        batch = store(batch, "batch")  # read several times; a source may give its rows only once
+        if not stored:
+            batch = store(batch, "batch")  # read several times; a source may give its rows only once
         touched = state.touched("items", batch)
         merged = store(U.upsert_items(state.read(spark, "items", before, touched), batch, now), "merged")
         changed = {"items": (merged.drop("change", "batch_rows"), touched)}
@@ -251,7 +253,7 @@ def window_sink(
     """
     state = KeyedState(path, {"windows": keys}, {"windows": schema}, buckets, keep)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, stored: bool = False) -> None:
         spark = batch.sparkSession
         done = state.newest(spark)
         if done is not None and done > batch_id:
@@ -279,7 +281,7 @@ def assign_sink(
     """
     held: dict = {}
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, stored: bool = False) -> None:
         now = version(batch.sparkSession) if version else None
         if "index" not in held or held["version"] != now:
             rows = centroids(batch.sparkSession) if callable(centroids) else centroids
@@ -305,7 +307,7 @@ def split_sink(path: str, at: str, delay: str, keys: tuple[str, ...] = (), bucke
     """
     seen: KeyedState | None = None
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int, stored: bool = False) -> None:
         nonlocal seen
         spark = batch.sparkSession
         moment = F.col(at).cast("timestamp")

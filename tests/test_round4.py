@@ -179,3 +179,22 @@ def test_velocity_state_costs_a_read_a_write_and_a_timer():
     assert of((2 * hour, None))[0]["points"] == 3 and [c[0] for c in handle.calls[4:]] == ["get", "update"]
     of((4 * hour, 41.0))
     assert handle.calls[-2:] == [("deleteTimer", 3 * hour // 1000 + 5), ("registerTimer", 4 * hour // 1000 + 5)]
+
+
+def test_ingest_writes_its_batch_once(spark, monkeypatch, tmp_path):
+    from formatpulse.plans import catalogue_ingest as CI
+    from formatpulse.plans import ingest as IN
+    from formatpulse.streaming import jobs as J
+    names = []
+    for module in (IN, J):
+        monkeypatch.setattr(module, "store", lambda df, name="stored", real=module.store: names.append(name) or real(df, name))
+    assert CI.ingest_counts(spark, "/root/testdata/sf0.001").count() > 5
+    assert names.count("ingest") == 1 and "batch" not in names
+
+
+def test_seconds_are_read_as_the_plain_cast_reads_them(spark):
+    from formatpulse.sources import landed
+    texts = ["1709251200", " 12.5 ", "1e9", "-3", "nan", "7d", "", "soon", None, "2024-02-01T00:00:00Z", "12:30", "text 5", "0x1p3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", landed.seconds_of(F.col("t")).alias("a"), F.col("t").try_cast("double").alias("b")).collect():
+        assert r["a"] == r["b"] or (r["a"] != r["a"] and r["b"] != r["b"]), r
