@@ -104,7 +104,8 @@ def signals(members: DataFrame, metrics: DataFrame, now) -> DataFrame:
     """
     views = F.col("views")
     both = (_span("t0", "t1") > 0) & (_span("t1", "t2") > 0)
-    joined = members.join(recent_points(metrics), "item_id", "left")
+    # as many points as items: merged, never broadcast
+    joined = members.join(recent_points(metrics).hint("merge"), "item_id", "left")
     return joined.select(
         "trend_id", "item_id", "creator_id", "platform", "niche", "country", "language",
         "content_type", "published_at", "duration_sec", "followers", "similarity", "views",
