@@ -3,7 +3,8 @@
 A word is the mean of the vectors of its character n-grams and of the word itself, hashed into
 buckets; a document is the mean of its distinct words; a linear softmax reads the class. Vectors and
 softmax are trained together, by Adam on a bounded sample of labelled rows, in one task: the executors make
-the sample's bags, the task reads them, and neither texts nor bags reach the driver. Unseen spellings
+the sample's bags, the task takes them in small pieces into two flat arrays, which is all it holds of them, and neither
+texts nor bags reach the driver. Unseen spellings
 share most n-grams with the words that were seen. As the model is linear, a trained bucket is one
 number, so scoring looks up and averages numbers, and only those (two megabytes) travel.
 """
@@ -14,7 +15,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ DIM = 4
 #: Documented bounds of the training sample: labelled rows of each class, and buckets in all bags together.
 PER_CLASS = 2000
 SAMPLE_BUCKETS = 24_000_000
+#: Buckets of a bag that travel as one row: an Arrow batch of 10,000 rows then holds some 10 MB, whatever the texts.
+PIECE = 128
 #: Logits are averages of words of which few matter, so they are scaled up.
 SCALE = 40.0
 _WORD = re.compile(r"\w+")
@@ -88,24 +90,34 @@ def train(texts: list[str], labels: list[int], **how) -> tuple[np.ndarray, float
     return train_bags([bag(t) for t in texts], labels, **how)
 
 
-def train_bags(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 12, rate: float = 0.035, batch: int = 100,
-          decay: float = 1e-4, dim: int = DIM, dropout: float = 0.6, min_share: float = 0.005, seed: int = 5) -> tuple[np.ndarray, float]:
+def train_bags(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], **how) -> tuple[np.ndarray, float]:
+    ends = np.cumsum([len(b) for b, _ in parts])
+    return train_flat(np.concatenate([b for b, _ in parts]), np.concatenate([w for _, w in parts]),
+                      np.concatenate(([0], ends[:-1])), ends, labels, **how)
+
+
+def train_flat(flat: np.ndarray, share: np.ndarray, starts: np.ndarray, ends: np.ndarray, labels: list[int], epochs: int = 12,
+               rate: float = 0.035, batch: int = 100, decay: float = 1e-4, dim: int = DIM, dropout: float = 0.6,
+               min_share: float = 0.005, seed: int = 5) -> tuple[np.ndarray, float]:
     """(bucket scores, bias): a word's score is the mean of its buckets, a document's logit the mean
-    of its words plus bias. Vectors and softmax are trained together by Adam."""
+    of its words plus bias. Vectors and softmax are trained together by Adam. Bag i is [starts[i], ends[i]) of
+    ``flat`` (buckets) and ``share`` (weights), in any order; both arrays are overwritten, not copied."""
     rng = np.random.default_rng(seed)
-    n_texts = len(parts)
-    seen = np.zeros(BUCKETS, np.int64)
-    for bucket, _ in parts:  # no bucket stands twice in a bag
-        seen[bucket] += 1
+    n_texts = len(starts)
+    seen = np.zeros(BUCKETS, np.int32)
+    for lo, hi in zip(starts, ends, strict=True):  # no bucket stands twice in a bag
+        seen[flat[lo:hi]] += 1
     known = np.flatnonzero(seen >= max(2, min_share * n_texts))
     local = np.full(BUCKETS, -1, np.int32)
     local[known] = np.arange(len(known))
-    held = [local[b] for b, _ in parts]
-    flat = np.concatenate([x[x >= 0] for x in held])
-    share = np.concatenate([w[x >= 0] for x, (_, w) in zip(held, parts, strict=True)])
-    ends = np.cumsum([np.count_nonzero(x >= 0) for x in held])
-    del parts, held
-    bounds = np.concatenate(([0], ends))
+    starts, ends, at = np.array(starts), np.array(ends), 0
+    for i in np.argsort(starts, kind="stable"):  # known buckets move to the front, bag by bag
+        lo, hi = starts[i], ends[i]
+        named = local[flat[lo:hi]]
+        here = named >= 0
+        starts[i], ends[i] = at, at + np.count_nonzero(here)
+        flat[at:ends[i]], share[at:ends[i]] = named[here], share[lo:hi][here]
+        at = ends[i]
     y = np.array(labels)
     per_class = len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1))
     params = [rng.normal(0, 0.1, (len(known), dim)).astype(np.float32),
@@ -117,8 +129,8 @@ def train_bags(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ep
         speed = rate * (1 - epoch / epochs) + rate * 0.05
         for lo in range(0, len(order), batch):
             ids = order[lo:lo + batch]
-            sizes = bounds[ids + 1] - bounds[ids]
-            rows = [slice(bounds[i], bounds[i + 1]) for i in ids]
+            sizes = ends[ids] - starts[ids]
+            rows = [slice(starts[i], ends[i]) for i in ids]
             bucket, weight = (np.concatenate([x[r] for r in rows]) for x in (flat, share))
             weight = weight * (rng.random(len(weight), np.float32) >= dropout) / np.float32(1 - dropout)
             doc = np.repeat(np.arange(len(ids)), sizes)
@@ -170,9 +182,9 @@ def sampled_bags(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
               known.where(F.col("toxic") == y).orderBy("__h", "doc_id").limit(per_class).collect()]
     chosen = docs.sparkSession.createDataFrame(picked, known.schema)  # two per_class rows at most
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(x.tobytes() for x in bag(t)) for t in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([b"".join(x.tobytes() for x in bag(t.as_py())) for t in texts], pa.binary())
 
     rows = docs.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(
         F.max("text").alias("text"), F.first("__h").alias("__h"))
@@ -191,24 +203,41 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.int32, n), np.frombuffer(data, np.float32, n, 4 * n)
 
 
+def pieces(bags: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(doc_id, toxic, buckets, weights): each bag in rows of ``piece`` buckets, in order and one after the other; an
+    empty bag in one row."""
+    half, step = "octet_length(bag) div 2", 4 * piece
+    cut = bags.select("doc_id", "toxic", "bag", F.explode(F.expr(f"sequence(0, greatest({half} - 1, 0) div {step})")).alias("k"))
+    size = f"cast(least({step}, {half} - k * {step}) as int)"
+    return cut.select(
+        "doc_id", "toxic", F.expr(f"substring(bag, cast(k * {step} + 1 as int), {size})").alias("buckets"),
+        F.expr(f"substring(bag, cast({half} + k * {step} + 1 as int), {size})").alias("weights"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Without both classes there is nothing to learn: every score is then 0.5."""
     bags = sampled_bags(docs, labels, per_class)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        flat, share = np.empty(SAMPLE_BUCKETS, np.int32), np.empty(SAMPLE_BUCKETS, np.float32)  # memory is taken as it fills
+        keys, starts, at = [], [], 0
         for batch in batches:
-            rows += [(d, y, unpacked(b.as_buffer())) for d, y, b in
-                     zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
-        rows.sort(key=lambda r: r[:2])
-        ys, parts = [r[1] for r in rows], [r[2] for r in rows]
-        del rows
+            ids, marks, buckets, weights = batch.columns
+            for d, y, b, w in zip(ids.to_pylist(), marks.to_pylist(), buckets, weights, strict=True):
+                if not keys or keys[-1] != (d, y):
+                    keys.append((d, y))
+                    starts.append(at)
+                part = np.frombuffer(b.as_buffer(), np.int32)
+                flat[at:at + len(part)], share[at:at + len(part)] = part, np.frombuffer(w.as_buffer(), np.float32)
+                at += len(part)
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        ys = [keys[i][1] for i in order]
         if len(set(ys)) == 2:
-            scores, bias = train_bags(parts, ys)
+            scores, bias = train_flat(flat, share, np.array(starts)[order], np.array([*starts[1:], at])[order], ys)
             at = np.flatnonzero(scores).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "score": [scores[at].tobytes()], "bias": [bias]})
     # a bounded sample in one task; a lost executor only means that it runs again
-    found = bags.coalesce(1).mapInArrow(learn, "at binary, score binary, bias double").collect()
+    found = pieces(bags.coalesce(1)).mapInArrow(learn, "at binary, score binary, bias double").collect()
     scores = np.zeros(BUCKETS, np.float32)
     if not found:
         return scores, 0.0
@@ -220,10 +249,10 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "s
     """``docs`` with the probability as a further column; any column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([score_text(t, *shared.value) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:  # one text at a time becomes a Python string
+            yield pa.array([score_text(t.as_py(), *shared.value) for t in texts], pa.float64())
     return docs.withColumn(name, score("text"))
 
 

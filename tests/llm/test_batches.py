@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -59,3 +60,43 @@ def test_scores_equal_nested_loops():
     scores = rng.normal(0, 3, T.BUCKETS).astype(np.float32)
     for text in (None, "", "a", "ab", "The the THE cat's naïve 漢字 x_1", "... !!!", "w" * 300, "é\u0301 \U0001F600z", "one two three " * 20):
         assert T.score_text(text, scores, 0.3) == pytest.approx(plain_score(text, scores, 0.3), abs=1e-6)
+
+
+def test_toxicity_trains_from_small_pieces_in_place(spark):
+    """A stage that trained on bags held whole took more than an executor's memory: pieces bound what a batch holds, and
+    the flat arrays are reused instead of copied."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(300)]
+    texts = ["", "..."] + [" ".join(rng.choices(words[:200 + 50 * (i % 3)], k=rng.randrange(1, 120))) for i in range(40)]
+    bags = [T.bag(t) for t in texts]
+    labels = [i % 2 for i in range(len(bags))]
+    df = spark.createDataFrame([(i, y, b.tobytes() + w.tobytes()) for i, ((b, w), y) in enumerate(zip(bags, labels, strict=True))],
+                               "doc_id bigint, toxic int, bag binary")
+    rows = T.pieces(df.coalesce(1), 7).collect()
+    assert max(len(r["buckets"]) for r in rows) == 28 and all(len(r["buckets"]) == len(r["weights"]) for r in rows)
+    for i, (b, w) in enumerate(bags):
+        mine = [r for r in rows if r["doc_id"] == i]
+        assert len(mine) == max(1, -(-len(b) // 7)) and {r["toxic"] for r in mine} == {labels[i]}
+        assert b"".join(r["buckets"] for r in mine) == b.tobytes() and b"".join(r["weights"] for r in mine) == w.tobytes()
+    # bags that lie in another order give the same model bit by bit
+    want, bias = T.train_bags(bags, labels, epochs=3)
+    place = rng.sample(range(len(bags)), len(bags))
+    ends = np.cumsum([len(bags[i][0]) for i in place])
+    starts = np.concatenate(([0], ends[:-1]))
+    back = np.argsort(place)
+    flat, share = (np.concatenate([bags[i][k] for i in place]) for k in (0, 1))
+    got, other = T.train_flat(flat, share, starts[back], ends[back], labels, epochs=3)
+    assert np.array_equal(got, want) and other == bias and np.count_nonzero(want)
+
+
+def test_toxicity_training_copies_no_bags():
+    n, size = 400, 10_000
+    rng = np.random.default_rng(1)
+    flat = np.concatenate([rng.choice(T.BUCKETS // 8, size, replace=False) for _ in range(n)]).astype(np.int32)
+    share = np.full(n * size, 1e-4, np.float32)
+    ends = np.arange(1, n + 1) * size
+    tracemalloc.start()
+    T.train_flat(flat, share, ends - size, ends, [i % 2 for i in range(n)], epochs=1, batch=10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < flat.nbytes + share.nbytes, peak
