@@ -58,6 +58,13 @@ def recent_points(
     return ranked.groupBy(key).agg(*picks)
 
 
+def points_of(history: Column) -> dict[str, Column]:
+    """The same points from an array of (time, views) that holds an item's whole, short history."""
+    newest = F.sort_array(F.array_compact(history), asc=False)
+    return {f"{name}{slot}": F.get(newest, F.lit(2 - slot))[field]
+            for slot in (0, 1, 2) for name, field in (("t", "captured_at"), ("v", "views"))}
+
+
 def _span(older: str, newer: str) -> Column:
     return C.hours_between(F.col(older), F.col(newer))
 
@@ -102,10 +109,14 @@ def signals(members: DataFrame, metrics: DataFrame, now) -> DataFrame:
     ``prior_rate``/``recent_rate`` are set only where both spans are positive, which is
     the momentum rule.
     """
+    # as many points as items: merged, never broadcast
+    return measured(members.join(recent_points(metrics).hint("merge"), "item_id", "left"), now)
+
+
+def measured(joined: DataFrame, now) -> DataFrame:
+    """The measures of items that stand beside their newest points."""
     views = F.col("views")
     both = (_span("t0", "t1") > 0) & (_span("t1", "t2") > 0)
-    # as many points as items: merged, never broadcast
-    joined = members.join(recent_points(metrics).hint("merge"), "item_id", "left")
     return joined.select(
         "trend_id", "item_id", "creator_id", "platform", "niche", "country", "language",
         "content_type", "published_at", "duration_sec", "followers", "similarity", "views",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from formatpulse.functions import quantiles as Q
 from formatpulse.functions import text as X
 from formatpulse.operators import signals as G
+from formatpulse.plans import bindings as B
 from formatpulse.session import deal
 
 
@@ -83,3 +84,19 @@ def test_term_counts_keep_no_table_of_terms_before_the_shuffle(spark, monkeypatc
     terms = X.tokenize(F.col("text")) if size == 1 else X.bigrams(X.tokenize(F.col("text")))
     want = df.select("lang", F.explode(terms).alias("k")).groupBy("lang", "k").agg(F.count("*").alias("n"))
     assert sorted(map(str, counted.collect())) == sorted(map(str, want.collect()))
+
+
+def test_items_of_unique_keys_need_no_join_for_their_points(spark, tmp_path):
+    events = [(i, f"2024-01-{1 + i % 28:02d} 10:00:00", i % 9, ("click", "view", None)[i % 3], 3.5 * i, f'{{"k": {i % 23}}}') for i in range(60)]
+    odd = [(7, "2024-01-03 00:00:00", 1, "view", 900.0, '{"k": 3}'), (7, "2024-01-03 00:00:00", 1, "view", 900.0, '{"k": 3}'),
+           (8, None, None, "click", None, None), (None, "2024-01-05 00:00:00", 2, "view", 10.0, '{"k": 1}'), (None, None, 2, "view", 4.0, '{"k": 1}')]
+    for name, rows in (("plain", events), ("odd", events + odd)):
+        frame = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+        frame.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        sf = f"{tmp_path}/{name}"
+        got = B.event_signals(spark, sf)
+        want = G.signals(B.event_members(spark, sf), B.event_metrics(spark, sf), B.EVENTS_NOW)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() >= len(rows)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Window" in plan) == (name == "odd")  # always before
