@@ -44,7 +44,8 @@ def nightly_rebuild(
     """
     spark = items.sparkSession
     cutoff = C.as_instant(now) - F.make_dt_interval(F.lit(lookback_days))
-    corpus = G.corpus(items, features, creators, cutoff)
+    # every step is stored before the next is planned: the driver holds the plan of one step, not that of the whole job
+    corpus = store(G.corpus(items, features, creators, cutoff), "corpus")
     gate = K.cluster_precheck(corpus, min_size).first()
     if gate["reason"]:
         return gate["reason"]
@@ -52,10 +53,10 @@ def nightly_rebuild(
     members = cut(members)
     if clusters.isEmpty():
         return "no cluster met the minimum size"
-    rows = corpus.drop("embedding").join(members, "item_id")
+    rows = store(corpus.drop("embedding").join(members, "item_id"), "rows")
     signals = store(G.signals(rows, G.history_for(members, metrics), now))
-    scored = score_trends(build_aggregates(signals, now))
-    story = describe_clusters(rows, scored)
+    scored = store(score_trends(build_aggregates(signals, now)), "scored")
+    story = store(describe_clusters(rows, scored), "story")
     named = story.join(clusters.select("trend_id", "size", "centroid"), "trend_id").withColumn(
         "__small_last", -F.col("size"))
     order = ["__small_last", "trend_id"]
